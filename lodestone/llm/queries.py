@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, fingerprints, line_dedup, warc
+from . import common, fingerprints, line_dedup, packing, token_files, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,23 @@ FROM marked GROUP BY doc_id
 """
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = common.scratch_path(spark, "tokens")
+    token_files.write_token_files(_table(spark, sf_dir, "documents"), path, _vocabulary("byte_bpe_50k.json"), end_id=0)
+    return token_files.read_token_files(spark, path, with_ids=False)
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = packing.pack(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+    return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.scratch_path(spark, "warc")
     warc.write_archive(_table(spark, sf_dir, "pages"), path, min_bytes=0)
@@ -95,7 +112,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_fingerprints": op2_fingerprints,
         "op3_line_dedup": op3_line_dedup,
+        "op5_token_files": op5_token_files,
         "op8_warc": op8_warc,
+        "op9_packing": op9_packing,
     }
 
 

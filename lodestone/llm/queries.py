@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, fingerprints, language_id, line_dedup, packing, token_files, warc
+from . import common, fingerprints, language_id, line_dedup, packing, token_files, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -113,6 +113,17 @@ def _remainder(n: int):
     return F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % n
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    rows = toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+    return rows.select(
+        "doc_id",
+        F.coalesce(_remainder(3) == 1, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = language_id.train(docs, _vocabulary("piece_bpe_32k.model"))
@@ -124,6 +135,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_fingerprints": op2_fingerprints,
         "op3_line_dedup": op3_line_dedup,
+        "op4_toxicity": op4_toxicity,
         "op5_token_files": op5_token_files,
         "op8_warc": op8_warc,
         "op9_packing": op9_packing,

@@ -24,8 +24,8 @@ def _hashes(key: Column) -> list[Column]:
     return [F.xxhash64(key).alias("a"), F.xxhash64(F.lit(1), key).alias("b")]
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """Returns id_col, text (what is left), n_lines, n_dropped: one row per document.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Returns id_col, text (what is left), n_lines, n_dropped and the columns keep: one row per document.
 
     A key of min_chars code points or more that stands in min_docs documents or more loses all
     its lines but those of the largest id that has it. Shorter keys are never dropped.
@@ -40,7 +40,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the lines of one document. The text moves once, to meet the list of its document. There, a line
     is looked up in that list one by one: time is lines times dropped keys of a document.
     """
-    src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(*keep).alias("row") if keep else F.lit(None).alias("row"))
     lines = F.split("text", "\n", -1)
     keys = F.array_distinct(F.filter(F.transform(lines, line_key), lambda k: F.length(k) >= min_chars))
     key = F.explode(keys)
@@ -63,4 +63,5 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.array_join("kept", "\n").alias("text"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"),
+        *(["row.*"] if keep else []),
     )

@@ -259,3 +259,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null = lambda c: F.nullif(F.col(c), F.lit(NO_ID))
     return out.select(null("id").alias(id_col), null("class_id").alias("class_id"), "n_links")
 
+
+
+def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs without those that near_duplicates put with a smaller id; of rows that repeat an id, one stays."""
+    lost = groups.filter(~F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("_lost")).distinct()
+    lost = F.broadcast(lost) if lost.count() <= MOST_BROADCAST else lost
+    left = docs.join(lost, F.col(id_col).eqNullSafe(F.col("_lost")), "left_anti")
+    if not left.groupBy(id_col).count().filter("count > 1").isEmpty():
+        left = left.dropDuplicates([id_col])
+    return left

@@ -7,13 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, fingerprints, language_id, line_dedup, minhash, packing, token_files, toxicity, warc
+from . import common, decontaminate, fingerprints, language_id, line_dedup, minhash, packing, suffix_dedup, token_files, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), length=400)
+    return rows.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fingerprints.fingerprint_edits(_table(spark, sf_dir, "documents"))
     a, b, c = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
@@ -141,6 +152,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_dedup": op1_suffix_dedup,
         "op2_fingerprints": op2_fingerprints,
         "op3_line_dedup": op3_line_dedup,
         "op4_toxicity": op4_toxicity,

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix64, worker_store
+from .common import U64, byte_batches, mix64, worker_store
 
 Q = 8
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -210,8 +210,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         def run(batches, shared=shared, key=key):
             import pyarrow as pa
 
-            from .common import byte_batches
-
             items = _index(key, shared, edit_rate)
             for batch in byte_batches(batches, "text"):
                 rows = [(i, items.ids[n], s, e, d) for i, found in enumerate(items.search_all(batch.column(1).to_pylist())) for n, s, e, d in found]
@@ -231,8 +229,6 @@ def drop_leaked(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", e
         def run(batches, shared=shared, key=key):
             import pyarrow as pa
 
-            from .common import byte_batches
-
             items = _index(key, shared, edit_rate)
             for batch in byte_batches(batches, text_col):
                 texts = [t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix64, worker_store
+from .common import U64, byte_batches, mix64, worker_store
 
 START = "▁"
 LONGEST_WORD = 40
@@ -236,8 +236,6 @@ def predict(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_co
     def run(batches):
         import pyarrow as pa
 
-        from .common import byte_batches
-
         store = worker_store()
         if store.get("language", (None,))[0] != key:
             store["language"] = key, Scorer(shared.value)

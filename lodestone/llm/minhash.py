@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, drop_path, mix64, scratch_path, written
+from .common import U64, byte_batches, drop_path, mix64, scratch_path, shingle_hashes, text_bytes, word_hashes, written
 
 COORDINATES, ROWS = 120, 5
 FIRST_LEVEL = 2.0**-7
@@ -96,8 +96,6 @@ def band_hashes(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 def shingle_sets(column, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each text of an Arrow column, end to end, and the rows' bounds."""
-    from .common import shingle_hashes, text_bytes, word_hashes
-
     sh, bounds = shingle_hashes(*word_hashes(*text_bytes(column)), k)
     sets = [np.unique(sh[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
     out = np.zeros(len(bounds), np.int64)
@@ -117,8 +115,6 @@ def sign(docs: DataFrame, k: int = 5) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        from .common import byte_batches
-
         for batch in byte_batches(batches, "text"):
             sets, bounds = shingle_sets(batch.column(1), k)
             rows = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
@@ -138,8 +134,6 @@ def set_table(docs: DataFrame, k: int = 5) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        from .common import byte_batches
-
         for batch in byte_batches(batches, "text"):
             sets, bounds = shingle_sets(batch.column(1), k)
             short = (sets >> U64(32)).astype(np.uint32).view(np.int32)

@@ -16,7 +16,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, drop_path, mix64, scratch_path, worker_store
+from .common import U64, byte_batches, drop_path, mix64, scratch_path, text_bytes, worker_store
+from .suffix_array import common_prefixes, suffix_array
 
 GRAM = 128
 BASE = 0xC2B2AE3D27D4EB4F
@@ -100,8 +101,6 @@ def _anchor_table(docs: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        from .common import byte_batches, text_bytes
-
         for batch in byte_batches(batches, "text"):
             row, at, h, context, end = anchors_of(*text_bytes(batch.column(2)), length, gram)
             row = pa.array(row, pa.int64())
@@ -142,8 +141,6 @@ def _cut_contexts(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 def repeats_of(segments: list[bytes], length: int) -> list[tuple[int, int, int]]:
     """(segment, start, end) of the runs of places where a string of length bytes starts that also starts elsewhere in the segments."""
-    from .suffix_array import common_prefixes, suffix_array
-
     sizes = np.array([len(s) for s in segments], np.int64)
     text = np.frombuffer(bytes([SEPARATOR]).join(segments), np.uint8)
     if len(text) < length:

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix64, worker_store
+from .common import U64, byte_batches, mix64, worker_store
 
 WINDOW, STRIDE = 32, 24
 HIDDEN, ATTENTION = 8, 8
@@ -377,8 +377,6 @@ def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col
     def run(batches):
         import pyarrow as pa
 
-        from .common import byte_batches
-
         store = worker_store()
         if store.get("toxicity", (None,))[0] != key:
             store["toxicity"] = key, Scorer(Network(*shared.value))

@@ -1,3 +1,12 @@
-"""lodestone: conversational retrieval and corpus analytics on Spark DataFrames."""
+"""lodestone: conversational retrieval and corpus analytics on Spark DataFrames.
+
+Functions that run on executors are shipped by value, so executors need no copy of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
 
 __version__ = "0.1.0"
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

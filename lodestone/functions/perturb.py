@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from .text import number_words
 
@@ -131,7 +132,7 @@ def paraphrase(message: Column, reworded: Column, level: int, seed: str = "membe
             out = out.replace(body, other)
         return " ".join(out.split())
 
-    @pandas_udf("string")
+    @pandas_udf(StringType())
     def apply(texts: pd.Series, others: pd.Series) -> pd.Series:
         return pd.Series([one(t, o) for t, o in zip(texts, others, strict=True)], dtype=object)
 

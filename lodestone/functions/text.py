@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 # Word lists, phrases and patterns of the message templates.
 BOILERPLATE = [
@@ -100,13 +101,13 @@ def _strings(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """NFKC form; Spark has no such function."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def casefold(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else t.casefold())
 

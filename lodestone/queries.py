@@ -481,9 +481,9 @@ def exact_limit_order(spark, sf):
     return retrieval.in_catalog_order(_exact(spark, sf, exact_questions(spark, sf)), 5)
 
 
-@query("SELECT CAST(c_custkey AS BIGINT) AS query_id, CAST(count(*) AS BIGINT) AS parts FROM customer JOIN part ON p_retailprice > 0 AND p_retailprice <= (c_custkey % 400 + 600) * CAST(1.15 AS DOUBLE) WHERE c_custkey % 20 = 0 GROUP BY 1")
+@query("SELECT n_nationkey AS query_id, CAST(count(*) AS BIGINT) AS parts FROM nation JOIN part ON p_retailprice > 0 AND p_retailprice <= (n_nationkey * 40 + 600) * CAST(1.15 AS DOUBLE) GROUP BY 1")
 def budget_range_join(spark, sf):
-    c = table(spark, sf, "customer").filter("c_custkey % 20 = 0").select(F.col("c_custkey").alias("query_id"), (F.col("c_custkey") % 400 + 600).alias("budget"))
+    c = table(spark, sf, "nation").select(F.col("n_nationkey").alias("query_id"), (F.col("n_nationkey") * 40 + 600).alias("budget"))
     p = table(spark, sf, "part").filter("p_retailprice > 0").select("p_retailprice")
     return c.join(p, F.col("p_retailprice") <= F.col("budget") * 1.15).groupBy("query_id").agg(F.count(F.lit(1)).alias("parts"))
 
@@ -526,16 +526,16 @@ def bucket_route(spark, sf):
 
 
 @query(
-    f"""WITH {BUCKET_SQL}, pool AS (SELECT CAST(n_nationkey AS BIGINT) AS query_id, p_partkey, CAST(p_partkey AS INTEGER) AS rank FROM nation, part WHERE p_partkey < 100),
+    f"""WITH {BUCKET_SQL}, pool AS (SELECT CAST(c_nationkey AS BIGINT) AS query_id, c_custkey AS p_partkey, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS INTEGER) AS rank FROM customer),
     f AS (SELECT pool.*, m.p_partkey IS NOT NULL AS hit FROM pool LEFT JOIN (SELECT DISTINCT * FROM m) m USING (query_id, p_partkey)),
     a AS (SELECT *, bool_or(hit) OVER (PARTITION BY query_id) AS any_hit FROM f)
     SELECT query_id, CAST(p_partkey AS VARCHAR) AS doc_id, rank FROM a WHERE hit OR NOT any_hit"""
 )
 def category_filter_nonempty(spark, sf):
-    # every nation's pool: the first hundred parts of the catalog
-    head = table(spark, sf, "part").filter("p_partkey < 100").select(F.col("p_partkey").cast("string").alias("doc_id"), F.col("p_partkey").cast("int").alias("rank"), F.lit(1).alias("one"))
+    # every nation's pool: the parts with the numbers of its customers
     m = _bucket_messages(spark, sf)
-    pool = m.select("query_id", F.lit(1).alias("one")).join(head, "one").drop("one")
+    place = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))
+    pool = table(spark, sf, "customer").select(F.col("c_nationkey").cast("long").alias("query_id"), F.col("c_custkey").cast("string").alias("doc_id"), place.alias("rank"))
     return retrieval.bucket_filter(pool, retrieval.bucket_matches(m, retrieval.bucket_table(products(spark, sf)))).select("query_id", "doc_id", "rank")
 
 
@@ -558,7 +558,7 @@ def bucket_statistics(spark, sf):
 # Ranked lists: a customer's orders by price (a route), by date (another one), by key (a third).
 
 ROUTES_SQL = """
-a AS (SELECT o_custkey AS query_id, o_orderkey AS doc_id, o_totalprice AS score, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders),
+a AS (SELECT o_custkey AS query_id, o_orderkey AS doc_id, o_orderstatus AS status, o_totalprice AS score, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders),
 b AS (SELECT o_custkey AS query_id, o_orderkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rank FROM orders WHERE o_orderstatus <> 'P')
 """
 
@@ -566,7 +566,7 @@ b AS (SELECT o_custkey AS query_id, o_orderkey AS doc_id, row_number() OVER (PAR
 def routes(spark, sf) -> tuple[DataFrame, DataFrame]:
     o = table(spark, sf, "orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("doc_id"), F.col("o_totalprice").alias("score"), "o_orderdate", "o_orderstatus")
     w = Window.partitionBy("query_id")
-    a = o.withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "doc_id"))).select("query_id", "doc_id", "score", "rank")
+    a = o.withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "doc_id"))).select("query_id", "doc_id", "score", "rank", F.col("o_orderstatus").alias("status"))
     b = o.filter("o_orderstatus <> 'P'").withColumn("rank", F.row_number().over(w.orderBy("o_orderdate", "doc_id"))).select("query_id", "doc_id", "score", "rank")
     return a, b
 
@@ -587,13 +587,13 @@ def minmax_normalize(spark, sf):
 @query(
     f"""WITH {ROUTES_SQL}, p AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM a WHERE rank <= 500),
     s AS (SELECT p.query_id, p.doc_id, p.rank AS base_rank, CASE WHEN n <= 1 THEN 1.0 ELSE 1.0 - (p.rank - 1) / CAST(n - 1 AS DOUBLE) END
-      + CASE WHEN p.doc_id % 7 = 0 THEN 0.35 ELSE 0 END + CASE WHEN b.doc_id IS NOT NULL THEN 0.1 ELSE 0 END AS score
+      + CASE WHEN p.status = 'F' THEN 0.35 ELSE 0 END + CASE WHEN b.doc_id IS NOT NULL THEN 0.1 ELSE 0 END AS score
       FROM p LEFT JOIN b ON p.query_id = b.query_id AND p.doc_id = b.doc_id AND b.rank <= 3)
     SELECT query_id, doc_id, round(score, 9) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, base_rank) AS INTEGER) AS rank FROM s"""
 )
 def fuse_pool(spark, sf):
     a, b = routes(spark, sf)
-    fused = fusion.fuse_pool(a, exact=a.filter("doc_id % 7 = 0"), bucket=b.filter("rank <= 3"))
+    fused = fusion.fuse_pool(a, exact=a.filter("status = 'F'"), bucket=b.filter("rank <= 3"))
     again = fused.withColumn("score", F.round("score", 9))
     return retrieval.top_k(again, 500, ["query_id"], [F.desc("score"), F.asc("base_rank")]).select("query_id", "doc_id", "score", "rank")
 
@@ -795,7 +795,7 @@ def telemetry_summary(spark, sf):
 @query(
     f"""WITH {ROUTES_SQL}, cfg AS (SELECT * FROM (VALUES ('shipped', CAST(0.35 AS DOUBLE), CAST(0.1 AS DOUBLE)), ('no_exact', 0.0, 0.1), ('no_bucket', 0.35, 0.0), ('bm25_only', 0.0, 0.0)) v(config, e, u)),
     p AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM a WHERE rank <= 500),
-    s AS (SELECT config, p.query_id, p.doc_id, p.rank AS base_rank, round(CASE WHEN n <= 1 THEN 1.0 ELSE 1.0 - (p.rank - 1) / CAST(n - 1 AS DOUBLE) END + CASE WHEN p.doc_id % 7 = 0 THEN e ELSE 0 END + CASE WHEN b.doc_id IS NOT NULL THEN u ELSE 0 END, 9) AS score
+    s AS (SELECT config, p.query_id, p.doc_id, p.rank AS base_rank, round(CASE WHEN n <= 1 THEN 1.0 ELSE 1.0 - (p.rank - 1) / CAST(n - 1 AS DOUBLE) END + CASE WHEN p.status = 'F' THEN e ELSE 0 END + CASE WHEN b.doc_id IS NOT NULL THEN u ELSE 0 END, 9) AS score
       FROM p CROSS JOIN cfg LEFT JOIN b ON p.query_id = b.query_id AND p.doc_id = b.doc_id AND b.rank <= 3),
     r AS (SELECT *, row_number() OVER (PARTITION BY config, query_id ORDER BY score DESC, base_rank) AS rank FROM s),
     t AS (SELECT query_id, max(doc_id) AS target FROM a GROUP BY query_id)
@@ -806,7 +806,7 @@ def ablation_grid(spark, sf):
     grid = spark.createDataFrame([("shipped", 0.35, 0.1), ("no_exact", 0.0, 0.1), ("no_bucket", 0.35, 0.0), ("bm25_only", 0.0, 0.0)], "config string, e double, u double")
     n = F.count(F.lit(1)).over(Window.partitionBy("query_id"))
     pool = a.withColumn("base", S.rank_score(F.col("rank"), n)).join(b.filter("rank <= 3").select("query_id", "doc_id", F.lit(1).alias("in_bucket")), ["query_id", "doc_id"], "left")
-    score = F.col("base") + F.when(F.col("doc_id") % 7 == 0, F.col("e")).otherwise(0.0) + F.coalesce(F.col("in_bucket") * F.col("u"), F.lit(0.0))
+    score = F.col("base") + F.when(F.col("status") == 'F', F.col("e")).otherwise(0.0) + F.coalesce(F.col("in_bucket") * F.col("u"), F.lit(0.0))
     rows = pool.crossJoin(F.broadcast(grid)).withColumn("score", F.round(score, 9))
     ranks = rows.withColumn("place", F.row_number().over(Window.partitionBy("config", "query_id").orderBy(F.desc("score"), "rank")))
     target = a.groupBy("query_id").agg(F.max("doc_id").alias("doc_id"))
@@ -839,41 +839,44 @@ def first_per_scenario(spark, sf):
 
 
 @query(
-    """WITH RECURSIVE e AS (SELECT c_custkey AS a, (c_custkey * 7 + 1) % 1500 AS b FROM customer WHERE c_custkey % 3 = 0 AND (c_custkey * 7 + 1) % 1500 IN (SELECT c_custkey FROM customer)),
+    """WITH RECURSIVE e AS (SELECT x.c_custkey AS a, y.c_custkey AS b FROM customer x JOIN customer y ON y.c_custkey = x.c_custkey + 1 AND x.c_mktsegment = y.c_mktsegment),
     u AS (SELECT a, b FROM e UNION SELECT b, a FROM e UNION SELECT c_custkey, c_custkey FROM customer),
     w AS (SELECT a AS node, a AS reach FROM u UNION SELECT w.node, u.b FROM w JOIN u ON w.reach = u.a)
     SELECT node, min(reach) AS component FROM w GROUP BY node"""
 )
 def connected_components(spark, sf):
+    """Customers next to each other in one market segment."""
     c = table(spark, sf, "customer")
-    e = c.filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("a"), ((F.col("c_custkey") * 7 + 1) % 1500).alias("b"))
-    e = e.join(c.select(F.col("c_custkey").alias("b")), "b", "left_semi").select("a", "b")
+    near = c.select((F.col("c_custkey") - 1).alias("c_custkey"), F.col("c_custkey").alias("b"), "c_mktsegment")
+    e = c.join(near, ["c_custkey", "c_mktsegment"]).select(F.col("c_custkey").alias("a"), "b")
     return resample.connected_components(e, c.select(F.col("c_custkey").alias("node")))
 
 
 @query(
-    f"""WITH {SESSION_SQL}, o AS (SELECT s.sample_id AS idx, s.hit AS hit_a, s.reciprocal_rank AS rr_a, s.first_hit_turn AS turn_a, s2.hit AS hit_b, s2.reciprocal_rank AS rr_b, s2.first_hit_turn AS turn_b FROM s JOIN s2 USING (sample_id) WHERE s.sample_id < 200),
-    l AS (SELECT id, id // 200 AS b, ((x * 1103515245 + 12345) % 2147483648) // 65536 % 200 AS idx FROM (SELECT id, (((id + 20260831) % 2147483648) * 1103515245 + 12345) % 2147483648 AS x FROM (SELECT unnest(range(0, 100000)) AS id))),
+    f"""WITH {SESSION_SQL}, o AS (SELECT s.sample_id AS idx, s.hit AS hit_a, s.reciprocal_rank AS rr_a, s.first_hit_turn AS turn_a, s2.hit AS hit_b, s2.reciprocal_rank AS rr_b, s2.first_hit_turn AS turn_b FROM s JOIN s2 USING (sample_id)),
+    c AS (SELECT count(*) AS n FROM orders),
+    l AS (SELECT id, id // n AS b, ((x * 1103515245 + 12345) % 2147483648) // 65536 % n AS idx FROM (SELECT id, n, (((id + 20260831) % 2147483648) * 1103515245 + 12345) % 2147483648 AS x FROM (SELECT n, unnest(range(0, 40 * n)) AS id FROM c))),
     g AS (SELECT b, 0.5 * (avg(CASE WHEN hit_a THEN 1.0 ELSE 0 END) - avg(CASE WHEN hit_b THEN 1.0 ELSE 0 END)) + 0.3 * (avg(rr_a) - avg(rr_b))
       + 0.2 * (greatest(0.0, least(1.0, (11.0 - avg(coalesce(turn_a, 11))) / 10.0)) - greatest(0.0, least(1.0, (11.0 - avg(coalesce(turn_b, 11))) / 10.0))) AS delta FROM l JOIN o USING (idx) GROUP BY b)
     SELECT round(avg(delta), 6) AS mean, round(stddev_samp(delta), 6) AS se, round(quantile_cont(delta, 0.025), 6) AS low, round(quantile_cont(delta, 0.975), 6) AS high,
     quantile_cont(delta, 0.025) > 0 OR quantile_cont(delta, 0.975) < 0 AS excludes_zero FROM g"""
 )
 def paired_bootstrap_lcg(spark, sf):
-    one, two = outcomes(spark, sf).filter("sample_id < 200"), outcomes(spark, sf, True)
+    one, two = outcomes(spark, sf), outcomes(spark, sf, True)
     pick = lambda d, p: d.select(F.col("sample_id").alias("idx"), F.col("hit").alias(f"hit_{p}"), F.col("reciprocal_rank").alias(f"rr_{p}"), F.col("first_hit_turn").alias(f"turn_{p}"))
     both = pick(one, "a").join(pick(two, "b"), "idx")
-    out = resample.bootstrap_interval(resample.paired_bootstrap(both, 500, 20260831, 200))
+    out = resample.bootstrap_interval(resample.paired_bootstrap(both, 40, 20260831, one.count()))
     return out.select(*[F.round(c, 6).alias(c) for c in ("mean", "se", "low", "high")], "excludes_zero")
 
 
 @query()
 def fold_allocation(spark, sf):
-    """Two hundred sessions, those with the same first part kept together."""
-    s = outcomes(spark, sf).filter("sample_id < 200").select(F.col("sample_id").cast("string").alias("sample_id"), "scenario_type")
-    k = F.col("sample_id").cast("long")
-    e = s.filter(k % 10 == 0).select(F.col("sample_id").alias("a"), (k + 1).cast("string").alias("b"))
-    e = e.join(s.select(F.col("sample_id").alias("b")), "b", "left_semi").select("a", "b")
+    """Suppliers as sessions; neighbours in one nation are kept together."""
+    names = F.array(*[F.lit(x) for x in resample.SCENARIOS])
+    t = table(spark, sf, "supplier")
+    s = t.select(F.col("s_suppkey").cast("string").alias("sample_id"), F.get(names, (F.col("s_nationkey") % 4).cast("int")).alias("scenario_type"))
+    near = t.select((F.col("s_suppkey") - 1).alias("s_suppkey"), F.col("s_suppkey").alias("b"), "s_nationkey")
+    e = t.join(near, ["s_suppkey", "s_nationkey"]).select(F.col("s_suppkey").cast("string").alias("a"), F.col("b").cast("string").alias("b"))
     manifest = resample.fold_manifest(s, e)
     resample.validate_manifest(s, manifest)
     return spark.createDataFrame([(f["name"], i) for f in manifest["folds"] for i in f["validation_sample_ids"]], "fold string, sample_id string")
@@ -961,16 +964,15 @@ def session_window_events(spark, sf):
 
 @query()
 def eval_loop(spark, sf):
-    """Twenty simulated customers, replayed against the catalog; the metrics of the run."""
+    """A simulated customer for each nation, replayed against the catalog; the metrics of the run."""
     from .plans.evaluate import Catalog, evaluate
 
     p = products(spark, sf)
     text = simulate.searchable_text(*[F.col(c) for c in ("title", "features", "details", "description", "categories", "store")])
-    cards = p.select("doc_id", T.coarse_category(F.col("categories")).alias("category"), simulate.intent_card(F.col("title"), F.col("features"), F.col("details"), text, F.col("price")).alias("card"))
+    cards = p.select("ord", "doc_id", T.coarse_category(F.col("categories")).alias("category"), simulate.intent_card(F.col("title"), F.col("features"), F.col("details"), text, F.col("price")).alias("card"))
     names = F.array(*[F.lit(x) for x in resample.SCENARIOS])
-    k = F.col("doc_id").cast("int")
-    samples = cards.filter((k % 50 == 0) & (k < 1000)).select(F.concat(F.lit("s"), "doc_id").alias("sample_id"), F.get(names, (k / 50).cast("int") % 4).alias("scenario_type"), F.col("doc_id").alias("target"), "category", "card")
+    n = table(spark, sf, "nation").select("n_name", (F.col("n_nationkey") * 7).cast("long").alias("ord"), F.get(names, F.col("n_nationkey") % 4).alias("scenario_type"))
+    samples = n.join(cards, "ord").select(F.col("n_name").alias("sample_id"), "scenario_type", F.col("doc_id").alias("target"), "category", "card")
     change = F.when(F.col("scenario_type") == "intent_override", simulate.override(F.col("card"), simulate.override_turn(F.col("sample_id"), F.col("scenario_type"))))
     samples = samples.withColumn("override", change)
     return metrics.session_metrics(evaluate(samples, Catalog.of(p)))
-

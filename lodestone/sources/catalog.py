@@ -22,7 +22,7 @@ PRODUCT = T.StructType(
         T.StructField("store", T.StringType()),
     ]
 )
-SAMPLE = T.StructType.fromDDL(
+SAMPLE = (
     "sample_id string, scenario_type string, category_bucket string, difficulty_bucket string, "
     "user_profile struct<purchase_frequency:string,average_prior_rating:double,rating_style:string,preference_tags:array<string>,summary:string>, "
     "ground_truth struct<parent_asin:string>, "
@@ -39,7 +39,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.struct("file", "block", "at").alias("ord"), "value").filter(F.trim("value") != "")
 
 
-def _details(value) -> F.Column:
+def _details(value):
     """The entries of a JSON object in the order in which they stand, values as text."""
     obj = F.get_json_object(value, "$.details")
     names = F.json_object_keys(obj)

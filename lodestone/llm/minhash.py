@@ -9,8 +9,10 @@ elements times coordinates: ranks are thrown in levels of doubling width until e
 coordinate has a dart.
 
 Signatures are cut into bands; sets that share a band meet in a bucket. Within a bucket the
-members are compared with one of them, by exact similarity; what is not yet in one component
-is compared again with other representatives, until a round joins nothing more.
+members are compared with one of them, by exact similarity, which connects most. Buckets that
+are then still in several components are searched whole: signatures say which members of
+different components may be alike, the exact similarity decides, and only links that join
+components leave the task.
 """
 
 from __future__ import annotations
@@ -27,6 +29,10 @@ NO_ID = -(1 << 63)
 MOST = U64(0xFFFFFFFFFFFFFFFF)
 #: Candidate sets are picked by a broadcast of their ids up to this many (16 bytes each), and by a shuffle beyond.
 MOST_BROADCAST = 250_000
+#: Buckets that stay in several components are searched whole up to this many members; see _leaders.
+MOST_MEMBERS = 20_000
+#: How far below the threshold, in standard deviations, the signatures' estimate of a pair may be that is still checked.
+MARGIN = 3.0
 
 
 def _poisson_table(mean: float) -> np.ndarray:
@@ -110,7 +116,7 @@ def class_keys(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def sign(docs: DataFrame, k: int = 5) -> DataFrame:
-    """docs has id and text. Returns id, class (key of the shingle set), shingles (how many), bands."""
+    """docs has id and text. Returns id, class (key of the shingle set), shingles (how many), bands, and 16 bits of each coordinate."""
 
     def run(batches):
         import pyarrow as pa
@@ -118,14 +124,15 @@ def sign(docs: DataFrame, k: int = 5) -> DataFrame:
         for batch in byte_batches(batches, "text"):
             sets, bounds = shingle_sets(batch.column(1), k)
             rows = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
-            bands = band_hashes(signatures(sets, rows, batch.num_rows)).astype(np.int64)
+            sig = signatures(sets, rows, batch.num_rows)
+            bands, short = band_hashes(sig).astype(np.int64), (sig & U64(0xFFFF)).astype("<u2")
             offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * bands.shape[1])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(class_keys(sets, bounds)), pa.array(np.diff(bounds)), pa.ListArray.from_arrays(offsets, pa.array(bands.ravel()))],
-                names=["id", "class", "shingles", "bands"],
+                [batch.column(0), pa.array(class_keys(sets, bounds)), pa.array(np.diff(bounds)), pa.ListArray.from_arrays(offsets, pa.array(bands.ravel())), pa.array([r.tobytes() for r in short], pa.binary())],
+                names=["id", "class", "shingles", "bands", "sig"],
             )
 
-    return docs.select("id", "text").mapInArrow(run, "id long, class long, shingles long, bands array<long>")
+    return docs.select("id", "text").mapInArrow(run, "id long, class long, shingles long, bands array<long>, sig binary")
 
 
 def set_table(docs: DataFrame, k: int = 5) -> DataFrame:
@@ -180,81 +187,135 @@ def components(edges: DataFrame, tables: _Tables) -> DataFrame:
             return labels
 
 
+def _leaders(member: DataFrame, round_: int) -> DataFrame:
+    """member (bucket, class, component). Pairs (a, b): one set of each component of a bucket, with that of one component.
+
+    A bucket of n components gives n-1 pairs. The first round takes the smallest sets, further ones others by a hash.
+    """
+    pick = F.struct(F.lit(0) if round_ == 1 else F.xxhash64("class", "bucket", F.lit(round_)), "class")
+    one = member.groupBy("bucket", "component").agg(F.min(pick)["class"].alias("class"))
+    order = F.struct(F.lit(0) if round_ == 1 else F.xxhash64("component", F.lit(round_)), "class")
+    lead = one.groupBy("bucket").agg(F.min(order)["class"].alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return one.join(lead, "bucket").filter("class != lead").select(F.least("class", "lead").alias("a"), F.greatest("class", "lead").alias("b")).distinct()
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs whose sets are similar."""
+    shared = F.size(F.array_intersect("set_a", "set_b")).cast("double")
+    a = pairs.join(sets.select(F.col("class").alias("a"), F.col("set").alias("set_a")), "a")
+    both = a.join(sets.select(F.col("class").alias("b"), F.col("set").alias("set_b")), "b")
+    both = both.filter(F.least(F.size("set_a"), F.size("set_b")) >= threshold * F.greatest(F.size("set_a"), F.size("set_b")))
+    return both.filter(shared >= threshold * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b")
+
+
+def joining_links(component: np.ndarray, sig: np.ndarray, sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """Links between members of different components, as many as join what can be joined: a pair that is connected already is not looked at."""
+    k = sig.shape[1]
+    least = threshold * k - MARGIN * (k * threshold * (1 - threshold)) ** 0.5
+    sizes = np.array([len(s) for s in sets])
+    root = np.unique(component, return_inverse=True)[1]
+    out = []
+    for i in range(len(sets) - 1):
+        rest = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
+        if not len(rest):
+            continue
+        rest = rest[np.minimum(sizes[rest], sizes[i]) >= threshold * np.maximum(sizes[rest], sizes[i])]
+        alike = rest[(sig[rest] == sig[i]).sum(axis=1) >= least]
+        for j in alike.tolist():
+            if root[j] != root[i]:
+                shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if shared >= threshold * (sizes[i] + sizes[j] - shared):
+                    out.append((i, j))
+                    root[root == root[j]] = root[i]
+    return out
+
+
+def _search_buckets(member: DataFrame, threshold: float) -> DataFrame:
+    """member (bucket, class, component, sig, set): links (a, b) that join components within a bucket."""
+
+    def run(table):
+        import pyarrow as pa
+
+        cls = table.column("class").to_numpy()
+        order = np.argsort(cls, kind="stable")
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u2").reshape(len(cls), -1)[order]
+        column = table.column("set").combine_chunks()
+        offsets, values = column.offsets.to_numpy(), column.values.to_numpy()
+        sets = [values[offsets[i] : offsets[i + 1]] for i in order.tolist()]
+        found = joining_links(table.column("component").to_numpy()[order], sig, sets, threshold)
+        cls = cls[order]
+        a, b = cls[[f[0] for f in found]], cls[[f[1] for f in found]]
+        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+    return member.groupBy("bucket").applyInArrow(run, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, k: int = 5) -> DataFrame:
     """Returns id_col, class_id and n_links: one row per document.
 
     class_id is the smallest id of the documents that links connect; a link is a Jaccard similarity of the sets of
     k-word shingles of threshold or more. Words are lower-case (ASCII) runs without white space. Documents with
-    equal sets are copies and are taken together first; n_links counts the checked links of a document's set to
-    other sets.
+    equal sets are copies and are taken together first; n_links counts the links found of a document's set to other
+    sets (as many as connect them, not all).
 
     Texts of fewer than k words have one shingle of all their words. Null and empty texts are copies of each other.
     Null ids count as smaller than all others. Rows that repeat an id are grouped each by its own text. Empty table: no
     rows. Other columns are ignored.
 
-    Scale: copies collapse before anything is joined. Buckets are reduced to a representative on the map side, so a
-    bucket of n sets gives n-1 pairs, never n*n; representatives change from round to round and bucket to bucket until
-    no two components that share a bucket are joined by a further link found. Only counts reach the driver.
+    Scale: copies collapse before anything is joined. A bucket is first reduced to a representative on the map side, so
+    that n sets give n-1 pairs, never n*n. What stays apart is searched a bucket at a time, up to MOST_MEMBERS sets;
+    larger buckets are reduced to other representatives, round by round, until a round joins nothing more. Only counts
+    reach the driver.
     """
     spark = docs.sparkSession
     tables = _Tables(spark)
     src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     signed = tables.keep(sign(src, k), "signed")
-    classes = tables.keep(signed.groupBy("class").agg(F.min("id").alias("id"), F.min("shingles").alias("shingles"), F.first("bands").alias("bands")), "classes")
+    first = [F.first(c).alias(c) for c in ("bands", "sig")]
+    classes = tables.keep(signed.groupBy("class").agg(F.min("id").alias("id"), F.min("shingles").alias("shingles"), *first), "classes")
     # an empty set has no band
     banded = classes.filter("shingles > 0").select("class", F.explode("bands").alias("bucket"))
-    full = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
+    full = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     buckets = tables.keep(banded.join(full, "bucket"), "buckets")
-    wanted = buckets.select("class").distinct().join(classes.select("class", "id"), "class")
-    wanted = tables.keep(wanted, "wanted")
+    wanted = tables.keep(buckets.select("class").distinct().join(classes.select("class", "id"), "class"), "wanted")
     n = wanted.count()
     picked = src.join(F.broadcast(wanted) if n <= MOST_BROADCAST else wanted, "id")
     # rows that repeat are one set
     sets = tables.keep(set_table(picked, k).dropDuplicates(["class"]), "sets")
 
-    edges, tested, label = None, None, None
-    for round_ in range(1, 1 << 20):
-        member = buckets if label is None else buckets.join(label.withColumnRenamed("node", "class"), "class", "left")
-        component = F.col("class") if label is None else F.coalesce("label", "class")
-        pick = F.struct(F.xxhash64("class", "bucket", F.lit(round_)), "class")
-        if round_ == 1:
-            pick = F.struct(F.col("class"))
-        one = member.withColumn("component", component).groupBy("bucket", "component").agg(F.min(pick)["class"].alias("class"))
-        order = F.struct(F.xxhash64("component", F.lit(round_)), "class") if round_ > 1 else F.struct(F.col("class"))
-        lead = one.groupBy("bucket").agg(F.min(order)["class"].alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        pairs = one.join(lead, "bucket").filter("class != lead").select(F.least("class", "lead").alias("a"), F.greatest("class", "lead").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        shared = F.size(F.array_intersect("set_a", "set_b")).cast("double")
-        likeness = shared / (F.size("set_a") + F.size("set_b") - shared)
-        sizes = F.least(F.size("set_a"), F.size("set_b")) >= threshold * F.greatest(F.size("set_a"), F.size("set_b"))
-        checked = (
-            pairs.join(sets.select(F.col("class").alias("a"), F.col("set").alias("set_a")), "a")
-            .join(sets.select(F.col("class").alias("b"), F.col("set").alias("set_b")), "b")
-            .select("a", "b", F.when(sizes, likeness >= threshold).otherwise(False).alias("linked"))
-        )
-        checked = tables.keep(checked, "checked")
-        tested = checked.select("a", "b") if tested is None else tested.union(checked.select("a", "b"))
-        new = checked.filter("linked").select("a", "b")
-        if new.isEmpty():
-            break
-        edges = new if edges is None else edges.union(new)
-        label = components(edges, tables)
-    out = signed.select("id", "class")
-    if edges is None:
-        grouped = classes.select("class", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    else:
-        degree = edges.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n_links"))
-        named = classes.select("class", "id").join(label.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
-        smallest = named.groupBy("label").agg(F.min("id").alias("class_id"))
-        grouped = named.join(smallest, "label").join(degree, "class", "left").select("class", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = written(out.join(grouped, "class").select("id", "class_id", "n_links"), "groups")
+    edges = tables.keep(_linked(_leaders(buckets.withColumn("component", F.col("class")), 1), sets, threshold), "links")
+    label = tables.keep(components(edges, tables).withColumnRenamed("node", "class"), "label")
+
+    def members() -> DataFrame:
+        return buckets.join(label, "class", "left").withColumn("component", F.coalesce("label", "class")).drop("label")
+
+    apart = members().groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
+    open_ = tables.keep(members().join(apart, "bucket"), "open")
+    inside = open_.filter(F.col("members") <= MOST_MEMBERS).join(sets, "class").join(classes.select("class", "sig"), "class")
+    more = tables.keep(_search_buckets(inside, threshold), "links")
+    large = open_.filter(F.col("members") > MOST_MEMBERS)
+    if not large.isEmpty():
+        edges = edges.union(more)
+        for round_ in range(2, 1 << 20):
+            label = tables.keep(components(edges, tables).withColumnRenamed("node", "class"), "label")
+            here = large.drop("component").join(label, "class", "left").withColumn("component", F.coalesce("label", "class"))
+            more = tables.keep(_linked(_leaders(here, round_), sets, threshold), "links")
+            if more.isEmpty():
+                break
+            edges = edges.union(more)
+    elif not more.isEmpty():
+        edges = edges.union(more)
+        label = components(edges, tables).withColumnRenamed("node", "class")
+    degree = edges.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n_links"))
+    named = classes.select("class", "id").join(label, "class", "left").withColumn("label", F.coalesce("label", "class"))
+    smallest = named.groupBy("label").agg(F.min("id").alias("class_id"))
+    grouped = named.join(smallest, "label").join(degree, "class", "left").select("class", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    out = written(signed.select("id", "class").join(grouped, "class").select("id", "class_id", "n_links"), "groups")
     tables.drop()
     null = lambda c: F.nullif(F.col(c), F.lit(NO_ID))
     return out.select(null("id").alias(id_col), null("class_id").alias("class_id"), "n_links")
 
 
-
 def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """docs without those that near_duplicates put with a smaller id; of rows that repeat an id, one stays."""
     lost = groups.filter(~F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("_lost")).distinct()

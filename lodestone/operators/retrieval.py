@@ -148,16 +148,13 @@ def char_grams(text: Column, sizes: tuple[int, ...] = (3, 4, 5)) -> Column:
     """N-grams inside words, each word with a space at both ends; a word shorter than n once as a whole."""
     words = F.transform(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
 
+    def cut(w: Column, n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1)))
+        whole = F.array(w) if n == sizes[0] else F.array().cast("array<string>")
+        return F.when(F.length(w) >= n, F.transform(starts, lambda i: F.substring(w, i, F.lit(n)))).otherwise(whole)
+
     def of(w: Column) -> Column:
-        per = [
-            F.when(F.length(w) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i, n=n: F.substring(w, i, F.lit(n))))
-            for n in sizes[1:]
-        ]
-        n = sizes[0]
-        shortest = F.when(F.length(w) > n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i: F.substring(w, i, F.lit(n)))).otherwise(F.array(w))
-        none = F.array().cast("array<string>")
-        longer = [F.when(F.length(w) > sizes[i], F.coalesce(p, none)).when((F.length(w) == sizes[i]), F.array(w)).otherwise(none) for i, p in enumerate(per)]
-        return F.concat(shortest, *longer)
+        return F.concat(*[cut(w, n) for n in sizes])
 
     return F.flatten(F.transform(words, of))
 
@@ -261,7 +258,7 @@ def vector_table_matches(vectors: DataFrame, catalog: DataFrame) -> bool:
 def exact_keys(catalog: DataFrame) -> DataFrame:
     """catalog: doc_id, ord, features (list), details (entries k, v). Returns (key, doc_id, ord): cleaned lines and their lower case."""
     lines = F.concat(F.coalesce("features", F.array().cast("array<string>")), F.coalesce(T.flatten_entries(F.col("details"), ": "), F.array().cast("array<string>")))
-    cleaned = F.filter(F.transform(lines, T.clean_constraint), lambda c: c != "")
+    cleaned = F.filter(F.transform(lines, lambda c: T.clean_constraint(c)), lambda c: c != "")
     both = F.array_distinct(F.flatten(F.transform(cleaned, lambda c: F.array(c, F.lower(c)))))
     return catalog.select(F.explode(both).alias("key"), "doc_id", "ord")
 
@@ -269,7 +266,7 @@ def exact_keys(catalog: DataFrame) -> DataFrame:
 def material_hits(catalog: DataFrame, text: Column) -> DataFrame:
     """(key, doc_id, ord) of materials that stand as words in the text."""
     low = F.lower(text)
-    found = F.filter(F.array(*[F.lit(m) for m in T.EXACT_MATERIALS]), lambda m: low.rlike(F.concat(F.lit(r"\b"), m, F.lit(r"\b"))))
+    found = F.filter(F.array(*[F.lit(m) for m in T.EXACT_MATERIALS]), lambda m: F.rlike(low, F.concat(F.lit(r"\b"), m, F.lit(r"\b"))))
     return catalog.select(F.explode(found).alias("key"), "doc_id", "ord")
 
 
@@ -312,7 +309,7 @@ def catalog_candidates(messages: DataFrame, keys: DataFrame, limit: int = MOST_C
     """
     m = messages.select("query_id", "message", T.candidate_tokens(F.col("message")).alias("said"))
     low = F.lower("message")
-    named = F.filter(F.array(*[F.lit(x) for x in T.EXACT_MATERIALS]), lambda x: low.rlike(F.concat(F.lit(r"\b"), x, F.lit(r"\b"))))
+    named = F.filter(F.array(*[F.lit(x) for x in T.EXACT_MATERIALS]), lambda x: F.rlike(low, F.concat(F.lit(r"\b"), x, F.lit(r"\b"))))
     rows = m.select("query_id", F.explode(named).alias("candidate"), F.lit(100).alias("shared"), F.lit(1.0).alias("coverage"))
     price = T.price_mentioned(F.col("message"))
     rows = rows.unionByName(m.filter(price.isNotNull()).select("query_id", F.concat(F.lit("budget around $"), price).alias("candidate"), F.lit(90).alias("shared"), F.lit(1.0).alias("coverage")))

@@ -292,7 +292,7 @@ def exact_constraints(message: Column) -> Column:
     """What the exact route reads from a message: the first marker's parts, or all of it."""
 
     def parts(pattern: str) -> Column:
-        return F.filter(F.transform(F.split(F.regexp_extract(message, pattern, 1), ";"), clean_constraint), lambda c: c != "")
+        return F.filter(F.transform(F.split(F.regexp_extract(message, pattern, 1), ";"), lambda c: clean_constraint(c)), lambda c: c != "")
 
     out = None
     for pattern in (KEY_REQUIREMENT, WHAT_I_NEED_EXACT, WHAT_MATTERS):

@@ -409,7 +409,7 @@ def bm25_fielded_top10(spark, sf):
 )
 def ngram_tfidf_top10(spark, sf):
     docs = table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), F.concat("p_name", F.lit(" "), F.lower("p_brand")).alias("text"))
-    q = table(spark, sf, "nation").select(F.col("n_nationkey").alias("query_id"), F.concat(F.lower("n_name"), F.lit(" gear ring")).alias("query"))
+    q = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("query_id"), F.concat(F.lower("n_name"), F.lit(" gear ring")).alias("query"))
     return retrieval.ngram_route(q, docs, 10, digits=6)
 
 
@@ -737,7 +737,7 @@ def latency_percentiles(spark, sf):
     return out.select("event_type", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "mean")])
 
 
-@query("SELECT value AS p50 FROM (SELECT value, row_number() OVER (ORDER BY value) - 1 AS at, count(*) OVER () AS n FROM events) WHERE at = n // 2")
+@query("SELECT value AS p50 FROM (SELECT value, row_number() OVER (ORDER BY value) - 1 AS place, count(*) OVER () AS n FROM events) WHERE place = n // 2")
 def upper_median(spark, sf):
     return metrics.upper_median(table(spark, sf, "events"), "value")
 

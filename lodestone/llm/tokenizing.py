@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import re
 from array import array
 
 import numpy as np
 
 from .common import worker_store
 
-#: White space other than the plain space and the line feed (any that Python knows), as part of a pattern.
-RARE_SPACE = r"\t\x0b\x0c\r\x1c-\x1f\x85\xa0  -     　"
+#: White space other than the plain space and the line feed, that Python knows; and the character that marks a text's start here.
+RARE = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n") + "\0"
+#: How a leading space shows in byte-level tokens, and what parts pieces where spaces do not show.
+SPACE_MARK, BAR = "Ġ", "|"
 
 
 class Encoder:
@@ -18,10 +19,11 @@ class Encoder:
 
     Both kinds of pre-tokenizer cut a text before a single space, so the pieces between spaces are
     encoded once and looked up afterwards. Texts where a space stands between other white space are
-    encoded whole. Two generations of the table bound its size.
+    encoded whole. New pieces are encoded in long lines, which are cut where a token shows that a piece
+    begins. Two generations of the table bound its size.
     """
 
-    def __init__(self, path: str, drops_space: bool, most: int = 250_000):
+    def __init__(self, path: str, drops_space: bool, most: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -31,44 +33,91 @@ class Encoder:
         self.drops_space, self.most = drops_space, most
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.odd = re.compile(rf"  |\n \n|[\x00{RARE_SPACE}]")
-
+        if drops_space:
+            (bar,) = self.tokenizer.encode(BAR, add_special_tokens=False).ids
+            self.begins = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.begins[bar] = True
+        else:
+            self.begins = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.begins[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith(SPACE_MARK)]] = True
     def _encode(self, texts: list[str]) -> list[bytes]:
         code = self.code
         return [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_pieces(self, pieces: list[str], line: int = 2048) -> dict[str, bytes]:
+        """Ids of pieces that stand after a space."""
+        if self.drops_space:
+            rest = [p for p in pieces if p and BAR not in p]
+        else:
+            rest = [p for p in pieces if p and p[0] != "\n" and p[-1] != "\n"]
+        out: dict[str, bytes] = {}
+        between = f" {BAR} " if self.drops_space else " "
+        lines = [rest[a : a + line] for a in range(0, len(rest), line)]
+        width = self.id_bytes
+        skip = width if self.drops_space else 0
+        for part, coded in zip(lines, self._encode([between + between.join(part) for part in lines]), strict=True):
+            starts = (np.flatnonzero(self.begins[np.frombuffer(coded, dtype=f"<u{width}")]) * width).tolist()
+            if len(starts) != len(part):
+                raise AssertionError("a line of pieces does not come apart")
+            starts.append(len(coded))
+            out.update(zip(part, [coded[a + skip : b] for a, b in zip(starts[:-1], starts[1:], strict=True)], strict=True))
+        if len(rest) < len(pieces):
+            # what ends in white space, is empty or has a bar cannot stand in a line
+            alone = [p for p in pieces if p not in out]
+            lead = "" if self.drops_space else " "
+            out.update(zip(alone, self._encode([lead + p for p in alone]), strict=True))
+        return out
+
+    def _whole(self, text: str) -> bool:
+        """Whether the text is to be encoded as it is."""
+        if self.drops_space:
+            return "\0" in text
+        return "  " in text or "\n \n" in text or any(c in text for c in RARE)
+
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """The table, with these pieces in it."""
+        young, old = self.young, self.old
+        new = pieces
+        if old:
+            known = list(map(old.get, pieces))
+            young.update((p, x) for p, x in zip(pieces, known, strict=True) if x is not None)
+            new = [p for p, x in zip(pieces, known, strict=True) if x is None]
+        if not self.drops_space:
+            first = [p for p in new if p[:1] == "\0"]
+            young.update(zip(first, self._encode([p[1:] for p in first]), strict=True))
+            new = [p for p in new if p[:1] != "\0"] if first else new
+        young.update(self._encode_pieces(new))
+        return young
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut: list[list[str] | None] = []
-        wanted: set[str] = set()
+        flat: list[str] = []
+        ends: list[int] = []
+        whole = [t for t in texts if self._whole(t)]
+        coded_whole = iter(self._encode(whole))
         for text in texts:
             if self.drops_space:
-                pieces = text.replace("\n", " ").split(" ")
-            elif self.odd.search(text):
-                cut.append(None)
-                continue
-            else:
+                if "\0" not in text:
+                    flat += text.replace("\n", " ").split(" ")
+            elif not whole or not self._whole(text):
                 pieces = text.split(" ")
                 # what stands at the start has no space before it
                 pieces[0] = "\0" + pieces[0]
-            wanted.update(pieces)
-            cut.append(pieces)
-        if len(self.young) + len(wanted) > self.most:
+                flat += pieces
+            ends.append(len(flat))
+        if len(self.young) > self.most:
             self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        new = []
-        for piece in wanted:
-            if piece not in young:
-                if piece in old:
-                    young[piece] = old[piece]
-                else:
-                    new.append(piece)
-        if self.drops_space:
-            young.update(zip(new, self._encode(new), strict=True))
-        else:
-            young.update(zip(new, self._encode([p[1:] if p[:1] == "\0" else " " + p for p in new]), strict=True))
-        whole = iter(self._encode([t for t, p in zip(texts, cut, strict=True) if p is None]))
-        get = young.__getitem__
-        return [next(whole) if pieces is None else b"".join(map(get, pieces)) for pieces in cut]
+        parts = list(map(self.young.get, flat))
+        gaps = [i for i, x in enumerate(parts) if x is None]
+        if gaps:
+            young = self._learn(list(dict.fromkeys(map(flat.__getitem__, gaps))))
+            for i in gaps:
+                parts[i] = young[flat[i]]
+        out, start = [], 0
+        for end in ends:
+            # a text that gave no piece is one of the whole ones
+            out.append(b"".join(parts[start:end]) if end > start else next(coded_whole))
+            start = end
+        return out
 
 
 def encoder(path: str, drops_space: bool) -> Encoder:

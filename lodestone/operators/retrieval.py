@@ -6,6 +6,8 @@ at a time; joins on terms, constraints and categories do what look-ups do for on
 
 from __future__ import annotations
 
+from typing import Protocol
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,23 @@ MOST_CANDIDATES, MOST_LEXICAL = 32, 256
 # End of the fixed values.
 
 
+class Route(Protocol):
+    """What fusion takes: a route answers queries (query_id, query) with (query_id, doc_id, score, rank)."""
+
+    def query(self, queries: DataFrame, k: int) -> DataFrame: ...
+
+
+def collect_routes(routes: dict[str, Route], queries: DataFrame, k: int) -> DataFrame:
+    """All routes' valid rows in long form, with the route's name; a route that is off is not given."""
+    out = None
+    for name, route in routes.items():
+        rows = valid_rows(route.query(queries, k)).select(F.lit(name).alias("route"), "query_id", F.col("doc_id").cast("string").alias("doc_id"), "score", "rank")
+        out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        raise ValueError("no routes")
+    return out
+
+
 def top_k(scored: DataFrame, k: int, by: list[str], order: list[Column], rank: str = "rank") -> DataFrame:
     """The first k rows of each group in a total order; Spark keeps k rows per task before it shuffles."""
     return scored.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col(rank) <= k)
@@ -63,6 +82,18 @@ class WordIndex:
         self.size = self.lengths.agg(F.count(F.lit(1)).cast("double").alias("docs"), F.avg("len").alias("mean_len"))
         self._weight = F.create_map(*[F.lit(x) for pair in fields.items() for x in pair])
 
+    def stored(self, path: str) -> WordIndex:
+        """The same index over tables written at path: tokens once per field, lengths once per document."""
+        spark = self.tokens.sparkSession
+        self.tokens.write.parquet(f"{path}/tokens")
+        out = object.__new__(WordIndex)
+        out.fields, out._weight = self.fields, self._weight
+        out.tokens = spark.read.schema(self.tokens.schema).parquet(f"{path}/tokens")
+        doc_lengths(out.tokens).write.parquet(f"{path}/lengths")
+        out.lengths = spark.read.parquet(f"{path}/lengths")
+        out.size = out.lengths.agg(F.count(F.lit(1)).cast("double").alias("docs"), F.avg("len").alias("mean_len"))
+        return out
+
     def term_hits(self, wanted: DataFrame) -> DataFrame:
         """Weighted frequency of each wanted term in each document. wanted: distinct terms; only their postings are made."""
         each = self.tokens.select("doc_id", "field", F.explode("tokens").alias("term"))

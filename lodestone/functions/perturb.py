@@ -57,6 +57,7 @@ MATERIAL_WORDS = {
 OPENING_FORMS = ["Please help me find {}", "I'm hoping to get {}", "Could you show me {}"]
 ENDINGS = [".", "!", "..."]
 MARKER_FORMS = ["My main requirement is:", "The important part is:"]
+SEED = "member2-day4"
 # End of the fixed values.
 
 
@@ -97,7 +98,7 @@ def failure_reason(original: Column, perturbed: Column) -> Column:
     )
 
 
-def paraphrase(message: Column, reworded: Column, level: int, seed: str = "member2-day4") -> Column:
+def paraphrase(message: Column, reworded: Column, level: int, seed: str = SEED) -> Column:
     """The message at a level from 0 (as it is) to 4 (the constraint itself in other words).
 
     Choices come from Python's generator, seeded by seed, level and message, so they are the same everywhere.

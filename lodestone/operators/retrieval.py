@@ -100,12 +100,19 @@ class WordIndex:
         return each.join(wanted, "term").groupBy("term", "doc_id").agg(F.sum(F.element_at(self._weight, F.col("field"))).alias("tf"))
 
     def phrase_hits(self, phrases: DataFrame) -> DataFrame:
-        """The same for phrases (phrase_id, words): a positional join of each word with the place of the first."""
-        first = phrases.select("phrase_id", F.size("words").alias("n"), F.posexplode("words").alias("step", "term"))
-        each = postings(self.tokens, positions=True)
-        starts = each.join(first, "term").select("phrase_id", "n", "doc_id", "field", (F.col("pos") - F.col("step")).alias("start"), "step")
-        whole = starts.groupBy("phrase_id", "n", "doc_id", "field", "start").agg(F.count_distinct("step").alias("steps")).filter("steps = n")
-        return whole.groupBy("phrase_id", "doc_id").agg(F.sum(F.element_at(self._weight, F.col("field"))).alias("tf"))
+        """The same for phrases (phrase_id, words). Fields that have a phrase's rarest word are found by a join; only these are read through."""
+        words = phrases.select("phrase_id", F.explode(F.array_distinct("words")).alias("term"))
+        each = self.tokens.select("doc_id", "field", F.explode(F.array_distinct("tokens")).alias("term"))
+        df = each.join(words.select("term").distinct(), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        rarest = F.min(F.struct(F.coalesce("df", F.lit(0)), "term"))["term"]
+        anchors = words.join(df, "term", "left").groupBy("phrase_id").agg(rarest.alias("term"))
+        places = each.join(anchors, "term").select("doc_id", "field", "phrase_id")
+        rows = places.join(self.tokens, ["doc_id", "field"]).join(phrases.select("phrase_id", "words"), "phrase_id")
+        n, t, w = F.size("words"), F.col("tokens"), F.col("words")
+        starts = F.sequence(F.lit(1), F.greatest(F.size(t) - n + 1, F.lit(1)))
+        found = F.filter(starts, lambda i: (F.get(t, i - 1) == w[0]) & (F.slice(t, i, n) == w))
+        hits = rows.withColumn("found", F.size(found)).filter("found > 0")
+        return hits.groupBy("phrase_id", "doc_id").agg(F.sum(F.col("found") * F.element_at(self._weight, F.col("field"))).alias("tf"))
 
     def scores(self, hits: DataFrame, key: str) -> DataFrame:
         """Adds weight: what one occurrence of the key in the query adds to a document's score."""

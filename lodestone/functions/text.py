@@ -130,8 +130,8 @@ def norm(text: Column) -> Column:
 
 
 def flatten_entries(entries: Column, separator: str = " ") -> Column:
-    """Ordered (k, v) entries as one string each."""
-    return F.transform(entries, lambda e: F.concat(e["k"], F.lit(separator), e["v"]))
+    """Ordered (k, v) entries as one string each. A missing value shows as None, as an index of the original has it."""
+    return F.transform(entries, lambda e: F.concat(e["k"], F.lit(separator), F.coalesce(e["v"], F.lit("None"))))
 
 
 def flatten(value: Column, kind: str) -> Column:

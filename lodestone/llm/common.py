@@ -6,6 +6,7 @@ import sys
 import tempfile
 import types
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -48,6 +49,16 @@ def worker_store() -> dict:
     return module.__dict__
 
 
+def only(key, make: Callable):
+    """What make() gives, kept in this process for the key; anything kept for another key goes, so that stages do not add up."""
+    store = worker_store()
+    held = store.get("only")
+    if held is None or held[0] != key:
+        store.clear()
+        store["only"] = held = key, make()
+    return held[1]
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on unsigned 64-bit integers (xor-shift and multiply, two rounds)."""
     x = x ^ (x >> U64(32))

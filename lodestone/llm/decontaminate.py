@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, byte_batches, mix64, worker_store
+from .common import U64, byte_batches, mix64, only, worker_store
 
 Q = 8
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -185,10 +185,7 @@ def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"
 
 
 def _index(key: str, shared, edit_rate: float) -> Items:
-    store = worker_store()
-    if store.get("items", (None,))[0] != key:
-        store["items"] = key, Items(shared.value, edit_rate)
-    return store["items"][1]
+    return only(key, lambda: Items(shared.value, edit_rate))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", edit_rate: float = 0.1) -> DataFrame:

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, byte_batches, mix64, worker_store
+from .common import U64, byte_batches, mix64, only
 
 START = "▁"
 LONGEST_WORD = 40
@@ -236,10 +236,7 @@ def predict(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_co
     def run(batches):
         import pyarrow as pa
 
-        store = worker_store()
-        if store.get("language", (None,))[0] != key:
-            store["language"] = key, Scorer(shared.value)
-        scorer = store["language"][1]
+        scorer = only(key, lambda: Scorer(shared.value))
         for batch in byte_batches(batches, "text"):
             langs, score = scorer.score(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=[id_col, "lang_pred", "score"])

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from array import array
+from collections import Counter
 
 import numpy as np
 
-from .common import worker_store
+from .common import only
 
 #: White space other than the plain space and the line feed, that Python knows; and the character that marks a text's start here.
 RARE = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n") + "\0"
 #: How a leading space shows in byte-level tokens, and what parts pieces where spaces do not show.
 SPACE_MARK, BAR = "Ġ", "|"
+#: How many of the most frequent pieces of the first texts are kept apart.
+HOT = 12_000
 
 
 class Encoder:
@@ -33,6 +36,7 @@ class Encoder:
         self.drops_space, self.most = drops_space, most
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.hot: dict[str, bytes] = {}
         if drops_space:
             (bar,) = self.tokenizer.encode(BAR, add_special_tokens=False).ids
             self.begins = np.zeros(self.tokenizer.get_vocab_size(), bool)
@@ -106,12 +110,18 @@ class Encoder:
             ends.append(len(flat))
         if len(self.young) > self.most:
             self.old, self.young = self.young, {}
-        parts = list(map(self.young.get, flat))
-        gaps = [i for i, x in enumerate(parts) if x is None]
-        if gaps:
-            young = self._learn(list(dict.fromkeys(map(flat.__getitem__, gaps))))
-            for i in gaps:
-                parts[i] = young[flat[i]]
+        # most look-ups end in a small table that stays in the processor's cache
+        parts = list(map(self.hot.get, flat))
+        cold = [i for i, x in enumerate(parts) if x is None]
+        pieces = [flat[i] for i in cold]
+        found = list(map(self.young.get, pieces))
+        if None in found:
+            young = self._learn(list(dict.fromkeys(p for p, x in zip(pieces, found, strict=True) if x is None)))
+            found = [young[p] if x is None else x for p, x in zip(pieces, found, strict=True)]
+        for i, x in zip(cold, found, strict=True):
+            parts[i] = x
+        if not self.hot and len(flat) > 50_000:
+            self.hot = {p: self.young[p] for p, _ in Counter(flat).most_common(HOT)}
         out, start = [], 0
         for end in ends:
             # a text that gave no piece is one of the whole ones
@@ -125,11 +135,7 @@ def encoder(path: str, drops_space: bool) -> Encoder:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    key = ("encoder", path, drops_space)
-    store = worker_store()
-    if key not in store:
-        store[key] = Encoder(path, drops_space)
-    return store[key]
+    return only(("encoder", path, drops_space), lambda: Encoder(path, drops_space))
 
 
 def wide(ids: bytes, id_bytes: int) -> np.ndarray:

@@ -10,13 +10,12 @@ over all overlapping windows of its whole text. Everything is trained here, in n
 from __future__ import annotations
 
 import uuid
-from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, byte_batches, mix64, worker_store
+from .common import U64, byte_batches, mix64, only
 
 WINDOW, STRIDE = 32, 24
 HIDDEN, ATTENTION = 8, 8
@@ -25,6 +24,10 @@ INPUT = WORD_DIM + CHAR_DIM + 2
 GRAM_ROWS = 1 << 15
 GRAM_SIZES = (3, 4, 5)
 LONGEST = 24
+#: N-grams of fewer documents are not learnt; embeddings shrink by this share of the step size.
+LEAST_DOCS, DECAY = 8, 1.0
+#: Share of words whose own embedding is hidden in training.
+HIDE = 0.2
 STRIP = ".,;:!?\"'()[]{}<>|*#-_…«»„“”"
 LOW = np.float32
 
@@ -153,8 +156,9 @@ class Network:
         x = np.concatenate([self.p["word"][ids], chars, self.word_odds[ids][:, None], best[:, None]], axis=1).astype(LOW)
         return x, (ids, word, row, count)
 
-    def gates(self, words: list[str]) -> np.ndarray:
-        return self.inputs(words)[0] @ self.p["w"] + self.p["b"]
+    def gates(self, words: list[str], block: int = 8192) -> np.ndarray:
+        parts = [self.inputs(words[a : a + block])[0] @ self.p["w"] + self.p["b"] for a in range(0, len(words), block)]
+        return np.concatenate(parts) if parts else np.zeros((0, 6 * HIDDEN), LOW)
 
     def forward(self, gates: np.ndarray, mask: np.ndarray | None, keep: bool = False):
         """gates: time, row, 6*HIDDEN, of windows. Returns logits and what backward needs."""
@@ -192,15 +196,11 @@ class Network:
         return np.concatenate([d_f, d_b[::-1]], axis=2), g
 
 
-def _odds(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int, least: int) -> dict:
-    """Shrunk log odds by document counts, for what stands in least documents or more."""
-    out = {}
-    for key in toxic.keys() | clean.keys():
-        t, c = toxic[key], clean[key]
-        if t + c >= least:
-            raw = np.log((t + 0.5) / (n_toxic + 1)) - np.log((c + 0.5) / (n_clean + 1))
-            out[key] = float(np.clip(raw * (t + c) / (t + c + 4), -4, 4)) / 2
-    return out
+def _odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """Log odds by document counts: the end nearer to zero of their 95 % interval, within -4 and 4; zero for what few documents have."""
+    raw = np.log((toxic + 0.5) / (n_toxic + 1)) - np.log((clean + 0.5) / (n_clean + 1))
+    sure = np.maximum(np.abs(raw) - 1.96 * np.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5)), 0) * np.sign(raw)
+    return np.where(toxic + clean >= LEAST_DOCS, np.clip(sure, -4, 4), 0).astype(LOW)
 
 
 def fit(texts: list[str], toxic: list[int], rounds: int = 10, most_words: int = 20_000, seed: int = 7) -> Network | None:
@@ -215,32 +215,44 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 10, most_words: int =
     number: dict[str, int] = {}
     docs = [np.array([number.setdefault(w, len(number)) for w in map(plain, t.split())], np.int64) for t in texts]
     words = list(number)
-    in_docs = {1: Counter(), 0: Counter()}
+    in_docs = {k: np.zeros(len(words)) for k in (0, 1)}
     gram_docs = {1: np.zeros(GRAM_ROWS), 0: np.zeros(GRAM_ROWS)}
-    word_of, gram_row = grams(words)
-    first = np.searchsorted(word_of, np.arange(len(words) + 1))
+    # rows of the n-gram table of all words, end to end, and where each word's begin
+    gram_parts, gram_counts = [], []
+    for a in range(0, len(words), 8192):
+        word_of, row = grams(words[a : a + 8192])
+        gram_parts.append(row.astype(np.int32))
+        gram_counts.append(np.bincount(word_of))
+    gram_row = np.concatenate(gram_parts) if gram_parts else np.zeros(0, np.int32)
+    first = np.concatenate([[0], np.cumsum(np.concatenate(gram_counts) if gram_counts else np.zeros(0, np.int64))])
     for d, label in zip(docs, toxic, strict=True):
         own = np.unique(d)
-        in_docs[label].update(own.tolist())
+        in_docs[label][own] += 1
         rows = np.concatenate([gram_row[first[w] : first[w + 1]] for w in own.tolist()]) if len(own) else np.zeros(0, np.int64)
         gram_docs[label][np.unique(rows)] += 1
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
-    odds = _odds(in_docs[1], in_docs[0], n1, n0, least=3)
-    common = sorted(odds, key=lambda w: (-abs(odds[w]), -(in_docs[1][w] + in_docs[0][w]), words[w]))[:most_words]
+    odds, both = _odds(in_docs[1], in_docs[0], n1, n0), in_docs[1] + in_docs[0]
+    known = np.flatnonzero(both >= LEAST_DOCS).tolist()
+    common = sorted(known, key=lambda w: (-abs(odds[w]), -both[w], words[w]))[:most_words]
     vocabulary = {words[w]: i + 1 for i, w in enumerate(common)}
-    word_odds = np.array([0.0] + [odds[w] for w in common], LOW)
+    word_odds = np.concatenate([np.zeros(1, LOW), odds[common]])
     both = gram_docs[1] + gram_docs[0]
-    raw = np.log((gram_docs[1] + 0.5) / (n1 + 1)) - np.log((gram_docs[0] + 0.5) / (n0 + 1))
-    gram_odds = np.where(both >= 4, np.clip(raw * both / (both + 6), -4, 4) / 2, 0).astype(LOW)
+    gram_odds = _odds(gram_docs[1], gram_docs[0], n1, n0)
     net = Network.new(vocabulary, word_odds, gram_odds, seed)
+    # n-grams of few documents would only be learnt by heart
+    rare = both < LEAST_DOCS
+    net.p["gram"][rare] = 0
 
     spans = [(i, a, b) for i, d in enumerate(docs) for a, b in windows_of(len(d))]
     owner = np.array([s[0] for s in spans])
-    index = np.full((len(spans), WINDOW), -1, np.int64)
+    index = np.full((len(spans), WINDOW), -1, np.int32)
     for k, (i, a, b) in enumerate(spans):
         index[k, : b - a] = docs[i][a:b]
-    x, _ = net.inputs(words)
-    strong = np.append((x[:, -2] + x[:, -1]), 0.0)
+    del gram_parts
+    strong = np.zeros(len(words) + 1, LOW)
+    for a in range(0, len(words), 8192):
+        x, _ = net.inputs(words[a : a + 8192])
+        strong[a : a + len(x)] = x[:, -2] + x[:, -1]
     scores = strong[index].max(axis=1) + 0.01 * strong[index].sum(axis=1)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
@@ -259,6 +271,11 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 10, most_words: int =
             where = where.reshape(len(part), WINDOW).T
             pad = int(ids[0] == -1)
             x, (word_ids, word, row, count) = net.inputs([words[i] for i in ids[pad:]] or [""])
+            # some words are hidden, so that their letters have to do
+            hidden = rng.random(len(x)) < HIDE
+            x[hidden, :WORD_DIM] = net.p["word"][0]
+            x[hidden, -2] = 0
+            word_ids = np.where(hidden, 0, word_ids)
             gates_of = x @ net.p["w"] + net.p["b"]
             mask = (index[part].T >= 0).astype(LOW)
             gates = gates_of[np.maximum(where - pad, 0)]
@@ -275,35 +292,38 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 10, most_words: int =
             np.add.at(grad["word"], word_ids, d_x[:, :WORD_DIM])
             grad["gram"] = np.zeros_like(net.p["gram"])
             np.add.at(grad["gram"], row, (d_x[:, WORD_DIM : WORD_DIM + CHAR_DIM] / count[:, None])[word])
+            grad["gram"][rare] = 0
             step += 1
             for k, g in grad.items():
                 m, v = moments[k]
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
                 net.p[k] -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)).astype(LOW)
+                if k in ("word", "gram"):
+                    net.p[k] *= LOW(1 - DECAY * rate)
         table = np.concatenate([net.gates(words), np.zeros((1, 6 * HIDDEN), LOW)])
-        scores = np.concatenate([net.forward(table[index[a : a + 4096].T], (index[a : a + 4096].T >= 0).astype(LOW))[0] for a in range(0, len(index), 4096)])
+        scores = np.concatenate([net.forward(table[index[a : a + 1024].T], (index[a : a + 1024].T >= 0).astype(LOW))[0] for a in range(0, len(index), 1024)])
     return net
 
 
 class Scorer:
     """Scores texts, keeping the gates' inputs of what stands between spaces."""
 
-    def __init__(self, net: Network, most: int = 150_000):
+    def __init__(self, net: Network, most: int = 90_000):
         self.net, self.most = net, most
         self._clear()
 
     def _clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.table = np.zeros((1 << 14, 6 * HIDDEN), LOW)
+        self.table = np.zeros((self.most, 6 * HIDDEN), LOW)
         self.used = 1  # row 0 is padding
 
     def _learn(self, units: list[str]) -> None:
-        for a in range(0, len(units), 8192):
-            part = units[a : a + 8192]
+        for a in range(0, len(units), 4096):
+            part = units[a : a + 4096]
             need = self.used + len(part)
             if need > len(self.table):
-                self.table = np.concatenate([self.table, np.zeros((max(need - len(self.table), len(self.table)), 6 * HIDDEN), LOW)])
+                self.table = np.concatenate([self.table, np.zeros((need - len(self.table) + 4096, 6 * HIDDEN), LOW)])
             self.table[self.used : need] = self.net.gates([plain(u) for u in part])
             self.index.update(zip(part, range(self.used, need), strict=True))
             self.used = need
@@ -330,8 +350,8 @@ class Scorer:
         steps = np.arange(WINDOW)[:, None]
         for is_full in (True, False):
             which = np.flatnonzero(full == is_full)
-            for a in range(0, len(which), 2048):
-                k = which[a : a + 2048]
+            for a in range(0, len(which), 1024):
+                k = which[a : a + 1024]
                 rows = flat[(starts[owner[k]] + begin[k])[None, :] + steps]
                 mask = None
                 if not is_full:
@@ -357,8 +377,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit([r["text"] for r in texts], [labelled[r["id"]] for r in texts])
 
 
-def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Returns id_col, the columns keep, and score: one row per document.
+def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """Returns id_col and score, or, given a struct column row_col that holds the text, row_col and score: one row per document.
 
     Null and empty texts have one window without words, whose score the network gives. Without a network (a class
     without examples) the score is 0. Rows that repeat, and null ids, are scored each for itself. Empty table: no rows.
@@ -367,22 +387,20 @@ def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col
     Scale: no shuffle; the network is of fixed size and goes to the executors once; workers keep the inputs of a
     bounded number of words.
     """
-    src = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.col(id_col), *keep)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema[1:]) + ", score double"
+    src = docs.select(row_col) if row_col else docs.select(id_col, text_col)
+    kept = src.columns[0]
     if net is None:
-        return src.drop("_text").withColumn("score", F.lit(0.0))
+        return src.select(kept, F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast((net.p, net.vocabulary, net.word_odds, net.gram_odds))
     key = uuid.uuid4().hex
 
     def run(batches):
         import pyarrow as pa
 
-        store = worker_store()
-        if store.get("toxicity", (None,))[0] != key:
-            store["toxicity"] = key, Scorer(Network(*shared.value))
-        scorer = store["toxicity"][1]
-        for batch in byte_batches(batches, "_text"):
-            scores = scorer.score(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores, pa.float64())], names=[*batch.schema.names[1:], "score"])
+        scorer = only(key, lambda: Scorer(Network(*shared.value)))
+        pairs = (pa.RecordBatch.from_arrays([b.column(0), b.column(0).field(text_col) if row_col else b.column(1)], names=["kept", "_text"]) for b in batches)
+        for batch in byte_batches(pairs, "_text", 1_000_000):
+            scores = scorer.score([t or "" for t in batch.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=[kept, "score"])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(run, f"`{kept}` {src.schema[kept].dataType.simpleString()}, score double")

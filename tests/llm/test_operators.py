@@ -157,9 +157,12 @@ def test_toxicity(spark):
     # the same, whatever texts are scored together, and through Spark
     again = toxicity.Scorer(net, most=50).score(texts[400:410])
     assert np.allclose(one[:10], again, atol=1e-5)
-    got = rows(toxicity.score(docs(spark, [*texts[400:410], *ODD]), net, keep=("lang",)))
+    table = docs(spark, [*texts[400:410], *ODD])
+    got = rows(toxicity.score(table, net))
+    inside = toxicity.score(table.select(F.struct("*").alias("row")), net, row_col="row").select("row.*", "score")
+    assert {(r["doc_id"], r["lang"], round(r["score"], 5)) for r in inside.collect()} == {(i, "en", round(r["score"], 5)) for i, r in got.items()}
     assert np.allclose([got[i]["score"] for i in range(10)], one[:10], atol=1e-5)
-    assert all(0 <= r["score"] <= 1 for r in got.values()) and got[0]["lang"] == "en"
+    assert all(0 <= r["score"] <= 1 for r in got.values())
     assert toxicity.fit(texts, [0] * len(texts)) is None
     assert toxicity.score(docs(spark, ["a"]), None).first()["score"] == 0.0
 

@@ -20,7 +20,7 @@ def _row(docs: DataFrame) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.7 or more go."""
     net = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(_row(docs), net, keep=("row",)).filter(F.col("score") < 0.7).select("row.*")
+    return toxicity.score(_row(docs).select("row"), net, row_col="row").filter(F.col("score") < 0.7).select("row.*")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokenizing import encoder, wide
+from .tokenizing import MOST_PIECES, encoder, wide
 from .common import byte_batches
 
 
@@ -82,14 +82,14 @@ class Packer:
         self.open = {}
 
 
-def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 1) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 1, kept_pieces: int = MOST_PIECES) -> DataFrame:
     """Returns doc_id, start, length, doc_tokens, sequence_id, offset, ids (uint32 bytes): one row per piece.
 
     A document's ids are those of its whole text and the end id. Null texts are empty. Null ids and rows that
     repeat an id are packed like others, each row for itself. Empty table: no rows. Other columns are ignored.
 
     Scale: no shuffle; a worker is a partition of the input and keeps fewer than k pieces of each class k, which
-    is less than capacity * ln(capacity) pieces in all.
+    is less than capacity * ln(capacity) pieces in all. kept_pieces trades a worker's memory for speed.
     """
     if capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
@@ -99,7 +99,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        tokens = encoder(tokenizer_path, drops_space=True)
+        tokens = encoder(tokenizer_path, True, kept_pieces)
         end = np.array([end_id], dtype=f"<u{tokens.id_bytes}").tobytes()
         packer = Packer(capacity, TaskContext.get().partitionId(), tokens.id_bytes)
         kinds = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary()), ("sequence_id", pa.int64()), ("offset", pa.int64())]

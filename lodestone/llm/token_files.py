@@ -161,7 +161,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, id_col: s
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        tokens = encoder(tokenizer_path, drops_space=False)
+        tokens = encoder(tokenizer_path, False)
         end = np.array([end_id], dtype=f"<u{tokens.id_bytes}").tobytes()
         store, root = fs.FileSystem.from_uri(folder)
         keys, ids, size, made = [], [], 0, []

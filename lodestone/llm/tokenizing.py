@@ -15,6 +15,7 @@ RARE = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in "
 SPACE_MARK, BAR = "Ġ", "|"
 #: How many of the most frequent pieces of the first texts are kept apart.
 HOT = 12_000
+MOST_PIECES = 700_000
 
 
 class Encoder:
@@ -26,7 +27,7 @@ class Encoder:
     begins. Two generations of the table bound its size.
     """
 
-    def __init__(self, path: str, drops_space: bool, most: int = 700_000):
+    def __init__(self, path: str, drops_space: bool, most: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -130,12 +131,12 @@ class Encoder:
         return out
 
 
-def encoder(path: str, drops_space: bool) -> Encoder:
-    """This process's encoder for the file."""
+def encoder(path: str, drops_space: bool, most: int = MOST_PIECES) -> Encoder:
+    """This process's encoder for the file. most: pieces kept in each of two generations (about 200 bytes each)."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return only(("encoder", path, drops_space), lambda: Encoder(path, drops_space))
+    return only(("encoder", path, drops_space, most), lambda: Encoder(path, drops_space, most))
 
 
 def wide(ids: bytes, id_bytes: int) -> np.ndarray:

@@ -41,10 +41,10 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens."""
+    """Sequences of at most 2048 tokens. A smaller table of pieces leaves room for what earlier stages left in the executors."""
     import public_tokenizers
 
-    rows = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    rows = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), kept_pieces=150_000)
     return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

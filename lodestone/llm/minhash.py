@@ -29,7 +29,7 @@ NO_ID = -(1 << 63)
 MOST = U64(0xFFFFFFFFFFFFFFFF)
 #: Candidate sets are picked by a broadcast of their ids up to this many (16 bytes each), and by a shuffle beyond.
 MOST_BROADCAST = 250_000
-#: Buckets that stay in several components are searched whole up to this many members; see _leaders.
+#: Buckets that stay in several components are searched by one task up to this many members, and by pairs of blocks beyond; see _in_blocks.
 MOST_MEMBERS = 20_000
 #: How far below the threshold, in standard deviations, the signatures' estimate of a pair may be that is still checked.
 MARGIN = 3.0
@@ -187,18 +187,28 @@ def components(edges: DataFrame, tables: _Tables) -> DataFrame:
             return labels
 
 
-def _leaders(member: DataFrame, round_: int) -> DataFrame:
-    """member (bucket, class, component). Pairs (a, b): one set of each component of a bucket, with that of one component.
+def _leaders(member: DataFrame) -> DataFrame:
+    """member (bucket, class, component). Pairs (a, b): the smallest set of each component of a bucket, with the smallest of the bucket.
 
-    A bucket of n components gives n-1 pairs. The first round takes the smallest sets, further ones others by a hash.
+    A bucket of n components gives n-1 pairs.
     """
-    pick = F.struct(F.lit(0) if round_ == 1 else F.xxhash64("class", "bucket", F.lit(round_)), "class")
-    one = member.groupBy("bucket", "component").agg(F.min(pick)["class"].alias("class"))
-    order = F.struct(F.lit(0) if round_ == 1 else F.xxhash64("component", F.lit(round_)), "class")
-    lead = one.groupBy("bucket").agg(F.min(order)["class"].alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    one = member.groupBy("bucket", "component").agg(F.min("class").alias("class"))
+    lead = one.groupBy("bucket").agg(F.min("class").alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     return one.join(lead, "bucket").filter("class != lead").select(F.least("class", "lead").alias("a"), F.greatest("class", "lead").alias("b")).distinct()
 
 
+def _in_blocks(member: DataFrame) -> DataFrame:
+    """member (bucket, class, component, members), with block, low and high: the groups (bucket, low, high) to search.
+
+    A bucket of up to MOST_MEMBERS is one group. A larger one is dealt into blocks of half as many by a hash, and each
+    pair of blocks, and each block by itself, is a group, so that every pair of members meets in exactly one group.
+    """
+    blocks = F.when(F.col("members") <= MOST_MEMBERS, F.lit(1)).otherwise(F.ceil(F.col("members") / max(1, MOST_MEMBERS // 2)).cast("int"))
+    dealt = member.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return met.select("bucket", "class", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs whose sets are similar."""
     shared = F.size(F.array_intersect("set_a", "set_b")).cast("double")
@@ -208,8 +218,11 @@ def _linked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.filter(shared >= threshold * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b")
 
 
-def joining_links(component: np.ndarray, sig: np.ndarray, sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
-    """Links between members of different components, as many as join what can be joined: a pair that is connected already is not looked at."""
+def joining_links(component: np.ndarray, sig: np.ndarray, sets: list[np.ndarray], threshold: float, block: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links between members of different components, as many as join what can be joined: a pair that is connected already is not looked at.
+
+    Given block, only pairs of different blocks are looked at.
+    """
     k = sig.shape[1]
     least = threshold * k - MARGIN * (k * threshold * (1 - threshold)) ** 0.5
     sizes = np.array([len(s) for s in sets])
@@ -217,6 +230,8 @@ def joining_links(component: np.ndarray, sig: np.ndarray, sets: list[np.ndarray]
     out = []
     for i in range(len(sets) - 1):
         rest = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
+        if block is not None:
+            rest = rest[block[rest] != block[i]]
         if not len(rest):
             continue
         rest = rest[np.minimum(sizes[rest], sizes[i]) >= threshold * np.maximum(sizes[rest], sizes[i])]
@@ -231,7 +246,7 @@ def joining_links(component: np.ndarray, sig: np.ndarray, sets: list[np.ndarray]
 
 
 def _search_buckets(member: DataFrame, threshold: float) -> DataFrame:
-    """member (bucket, class, component, sig, set): links (a, b) that join components within a bucket."""
+    """member (bucket, low, high, block, class, component, sig, set): links (a, b) that join components within a bucket."""
 
     def run(table):
         import pyarrow as pa
@@ -242,12 +257,14 @@ def _search_buckets(member: DataFrame, threshold: float) -> DataFrame:
         column = table.column("set").combine_chunks()
         offsets, values = column.offsets.to_numpy(), column.values.to_numpy()
         sets = [values[offsets[i] : offsets[i + 1]] for i in order.tolist()]
-        found = joining_links(table.column("component").to_numpy()[order], sig, sets, threshold)
+        apart = table.column("low")[0] != table.column("high")[0]
+        block = table.column("block").to_numpy()[order] if apart else None
+        found = joining_links(table.column("component").to_numpy()[order], sig, sets, threshold, block)
         cls = cls[order]
         a, b = cls[[f[0] for f in found]], cls[[f[1] for f in found]]
         return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
-    return member.groupBy("bucket").applyInArrow(run, "a long, b long").distinct()
+    return member.groupBy("bucket", "low", "high").applyInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, k: int = 5) -> DataFrame:
@@ -263,9 +280,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows. Other columns are ignored.
 
     Scale: copies collapse before anything is joined. A bucket is first reduced to a representative on the map side, so
-    that n sets give n-1 pairs, never n*n. What stays apart is searched a bucket at a time, up to MOST_MEMBERS sets;
-    larger buckets are reduced to other representatives, round by round, until a round joins nothing more. Only counts
-    reach the driver.
+    that n sets give n-1 pairs, never n*n. What stays apart is searched whole, a bucket at a time; a bucket of more than
+    MOST_MEMBERS sets is searched by pairs of blocks in tasks of about MOST_MEMBERS sets, each set being sent once for
+    every block. Only counts reach the driver.
     """
     spark = docs.sparkSession
     tables = _Tables(spark)
@@ -283,7 +300,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # rows that repeat are one set
     sets = tables.keep(set_table(picked, k).dropDuplicates(["class"]), "sets")
 
-    edges = tables.keep(_linked(_leaders(buckets.withColumn("component", F.col("class")), 1), sets, threshold), "links")
+    edges = tables.keep(_linked(_leaders(buckets.withColumn("component", F.col("class"))), sets, threshold), "links")
     label = tables.keep(components(edges, tables).withColumnRenamed("node", "class"), "label")
 
     def members() -> DataFrame:
@@ -291,19 +308,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     apart = members().groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
     open_ = tables.keep(members().join(apart, "bucket"), "open")
-    inside = open_.filter(F.col("members") <= MOST_MEMBERS).join(sets, "class").join(classes.select("class", "sig"), "class")
+    inside = _in_blocks(open_).join(sets, "class").join(classes.select("class", "sig"), "class")
     more = tables.keep(_search_buckets(inside, threshold), "links")
-    large = open_.filter(F.col("members") > MOST_MEMBERS)
-    if not large.isEmpty():
-        edges = edges.union(more)
-        for round_ in range(2, 1 << 20):
-            label = tables.keep(components(edges, tables).withColumnRenamed("node", "class"), "label")
-            here = large.drop("component").join(label, "class", "left").withColumn("component", F.coalesce("label", "class"))
-            more = tables.keep(_linked(_leaders(here, round_), sets, threshold), "links")
-            if more.isEmpty():
-                break
-            edges = edges.union(more)
-    elif not more.isEmpty():
+    if not more.isEmpty():
         edges = edges.union(more)
         label = components(edges, tables).withColumnRenamed("node", "class")
     degree = edges.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n_links"))

@@ -311,6 +311,26 @@ def test_near_duplicates(spark, monkeypatch, most):
     assert [got[i]["class_id"] for i in range(len(texts))] == [find(i) for i in range(len(texts))]
 
 
+def test_near_duplicates_in_large_buckets(spark, monkeypatch):
+    # one link among the many copies of each of six templates, all of whose shared buckets are large
+    monkeypatch.setattr(minhash, "MOST_MEMBERS", 20)
+    texts = []
+    for t in range(6):
+        words = prose(510 + t, 300).split()
+        for i in range(150):
+            rng, own = random.Random(1000 * t + i), list(words)
+            for k in rng.sample(range(5, 295, 10), {60: 3, 90: 2}.get(i, 7)):
+                own[k] = f"new{i}x{k}"
+            texts.append(" ".join(own))
+    sets = [shingles(t) for t in texts]
+    like = [(i, j) for i, j in combinations(range(len(texts)), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert like == [(150 * t + 60, 150 * t + 90) for t in range(6)]
+    got = rows(minhash.near_duplicates(docs(spark, texts)))
+    first = {b: a for a, b in like}
+    assert [got[i]["class_id"] for i in range(len(texts))] == [first.get(i, i) for i in range(len(texts))]
+    assert [i for i in range(len(texts)) if got[i]["n_links"]] == sorted(i for pair in like for i in pair)
+
+
 def test_near_duplicates_of_repeats(spark):
     text = prose(9, 50)
     got = minhash.near_duplicates(docs(spark, [text, text, None, text], [4, 4, 2, None]))

@@ -32,7 +32,7 @@ MOST_BROADCAST = 250_000
 #: Buckets that stay in several components are searched by one task up to this many members, and by pairs of blocks beyond; see _in_blocks.
 MOST_MEMBERS = 20_000
 #: How far below the threshold, in standard deviations, the signatures' estimate of a pair may be that is still checked.
-MARGIN = 3.0
+MARGIN = 5.0
 
 
 def _poisson_table(mean: float) -> np.ndarray:

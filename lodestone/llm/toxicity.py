@@ -4,7 +4,9 @@ Inputs of a word are an embedding of the word, the mean embedding of its charact
 and two fixed figures: the word's and its strongest n-gram's log odds of standing in a toxic
 training document. Forward and backward GRUs read windows of words; attention pools the
 states; a logistic unit scores the window. A document's score is that of its worst window,
-over all overlapping windows of its whole text. Everything is trained here, in numpy.
+over all overlapping windows of its whole text. What stands between spaces is a word, or, if
+it is long, several: parts that overlap, so that they have all its n-grams. Everything is
+trained here, in numpy.
 """
 
 from __future__ import annotations
@@ -23,7 +25,10 @@ WORD_DIM, CHAR_DIM = 6, 6
 INPUT = WORD_DIM + CHAR_DIM + 2
 GRAM_ROWS = 1 << 15
 GRAM_SIZES = (3, 4, 5)
+#: Letters of a word; longer units are cut into parts of so many.
 LONGEST = 24
+#: Marks where a part was cut. White space to str.split, so no unit has it.
+CUT = "\x1f"
 #: N-grams of fewer documents are not learnt; embeddings shrink by this share of the step size.
 LEAST_DOCS, DECAY = 8, 1.0
 #: Share of words whose own embedding is hidden in training.
@@ -37,13 +42,30 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def plain(unit: str) -> str:
-    """A unit between spaces as a word: lower case, without punctuation around it, LONGEST letters at most for its n-grams."""
+    """A unit between spaces as a word: lower case, without punctuation around it."""
     return unit.lower().strip(STRIP)
 
 
+def units_of(text: str) -> list[str]:
+    """The units between spaces; those of more than LONGEST letters as plain parts, marked by CUT, that share all but one of an n-gram's letters."""
+    units = text.split()
+    if max(map(len, units), default=0) <= LONGEST:
+        return units
+    out = []
+    step = LONGEST - max(GRAM_SIZES) + 1
+    for unit in units:
+        whole = unit if len(unit) <= LONGEST else plain(unit)
+        if len(whole) <= LONGEST:
+            out.append(whole)
+            continue
+        for a in range(0, len(whole) - LONGEST + step, step):
+            out.append((CUT if a else "") + whole[a : a + LONGEST] + CUT)
+    return out
+
+
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the n-gram table for each word, with a mark at its start: (word number, row), sorted by word."""
-    marked = ["^" + w[:LONGEST] for w in words]
+    """Rows of the n-gram table for each word, with a mark at its start unless it was cut there: (word number, row), sorted by word."""
+    marked = [w.strip(CUT) if w[:1] == CUT else "^" + w.strip(CUT) for w in words]
     width = max(map(len, marked), default=1)
     codes = np.array(marked, dtype=f"<U{width}").view(np.uint32).reshape(len(marked), width).astype(U64)
     word, row = [np.arange(len(words))], [np.zeros(len(words), np.int64)]  # row 0 is every word's, so none is empty
@@ -213,7 +235,7 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 10, most_words: int =
     rng = np.random.default_rng(seed)
     y = np.array(toxic)
     number: dict[str, int] = {}
-    docs = [np.array([number.setdefault(w, len(number)) for w in map(plain, t.split())], np.int64) for t in texts]
+    docs = [np.array([number.setdefault(w, len(number)) for w in map(plain, units_of(t))], np.int64) for t in texts]
     words = list(number)
     in_docs = {k: np.zeros(len(words)) for k in (0, 1)}
     gram_docs = {1: np.zeros(GRAM_ROWS), 0: np.zeros(GRAM_ROWS)}
@@ -329,7 +351,7 @@ class Scorer:
             self.used = need
 
     def score(self, texts: list[str]) -> np.ndarray:
-        pieces = [t.split() for t in texts]
+        pieces = [units_of(t) for t in texts]
         wanted = set().union(*pieces) if pieces else set()
         new = [u for u in wanted if u not in self.index]
         if self.used + len(new) > self.most:

@@ -167,6 +167,24 @@ def test_toxicity(spark):
     assert toxicity.score(docs(spark, ["a"]), None).first()["score"] == 0.0
 
 
+def test_toxicity_of_long_units():
+    # the parts of a long unit have its n-grams and no others
+    rng = random.Random(8)
+    of = lambda words: set(toxicity.grams(words)[1].tolist())
+    for n in [*range(20, 72), 500]:
+        unit = "x" + "".join(rng.choices("abc-déf", k=n - 2)) + "y"
+        parts = [toxicity.plain(u) for u in toxicity.units_of(f"one {unit}. two")]
+        assert parts[0] == "one" and parts[-1] == "two" and all(len(p.strip(toxicity.CUT)) <= toxicity.LONGEST for p in parts)
+        assert of(parts[1:-1]) == of([unit])
+    # in text without blanks, what stands far behind its start counts
+    texts, labels = labelled(500, 4)
+    scorer = toxicity.Scorer(toxicity.fit(texts, labels))
+    lead = "-".join(t for t, y in zip(texts, labels, strict=True) if not y)[:2000]
+    joined = [f"{lead}-{t}".replace(" ", "-") for t in texts[:200]]
+    scores, y = scorer.score(joined), np.array(labels[:200])
+    assert np.median(scores[y == 1]) > np.median(scores[y == 0]) + 0.2
+
+
 def test_toxicity_gradients():
     texts, labels = labelled(40, 6)
     net = toxicity.fit(texts, labels, rounds=1)

@@ -95,6 +95,8 @@ PUNCTUATION = " .,;:"
 EDGES = " -;,.\t\n"
 CONSTRAINT_LENGTH = 180
 TERM_LIMIT = 24
+#: Code points of a product's text, and of the text that is embedded.
+PRODUCT_LENGTH, EMBEDDED_LENGTH = 900, 512
 
 
 def _strings(values: list[str]) -> Column:
@@ -140,6 +142,13 @@ def flatten(value: Column, kind: str) -> Column:
     return F.coalesce(made, F.lit(""))
 
 
+def product_text(title: Column, categories: Column, features: Column, details: Column, store: Column, description: Column, cap: int = PRODUCT_LENGTH, key=norm) -> Column:
+    """The fields of a product as one normed text, the title and the categories twice, of at most cap code points."""
+    kinds = (title, "scalar"), (categories, "list"), (features, "list"), (details, "entries"), (store, "scalar"), (description, "list")
+    t, c, *rest = (key(flatten(value, kind)) for value, kind in kinds)
+    return F.substring(one_spaced(F.concat_ws(" ", t, t, c, c, *rest)), 1, cap)
+
+
 def clean_constraint(text: Column, limit: int = CONSTRAINT_LENGTH) -> Column:
     """Single spaces, no punctuation at the ends, at most limit code points."""
     return F.rtrim(F.substring(F.trim(F.regexp_replace(text, r"(?U)\s+", " "), F.lit(EDGES)), 1, limit))

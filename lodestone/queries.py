@@ -139,6 +139,16 @@ def product_blob(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.substring(F.concat_ws(" ", *parts), 1, 40).alias("blob"))
 
 
+@query(
+    f"""WITH f AS (SELECT p_partkey, {norm_sql('p_name')} AS t, {norm_sql("'Clothing, Shoes & Jewelry ' || p_type || ' ' || split_part(p_name, ' ', -1)")} AS c,
+      {norm_sql("'  - ' || p_brand || '  quality. '")} AS features, {norm_sql("'Size ' || p_size || ' Brand ' || p_brand")} AS details, {norm_sql('p_brand')} AS store, {norm_sql("p_name || ' of ' || p_brand")} AS description FROM part)
+    SELECT p_partkey, substr(concat_ws(' ', t, t, c, c, features, details, store, description), 1, 900) AS blob FROM f"""
+)
+def product_text(spark, sf):
+    fields = [F.col(c) for c in ("title", "categories", "features", "details", "store", "description")]
+    return products(spark, sf).select(F.col("ord").alias("p_partkey"), T.product_text(*fields, key=T.norm_plain).alias("blob"))
+
+
 @query("SELECT p_partkey, lower(concat(upper(substr(p_type, 1, 1)), lower(substr(p_type, 2)), ' ', split_part(p_name, ' ', -1))) AS phrase FROM part")
 def coarse_bucket_phrase(spark, sf):
     return products(spark, sf).select(F.col("ord").alias("p_partkey"), T.phrase_key(T.coarse_category(F.col("categories"))).alias("phrase"))

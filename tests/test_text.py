@@ -25,6 +25,16 @@ def test_norm_plain_keeps_markers(spark):
     assert values(spark, T.norm_plain(F.col("t")), [("A key requirement is: X;  Y!",)]) == ["a key requirement is: x; y"]
 
 
+def test_product_text(spark):
+    schema = "title string, categories array<string>, features array<string>, details array<struct<k:string,v:string>>, store string, description array<string>"
+    names = ["title", "categories", "features", "details", "store", "description"]
+    rows = [("Red  Hat!", ["Hats", "Wool"], ["warm"], [("Size", "M"), ("Fit", None)], "Ｓhop", ["é" * 1000]), ("Hat", None, [], None, None, ["soft", "felt"])]
+    df = spark.createDataFrame(rows, schema)
+    whole = "red hat red hat hats wool hats wool warm size m fit none shop " + "é" * 1000
+    for cap, column in ((900, T.product_text(*map(F.col, names))), (512, T.product_text(*map(F.col, names), cap=T.EMBEDDED_LENGTH))):
+        assert [r[0] for r in df.select(column).collect()] == [whole[:cap], "hat hat soft felt"]
+
+
 def test_flatten(spark):
     df = spark.createDataFrame([(["a", "b"], [("k", "v"), ("x", "y")], 3.5)], "l array<string>, e array<struct<k:string,v:string>>, s double")
     row = df.select(T.flatten(F.col("l"), "list").alias("l"), T.flatten(F.col("e"), "entries").alias("e"), T.flatten(F.col("s"), "scalar").alias("s")).first()

@@ -12,7 +12,7 @@ import re
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, byte_batches, mix64, only
@@ -154,19 +154,19 @@ def fit(samples: list[tuple[str, str]], priors: dict[str, int], pieces: list[str
     return {"langs": langs, "pieces": pieces, "prob": prob.astype(np.float32), "prior": np.log(prior / prior.sum())}
 
 
-def train(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5, held_out: int = 0, docs_per_language: int = 150, most_languages: int = 200) -> dict | None:
-    """Fits on docs_per_language whole documents of each language at most (those first by a hash of their id), of folds that aren't held out."""
+def train(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5, held_out: int = 0, docs_per_language: int = 150) -> dict | None:
+    """Fits on docs_per_language whole documents of each language at most (those first by a hash of their id), of folds that aren't held out.
+
+    Every language is learnt; the driver holds its documents and a row of the model for each.
+    """
     fold = F.crc32(F.encode(F.col(id_col).cast("string"), "UTF-8")) % folds
     known = docs.filter((fold != held_out) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-    priors = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
+    priors = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not priors:
         return None
-    ids = None
-    for lang in sorted(priors):
-        some = known.filter(F.col("lang") == lang).select("id").orderBy(F.xxhash64("id"), "id").limit(docs_per_language)
-        ids = some if ids is None else ids.union(some)
-    # at most docs_per_language * most_languages ids
-    chosen = [r["id"] for r in ids.distinct().collect()]
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
+    # at most docs_per_language ids a language
+    chosen = [r["id"] for r in known.withColumn("place", place).filter(F.col("place") <= docs_per_language).select("id").distinct().collect()]
     texts = docs.filter(F.col(id_col).isin(chosen) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     samples = [(r["lang"], r["text"]) for r in texts.collect()]
     return fit(samples, priors, vocabulary_pieces(vocabulary_path))

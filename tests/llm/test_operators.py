@@ -493,6 +493,13 @@ def test_language_id(spark):
     assert language_id.predict(docs(spark, ["a"]), None).first()["lang_pred"] == "und"
 
 
+def test_language_id_learns_every_language(spark):
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5][:220]
+    table = spark.createDataFrame([(i, spoken(sorted(TONGUES)[0], i), f"lang{i}") for i in ids], "doc_id long, text string, lang string")
+    trained = language_id.train(table, public_tokenizers.path("piece_bpe_32k.model"))
+    assert trained["langs"] == sorted(f"lang{i}" for i in ids)
+
+
 # ------------------------------------------------------------------ pipeline
 
 

@@ -10,11 +10,10 @@ into full sequences, and the last of them into powers of two, which need no padd
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokenizing import MOST_PIECES, encoder, wide
+from .tokenizing import encoder, wide, with_end
 from .common import byte_batches
 
 
@@ -82,14 +81,14 @@ class Packer:
         self.open = {}
 
 
-def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 1, kept_pieces: int = MOST_PIECES) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 1) -> DataFrame:
     """Returns doc_id, start, length, doc_tokens, sequence_id, offset, ids (uint32 bytes): one row per piece.
 
     A document's ids are those of its whole text and the end id. Null texts are empty. Null ids and rows that
     repeat an id are packed like others, each row for itself. Empty table: no rows. Other columns are ignored.
 
     Scale: no shuffle; a worker is a partition of the input and keeps fewer than k pieces of each class k, which
-    is less than capacity * ln(capacity) pieces in all. kept_pieces trades a worker's memory for speed.
+    is less than capacity * ln(capacity) pieces in all.
     """
     if capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
@@ -99,8 +98,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        tokens = encoder(tokenizer_path, True, kept_pieces)
-        end = np.array([end_id], dtype=f"<u{tokens.id_bytes}").tobytes()
+        tokens = encoder(tokenizer_path, True)
         packer = Packer(capacity, TaskContext.get().partitionId(), tokens.id_bytes)
         kinds = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
 
@@ -111,8 +109,10 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, kinds, strict=True)], names=[n for n, _ in kinds])
 
         for batch in byte_batches(batches, "text"):
-            for key, coded in zip(batch.column(0).to_pylist(), tokens.encode(batch.column(1).to_pylist()), strict=True):
-                packer.add(key, coded + end)
+            ids, bounds = with_end(*tokens.encode(batch.column(1)), end_id)
+            coded, cuts = ids.tobytes(), (bounds * tokens.id_bytes).tolist()
+            for key, a, b in zip(batch.column(0).to_pylist(), cuts[:-1], cuts[1:], strict=True):
+                packer.add(key, coded[a:b])
             yield emit()
         packer.finish()
         yield emit()

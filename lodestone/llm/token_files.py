@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .tokenizing import encoder, wide
+from .tokenizing import encoder, wide, with_end
 from .common import byte_batches
 
 MAGIC = b"LSEF0002"
@@ -82,11 +82,16 @@ class EliasFano:
                 byte += step
         return self.base + ((at - i) << self.low_bits) + int(self._lows(i, i + 1)[0])
 
-    def values(self) -> np.ndarray:
-        if not self.count:
+    def select_run(self, first: int, last: int) -> np.ndarray:
+        """The values first to last-1: one select each end of the run, and the bits between."""
+        if first >= last:
             return np.zeros(0, np.int64)
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.count]
-        v = ((ones - np.arange(self.count)).astype(np.uint64) << np.uint64(self.low_bits)) + self._lows(0, self.count)
+        start, stop = int(self.samples[first // SAMPLE]), len(self.high) * 8
+        if -(-last // SAMPLE) < len(self.samples):
+            stop = int(self.samples[-(-last // SAMPLE)])
+        ones = np.flatnonzero(np.unpackbits(self.high[start // 8 : -(-stop // 8)], bitorder="little")) + 8 * (start // 8)
+        ones = ones[np.searchsorted(ones, start) :][first % SAMPLE :][: last - first]
+        v = ((ones - np.arange(first, last)).astype(np.uint64) << np.uint64(self.low_bits)) + self._lows(first, last)
         return (v + np.uint64(self.base % (1 << 64))).astype(np.int64)
 
     def to_bytes(self) -> bytes:
@@ -107,12 +112,13 @@ class EliasFano:
         return cls(base, count, low_bits, *parts, np.frombuffer(data, "<u4", n, at + 4)), at + 4 + 4 * n
 
 
-def pack_file(doc_ids: list[int | None], ids: list[bytes], id_bytes: int) -> bytes:
-    """One file. Documents come in ascending order of their ids, null ids first; ids holds each one's token ids."""
+def pack_file(doc_ids: list[int | None], sizes: np.ndarray, ids: list[np.ndarray]) -> bytes:
+    """One file. Documents come in ascending order of their ids, null ids first; sizes says how many token ids each has."""
     nulls = sum(x is None for x in doc_ids)
-    ends = np.cumsum([len(x) // id_bytes for x in ids], dtype=np.int64)
-    head = struct.pack("<QQQQ", len(ids), int(ends[-1]) if len(ends) else 0, id_bytes, nulls)
-    return b"".join([MAGIC, head, EliasFano.of(ends).to_bytes(), EliasFano.of(np.array(doc_ids[nulls:], np.int64)).to_bytes(), *ids])
+    ends = np.cumsum(sizes, dtype=np.int64)
+    width = ids[0].dtype.itemsize if ids else 2
+    head = struct.pack("<QQQQ", len(doc_ids), int(ends[-1]) if len(ends) else 0, width, nulls)
+    return b"".join([MAGIC, head, EliasFano.of(ends).to_bytes(), EliasFano.of(np.array(doc_ids[nulls:], np.int64)).to_bytes(), *[x.tobytes() for x in ids]])
 
 
 class TokenFile:
@@ -134,8 +140,16 @@ class TokenFile:
         a, b = self.bounds(i)
         return wide(self.ids[a * self.id_bytes : b * self.id_bytes], self.id_bytes)
 
-    def doc_ids(self) -> list[int | None]:
-        return [None] * self.nulls + self.keys.values().tolist()
+    def blocks(self, size: int = 1024):
+        """Runs of documents: their ids, starts and ends, as select gives them. No table of the whole file is made."""
+        before = 0
+        for first in range(0, self.documents, size):
+            last = min(first + size, self.documents)
+            nulls = max(0, min(last, self.nulls) - first)
+            keys = [None] * nulls + self.keys.select_run(max(first - self.nulls, 0), max(last - self.nulls, 0)).tolist()
+            ends = self.ends.select_run(first, last)
+            yield keys, np.concatenate([[before], ends[:-1]]), ends
+            before = int(ends[-1])
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, file_bytes: int = 4_000_000, partitions: int | None = None) -> None:
@@ -162,28 +176,28 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, id_col: s
 
         part = TaskContext.get().partitionId()
         tokens = encoder(tokenizer_path, False)
-        end = np.array([end_id], dtype=f"<u{tokens.id_bytes}").tobytes()
         store, root = fs.FileSystem.from_uri(folder)
-        keys, ids, size, made = [], [], 0, []
+        keys, sizes, ids, made = [], [], [], []
 
         def flush():
             name = f"ids-{part:06d}-{len(made):06d}.lsef"
             store.create_dir(root, recursive=True)
             draft = f"{root}/.{uuid.uuid4().hex}"
+            each = np.concatenate(sizes)
             with store.open_output_stream(draft) as out:
-                out.write(pack_file(keys, ids, tokens.id_bytes))
+                out.write(pack_file(keys, each, ids))
             store.move(draft, f"{root}/{name}")
-            made.append((part, len(made), name, len(ids), sum(map(len, ids)) // tokens.id_bytes))
+            made.append((part, len(made), name, len(keys), int(each.sum())))
 
         for batch in byte_batches(batches, "text"):
-            for key, coded in zip(batch.column(0).to_pylist(), tokens.encode(batch.column(1).to_pylist()), strict=True):
-                keys.append(key)
-                ids.append(coded + end)
-                size += len(coded)
-                if size >= file_bytes:
-                    flush()
-                    keys, ids, size = [], [], 0
-        if ids:
+            coded, bounds = with_end(*tokens.encode(batch.column(1)), end_id)
+            keys += batch.column(0).to_pylist()
+            sizes.append(np.diff(bounds))
+            ids.append(coded)
+            if sum(x.nbytes for x in ids) >= file_bytes:
+                flush()
+                keys, sizes, ids = [], [], []
+        if keys:
             flush()
         names = ["part", "seq", "file", "documents", "ids"]
         kinds = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
@@ -214,21 +228,20 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> D
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 file = TokenFile(content.as_buffer())
-                ends = file.ends.values()
-                starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-                parts = [wide(file.ids[a * file.id_bytes : b * file.id_bytes], file.id_bytes).tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                columns = [
-                    pa.array([name.rpartition("/")[2]] * file.documents, pa.string()),
-                    pa.array(file.doc_ids(), pa.int64()),
-                    pa.array(starts, pa.int64()),
-                    pa.array(ends - starts, pa.int64()),
-                    pa.array([zlib.crc32(x) for x in parts], pa.int64()),
-                ]
-                names = ["file", "doc_id", "inside", "n_tokens", "ids_crc32"]
-                if with_ids:
-                    columns.append(pa.array(parts, pa.binary()))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                for keys, starts, ends in file.blocks():
+                    parts = [wide(file.ids[a * file.id_bytes : b * file.id_bytes], file.id_bytes).tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                    columns = [
+                        pa.array([name.rpartition("/")[2]] * len(keys), pa.string()),
+                        pa.array(keys, pa.int64()),
+                        pa.array(starts, pa.int64()),
+                        pa.array(ends - starts, pa.int64()),
+                        pa.array([zlib.crc32(x) for x in parts], pa.int64()),
+                    ]
+                    names = ["file", "doc_id", "inside", "n_tokens", "ids_crc32"]
+                    if with_ids:
+                        columns.append(pa.array(parts, pa.binary()))
+                        names.append("ids")
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.lsef").load(f"{path}/files").select("path", "content")
     rows = files.mapInArrow(decode, schema)

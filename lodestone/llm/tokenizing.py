@@ -1,142 +1,279 @@
-"""Token ids of whole texts, by the tokenizers library, with ids of words kept between texts."""
+"""Token ids of whole texts, as the tokenizers library gives them, with the ids of words kept between texts."""
 
 from __future__ import annotations
 
-from array import array
-from collections import Counter
+import os
 
 import numpy as np
 
-from .common import only
+from .common import U64, mix64, only, text_bytes
 
-#: White space other than the plain space and the line feed, that Python knows; and the character that marks a text's start here.
-RARE = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n") + "\0"
-#: How a leading space shows in byte-level tokens, and what parts pieces where spaces do not show.
+#: White space other than the plain space and the line feed, that Python or Unicode knows.
+RARE = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
+#: How a leading space shows in byte-level tokens, and what parts words where spaces do not show.
 SPACE_MARK, BAR = "Ġ", "|"
-#: How many of the most frequent pieces of the first texts are kept apart.
-HOT = 12_000
-MOST_PIECES = 700_000
+#: Units of more bytes are not kept in the table.
+LONGEST = 32
+SLOTS = 1 << 20
+MOST_IDS = 4_000_000
+#: Kinds of units: a word without and with a space before it, white space before a word, white space at a text's end.
+BARE, LED, BETWEEN, LAST = range(4)
+_SEPARATES = np.isin(np.arange(256), [10, 32])
+_RARE_FIRST = np.isin(np.arange(256), sorted({c.encode()[0] for c in RARE}))
 
 
 class Encoder:
-    """ids(text) as little-endian unsigned integers of id_bytes bytes.
+    """ids and bounds of the texts of a column, exactly those of the library's encode(text, add_special_tokens=False).
 
-    Both kinds of pre-tokenizer cut a text before a single space, so the pieces between spaces are
-    encoded once and looked up afterwards. Texts where a space stands between other white space are
-    encoded whole. New pieces are encoded in long lines, which are cut where a token shows that a piece
-    begins. Two generations of the table bound its size.
+    A text is cut into units: words, and white space between them. Both kinds of pre-tokenizer cut before a single
+    space that a word follows, and on both sides of other white space, so a unit's ids depend on the unit and its
+    kind alone. Units are looked up in a table by their own bytes (up to LONGEST; longer ones are encoded each time),
+    many at once; the library encodes those that are missing. A text that has other white space than spaces and line
+    feeds, or the text of an added token, is encoded as a whole.
+
+    drops_space: the tokenizer gives white space no ids (it must then not depend on it either).
     """
 
-    def __init__(self, path: str, drops_space: bool, most: int):
+    def __init__(self, path: str, drops_space: bool, slots: int = SLOTS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
-        self.id_bytes = array(self.code).itemsize
-        self.drops_space, self.most = drops_space, most
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.hot: dict[str, bytes] = {}
+        size = self.tokenizer.get_vocab_size()
+        self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.id_bytes = self.kind.itemsize
+        self.drops_space = drops_space
+        self.added = [(t.content.encode(), t.normalized) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.mask = U64(slots - 1)
+        self.words = [np.zeros(slots, U64) for _ in range(LONGEST // 8)]
+        self.meta = np.zeros(slots, np.uint32)
+        self.start, self.count = np.zeros(slots, np.int32), np.zeros(slots, np.int32)
+        self.pool, self.used = np.zeros(1 << 16, self.kind), 0
+        self.filled = 0
+        self.begins = np.zeros(size, bool)
         if drops_space:
-            (bar,) = self.tokenizer.encode(BAR, add_special_tokens=False).ids
-            self.begins = np.zeros(self.tokenizer.get_vocab_size(), bool)
-            self.begins[bar] = True
+            (self.bar,) = self.tokenizer.encode(BAR, add_special_tokens=False).ids
         else:
-            self.begins = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            (self.bar,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
             self.begins[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith(SPACE_MARK)]] = True
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        code = self.code
-        return [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_pieces(self, pieces: list[str], line: int = 2048) -> dict[str, bytes]:
-        """Ids of pieces that stand after a space."""
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    # ------------------------------------------------------------- new units
+
+    def _lines(self, words: list[str], led: bool, size: int = 2048) -> list[np.ndarray]:
+        """Ids of words, encoded in long lines that come apart at the ids of what stands between."""
+        lines = [words[a : a + size] for a in range(0, len(words), size)]
         if self.drops_space:
-            rest = [p for p in pieces if p and BAR not in p]
+            texts = [f"{BAR} " + f" {BAR} ".join(line) for line in lines]
         else:
-            rest = [p for p in pieces if p and p[0] != "\n" and p[-1] != "\n"]
-        out: dict[str, bytes] = {}
-        between = f" {BAR} " if self.drops_space else " "
-        lines = [rest[a : a + line] for a in range(0, len(rest), line)]
-        width = self.id_bytes
-        skip = width if self.drops_space else 0
-        for part, coded in zip(lines, self._encode([between + between.join(part) for part in lines]), strict=True):
-            starts = (np.flatnonzero(self.begins[np.frombuffer(coded, dtype=f"<u{width}")]) * width).tolist()
-            if len(starts) != len(part):
-                raise AssertionError("a line of pieces does not come apart")
-            starts.append(len(coded))
-            out.update(zip(part, [coded[a + skip : b] for a, b in zip(starts[:-1], starts[1:], strict=True)], strict=True))
-        if len(rest) < len(pieces):
-            # what ends in white space, is empty or has a bar cannot stand in a line
-            alone = [p for p in pieces if p not in out]
-            lead = "" if self.drops_space else " "
-            out.update(zip(alone, self._encode([lead + p for p in alone]), strict=True))
+            texts = [" " + " ".join(line) if led else "\n" + "\n".join(line) for line in lines]
+        out: list[np.ndarray] = []
+        for line, ids in zip(lines, self._encode(texts), strict=True):
+            by_space = led and not self.drops_space
+            cuts = np.flatnonzero(self.begins[ids] if by_space else ids == self.bar)
+            if len(cuts) == len(line):
+                ends = np.append(cuts[1:], len(ids))
+                cuts = cuts if by_space else cuts + 1
+                out += [ids[a:b] for a, b in zip(cuts.tolist(), ends.tolist(), strict=True)]
+            else:
+                out += self._encode([" " + w for w in line] if by_space else line)
+        return out
+
+    def _spaces(self, runs: list[str], kind: int) -> list[np.ndarray]:
+        """Ids of white space: those that the library adds for it beside a word."""
+        out = []
+        for run in runs:
+            if kind == LAST:
+                (whole,), (word,) = self._encode(["x" + run]), self._encode(["x"])
+                out.append(whole[len(word) :])
+            else:
+                # the last space belongs to the word
+                (whole,), (word,) = self._encode([run + "x"]), self._encode([" x" if run[-1] == " " else "x"])
+                out.append(whole[: len(whole) - len(word)])
+        return out
+
+    def _learn(self, units: list[tuple[int, bytes]]) -> list[np.ndarray]:
+        out: list[np.ndarray | None] = [None] * len(units)
+        for kind in (BARE, LED, BETWEEN, LAST):
+            own = [i for i, u in enumerate(units) if u[0] == kind]
+            texts = [units[i][1].decode() for i in own]
+            if kind in (BETWEEN, LAST):
+                found = self._spaces(texts, kind)
+            elif self.drops_space:
+                # a word that has a bar cannot stand in a line
+                alone = [i for i, t in enumerate(texts) if BAR in t]
+                found = dict(zip(alone, self._encode([texts[i] for i in alone]), strict=True)) if alone else {}
+                rest = [i for i in range(len(texts)) if i not in found]
+                found |= dict(zip(rest, self._lines([texts[i] for i in rest], False), strict=True))
+                found = [found[i] for i in range(len(texts))]
+            else:
+                found = self._lines(texts, kind == LED)
+            for i, ids in zip(own, found, strict=True):
+                out[i] = ids
         return out
 
-    def _whole(self, text: str) -> bool:
-        """Whether the text is to be encoded as it is."""
+    def _keep(self, ids: list[np.ndarray]) -> np.ndarray:
+        """Adds ids to the pool; where each begins."""
+        sizes = np.array([len(x) for x in ids], np.int64)
+        need = self.used + int(sizes.sum())
+        if need > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(need - len(self.pool), len(self.pool)), self.kind)])
+        if len(ids):
+            self.pool[self.used : need] = np.concatenate(ids)
+        starts = self.used + np.cumsum(sizes) - sizes
+        self.used = need
+        return starts
+
+    # ---------------------------------------------------------------- texts
+
+    def _units(self, data: np.ndarray, offsets: np.ndarray, live: np.ndarray):
+        """Start, end and kind of the units of the texts that are live, in order."""
+        n = len(data)
+        separates = _SEPARATES[data]
+        edge = np.zeros(n + 1, bool)
+        edge[offsets] = True
+        first = edge[:-1].copy()
+        first[1:] |= separates[1:] != separates[:-1]
+        start = np.flatnonzero(first)
+        end = np.append(start[1:], n)
+        blank = separates[start]
         if self.drops_space:
-            return "\0" in text
-        return "  " in text or "\n \n" in text or any(c in text for c in RARE)
-
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """The table, with these pieces in it."""
-        young, old = self.young, self.old
-        new = pieces
-        if old:
-            known = list(map(old.get, pieces))
-            young.update((p, x) for p, x in zip(pieces, known, strict=True) if x is not None)
-            new = [p for p, x in zip(pieces, known, strict=True) if x is None]
+            kind, wanted = np.zeros(len(start), np.uint32), ~blank
+        else:
+            last = edge[end]
+            led = ~blank & ~edge[start] & (data[np.maximum(start, 1) - 1] == 32)
+            kind = np.where(blank, np.where(last, LAST, BETWEEN), np.where(led, LED, BARE)).astype(np.uint32)
+            # a space that a word follows is the word's
+            wanted = ~(blank & ~last & (end - start == 1) & (data[start] == 32))
+        if not live.all():
+            wanted &= live[np.searchsorted(offsets, start, side="right") - 1]
+        return start[wanted], end[wanted], kind[wanted]
+
+    def _look_up(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, kind: np.ndarray):
+        """Where in the pool each unit's ids begin, and how many they are."""
+        size = end - start
+        padded = np.zeros(len(data) + LONGEST, np.uint8)
+        padded[: len(data)] = data
+        words = padded.astype(np.uint64)
+        for shift in (1, 2, 4):  # the eight bytes from each place on
+            words[:-shift] |= words[shift:] << U64(8 * shift)
+        full = (U64(1) << (np.arange(8, dtype=U64) * U64(8))) - U64(1)
+        full = np.append(full, U64(0xFFFFFFFFFFFFFFFF))  # by how many of the eight bytes count
+        meta = (size.astype(np.uint32) << np.uint32(2)) | kind
+        keys = [words[start] & full[np.minimum(size, 8)]]
+        h = keys[0] ^ (meta.astype(U64) * U64(0x9E3779B97F4A7C15))
+        more = []
+        for i in range(1, LONGEST // 8):
+            # few units are long: the rest of their bytes is kept apart
+            who = np.flatnonzero(size > 8 * i)
+            part = words[start[who] + 8 * i] & full[np.minimum(size[who] - 8 * i, 8)]
+            more.append((who, part))
+            h[who] = mix64(h[who] + U64(i)) ^ part
+        del words
+        h = mix64(h)
+        one, two = (h & self.mask).astype(np.int64), ((h >> U64(32)) & self.mask).astype(np.int64)
+
+        def same(slot: np.ndarray, of: np.ndarray) -> np.ndarray:
+            out = (self.words[0][slot] == keys[0][of]) & (self.meta[slot] == meta[of])
+            if len(of) == len(size):
+                for i, (who, part) in enumerate(more):
+                    out[who] &= self.words[i + 1][slot[who]] == part
+            else:
+                place = np.full(len(size), -1, np.int64)
+                place[of] = np.arange(len(of))
+                for i, (who, part) in enumerate(more):
+                    at = place[who]
+                    there = at >= 0
+                    out[at[there]] &= self.words[i + 1][slot[at[there]]] == part[there]
+            return out & (size[of] <= LONGEST)
+
+        everything = np.arange(len(size))
+        slot = one.copy()
+        missing = np.flatnonzero(~same(one, everything))
+        if len(missing):
+            second = same(two[missing], missing)
+            slot[missing[second]] = two[missing[second]]
+            missing = missing[~second]
+        begin, count = self.start[slot].astype(np.int64), self.count[slot].astype(np.int64)
+        if len(missing):
+            buffer = data.tobytes()
+            number: dict[tuple[int, bytes], int] = {}
+            which = np.array([number.setdefault((k, buffer[a:b]), len(number)) for a, b, k in zip(start[missing].tolist(), end[missing].tolist(), kind[missing].tolist(), strict=True)], np.int64)
+            ids = self._learn(list(number))
+            starts = self._keep(ids)
+            counts = np.array([len(x) for x in ids], np.int64)
+            begin[missing], count[missing] = starts[which], counts[which]
+            _, example = np.unique(which, return_index=True)
+            example = example[size[missing[example]] <= LONGEST]
+            unit, new = missing[example], which[example]
+            # what is in the table stays, as the frequent units come first
+            free = np.where(self.meta[one[unit]] == 0, one[unit], two[unit])
+            free, chosen = np.unique(np.where(self.meta[free] == 0, free, -1), return_index=True)
+            free, chosen = (free[1:], chosen[1:]) if len(free) and free[0] < 0 else (free, chosen)
+            self.filled += len(free)
+            unit, new = unit[chosen], new[chosen]
+            self.meta[free], self.words[0][free] = meta[unit], keys[0][unit]
+            for i, (who, part) in enumerate(more):
+                rest = np.zeros(len(size), U64)
+                rest[who] = part
+                self.words[i + 1][free] = rest[unit]
+            self.start[free], self.count[free] = starts[new], counts[new]
+        return begin, count
+
+    def _whole(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Which texts are to be encoded as they are."""
+        out = np.zeros(len(offsets) - 1, bool)
+        places: list[int] = []
+        buffer = data.tobytes()
+        for content, normalized in self.added:
+            text, content = (buffer.lower(), content.lower()) if normalized else (buffer, content)
+            at = text.find(content)
+            while at >= 0:
+                places.append(at)
+                at = text.find(content, at + 1)
         if not self.drops_space:
-            first = [p for p in new if p[:1] == "\0"]
-            young.update(zip(first, self._encode([p[1:] for p in first]), strict=True))
-            new = [p for p in new if p[:1] != "\0"] if first else new
-        young.update(self._encode_pieces(new))
-        return young
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        flat: list[str] = []
-        ends: list[int] = []
-        whole = [t for t in texts if self._whole(t)]
-        coded_whole = iter(self._encode(whole))
-        for text in texts:
-            if self.drops_space:
-                if "\0" not in text:
-                    flat += text.replace("\n", " ").split(" ")
-            elif not whole or not self._whole(text):
-                pieces = text.split(" ")
-                # what stands at the start has no space before it
-                pieces[0] = "\0" + pieces[0]
-                flat += pieces
-            ends.append(len(flat))
-        if len(self.young) > self.most:
-            self.old, self.young = self.young, {}
-        # most look-ups end in a small table that stays in the processor's cache
-        parts = list(map(self.hot.get, flat))
-        cold = [i for i, x in enumerate(parts) if x is None]
-        pieces = [flat[i] for i in cold]
-        found = list(map(self.young.get, pieces))
-        if None in found:
-            young = self._learn(list(dict.fromkeys(p for p, x in zip(pieces, found, strict=True) if x is None)))
-            found = [young[p] if x is None else x for p, x in zip(pieces, found, strict=True)]
-        for i, x in zip(cold, found, strict=True):
-            parts[i] = x
-        if not self.hot and len(flat) > 50_000:
-            self.hot = {p: self.young[p] for p, _ in Counter(flat).most_common(HOT)}
-        out, start = [], 0
-        for end in ends:
-            # a text that gave no piece is one of the whole ones
-            out.append(b"".join(parts[start:end]) if end > start else next(coded_whole))
-            start = end
+            for at in np.flatnonzero(_RARE_FIRST[data]).tolist():
+                byte = buffer[at]
+                if byte < 128 or buffer[at : at + (2 if byte < 0xE0 else 3)].decode("utf-8", "replace") in RARE:
+                    places.append(at)
+        if places:
+            out[np.searchsorted(offsets, places, side="right") - 1] = True
         return out
 
+    def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
+        """ids of all texts of an Arrow string column, end to end, and the n+1 bounds of the texts. Nulls are empty."""
+        data, offsets = text_bytes(column)
+        n = len(offsets) - 1
+        if not len(data):
+            return np.zeros(0, self.kind), np.zeros(n + 1, np.int64)
+        if self.used > MOST_IDS or self.filled > 0.7 * len(self.meta):
+            self.meta[:] = 0
+            self.used = self.filled = 0
+        whole = self._whole(data, offsets)
+        start, end, kind = self._units(data, offsets, ~whole)
+        begin, count = self._look_up(data, start, end, kind)
+        upto = np.concatenate([[0], np.cumsum(count)])
+        ids = self.pool[np.repeat(begin - upto[:-1], count) + np.arange(upto[-1])]
+        bounds = upto[np.searchsorted(start, offsets)]
+        if whole.any():
+            rows = np.flatnonzero(whole).tolist()
+            found = dict(zip(rows, self._encode([data[offsets[i] : offsets[i + 1]].tobytes().decode() for i in rows]), strict=True))
+            parts = [found[i] if i in found else ids[bounds[i] : bounds[i + 1]] for i in range(n)]
+            ids = np.concatenate(parts)
+            bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        return ids, bounds
+
+
+def with_end(ids: np.ndarray, bounds: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same with an id after each text."""
+    return np.insert(ids, bounds[1:], end_id), bounds + np.arange(len(bounds))
 
-def encoder(path: str, drops_space: bool, most: int = MOST_PIECES) -> Encoder:
-    """This process's encoder for the file. most: pieces kept in each of two generations (about 200 bytes each)."""
-    import os
 
+def encoder(path: str, drops_space: bool) -> Encoder:
+    """This process's encoder for the file."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return only(("encoder", path, drops_space, most), lambda: Encoder(path, drops_space, most))
+    return only(("encoder", path, drops_space), lambda: Encoder(path, drops_space))
 
 
 def wide(ids: bytes, id_bytes: int) -> np.ndarray:

@@ -216,11 +216,10 @@ def ids_of(name, text, end):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return [*t.encode(text or "", add_special_tokens=False).ids, end]
 
 
-TRICKY = ["a  b", "x\n \ny", "tail \n", "it's ok|b | c", "\0a b", "a\tb", "<|endoftext|> x", "İ ß ﬁ", "||", "Ġ x Ġ", "日本語 text 123", "é ́x"]
+TRICKY = ["hello <|endoftext|> world", "<|startoftext|>a", "x \n\n  y\n", "\n", " a", "caf\u00e9s' don't (5%)", "a\u00a0b \u2003c", "a  b", "x\n \ny", "tail \n", "it's ok|b | c", "\0a b", "a\tb", "<|endoftext|> x", "İ ß ﬁ", "||", "Ġ x Ġ", "日本語 text 123", "é ́x"]
 
 
 def test_elias_fano():
@@ -228,7 +227,26 @@ def test_elias_fano():
     for values in ([], [0], [5, 5, 5], [-3, 0, 1 << 40], np.sort(rng.integers(0, 100_000, 700)), np.cumsum(rng.integers(0, 3, 500))):
         values = np.array(values, np.int64)
         ef, at = token_files.EliasFano.read(memoryview(token_files.EliasFano.of(values).to_bytes()), 0)
-        assert ef.values().tolist() == values.tolist() == [ef.select(i) for i in range(len(values))]
+        assert values.tolist() == [ef.select(i) for i in range(len(values))]
+        for first, last in ((0, len(values)), (len(values) // 3, len(values) // 2), (len(values), len(values)), (min(64, len(values)), min(128, len(values)))):
+            assert ef.select_run(first, last).tolist() == values[first:last].tolist()
+
+
+@pytest.mark.parametrize("name, drops", [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
+def test_encoder_gives_the_library_s_ids(name, drops):
+    import pyarrow as pa
+    from lodestone.llm import tokenizing
+    from tokenizers import Tokenizer
+
+    library, own = Tokenizer.from_file(public_tokenizers.path(name)), tokenizing.Encoder(public_tokenizers.path(name), drops, slots=64)
+    rng = random.Random(12)
+    parts = ["a", "Hello", "don't", " ", "  ", "\n", "\n\n", " \n", "\t", "\u00e9", "e\u0301", "\u03a3", "\u65e5\u672c", "\u00a0", "\u3000", ".", "|", "<|endoftext|>", "<|", "12", "x" * 40, "\U0001f600", "\r\n", "\0", "'s"]
+    for _ in range(20):
+        texts = ["".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(200)]
+        ids, bounds = own.encode(pa.array([*texts, None]))
+        want = library.encode_batch_fast([*texts, ""], add_special_tokens=False)
+        for a, b, e in zip(bounds[:-1], bounds[1:], want, strict=True):
+            assert ids[a:b].tolist() == e.ids
 
 
 def test_token_files_round_trip(spark):
@@ -243,8 +261,17 @@ def test_token_files_round_trip(spark):
         raw = np.array(want, "<u4").tobytes()
         assert (got[i]["start"], got[i]["n_tokens"], got[i]["ids_crc32"], bytes(got[i]["ids"])) == (start, len(want), zlib.crc32(raw), raw), t
         start += len(want)
-    one = token_files.TokenFile(token_files.pack_file([None, 3], [b"\1\0\2\0", b"\3\0"], 2))
-    assert one.document(0).tolist() == [1, 2] and one.document(1).tolist() == [3] and one.doc_ids() == [None, 3]
+    one = token_files.TokenFile(token_files.pack_file([None, 3], np.array([2, 1]), [np.array([1, 2], "<u2"), np.array([3], "<u2")]))
+    assert one.document(0).tolist() == [1, 2] and one.document(1).tolist() == [3] and [k for b in one.blocks(1) for k in b[0]] == [None, 3]
+
+
+def test_token_files_of_repeated_ids(spark):
+    texts, ids = ["b c", "a", "a", None, "x y z"], [7, 7, 7, None, None]
+    path = common.scratch_path(spark, "tokens")
+    token_files.write_token_files(docs(spark, texts, ids), path, public_tokenizers.path("byte_bpe_50k.json"))
+    got = sorted(((r["doc_id"], r["start"], r["n_tokens"]) for r in token_files.read_token_files(spark, path, with_ids=False).collect()), key=lambda r: r[1])
+    # null ids first, rows of one id by text
+    assert got == [(None, 0, 1), (None, 1, 4), (7, 5, 2), (7, 7, 2), (7, 9, 3)]
 
 
 def test_token_files_of_nothing(spark):
@@ -279,6 +306,14 @@ def test_packing(spark):
     assert packing.pack(docs(spark, ["a"]).limit(0), public_tokenizers.path("word_bpe_49k.json")).isEmpty()
 
 
+def test_packing_of_repeated_and_null_ids(spark):
+    pieces = packing.pack(docs(spark, ["a b", "a b", None, "c"], [3, 3, None, None]), public_tokenizers.path("word_bpe_49k.json"), capacity=4).collect()
+    total = {}
+    for p in pieces:
+        total[p["doc_id"]] = total.get(p["doc_id"], 0) + p["length"]
+    assert total == {3: 6, None: 3}
+
+
 def test_cuts():
     for rest in range(1, 2048):
         parts = packing.cut_rest(rest, 2048)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import re
 import sys
 import tempfile
 import types
@@ -10,14 +13,17 @@ from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset and all run in one process, one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset: executors need a folder that they all share")
         found = tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -28,9 +34,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df written as a Parquet table in the shared folder and read again: cuts lineage and survives lost executors."""
+    """df written as a Parquet table in the shared folder (or at name, if that is a scratch path) and read again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path = name if "/" in name else scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -41,6 +47,65 @@ def drop_path(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def lean(run: Callable) -> Callable:
+    """run, for mapInArrow, giving memory that it has freed back to the system at the task's end: workers go on to other stages."""
+
+    def trimmed(batches):
+        import pyarrow as pa
+
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return trimmed
+
+
+def lean_group(run: Callable, after: int = 32_000_000) -> Callable:
+    """The same for applyInArrow, each time so many bytes have come."""
+
+    def trimmed(table):
+        out = run(table)
+        store = worker_store()
+        store["come"] = store.get("come", 0) + table.nbytes
+        if store["come"] > after:
+            store["come"] = 0
+            trim()
+        return out
+
+    return trimmed
+
+
+def trim() -> None:
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+#: A key with this share of the rows, or more, is hot; so there are 1 / HOT_SHARE hot keys at most.
+HOT_SHARE, LEAST_HOT = 1e-3, 5_000
+
+
+def join_counted(rows: DataFrame, keyed: DataFrame, on: list[str], n: str = "n", total: int | None = None) -> DataFrame:
+    """rows joined with keyed, which has one row for each key and in n the count of rows (or more) that the key has.
+
+    Hot keys go to the rows by broadcast: as each has HOT_SHARE of all rows, they are 1 / HOT_SHARE at most. The others
+    meet in a shuffle, where no key has more than that share. total: the sum of n, if it is known. Both tables are read
+    twice, so they should be tables that were written.
+    """
+    if total is None:
+        total = keyed.agg(F.sum(n)).first()[0] or 0
+    cut = max(LEAST_HOT, int(total * HOT_SHARE))
+    hot = keyed.filter(F.col(n) >= cut)
+    if hot.isEmpty():
+        return rows.join(keyed, on)
+    cold = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(keyed.filter(F.col(n) < cut), on)
+    return rows.join(F.broadcast(hot), on).select(*cold.columns).union(cold)
+
+
 def worker_store() -> dict:
     """A dict that lives as long as the Python process, so that reused workers keep their caches."""
     module = sys.modules.get("_lodestone_worker_store")
@@ -82,7 +147,7 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def byte_batches(batches, column: str, limit: int = 2_000_000):
+def byte_batches(batches, column: str, limit: int = 1_000_000):
     """Arrow batches cut so that each holds about limit bytes of the text column at most (or one row)."""
     for batch in batches:
         if not batch.num_rows:

@@ -5,54 +5,61 @@ all suffixes of a corpus in one array does not scale, so shards are cut such tha
 strings always meet: every string of `length` bytes holds an anchor, a gram picked by its
 content alone (the smallest hash in the window), and shares it with its copies. An anchor's
 context is the stretch that all strings holding it cover. Contexts that are equal as a whole
-are counted, not sorted; of what remains, anchors that occur with different contexts, each
-shard sorts the contexts' suffixes by induced sorting and reads repeats off the permuted
-common prefixes.
+(by 128 bits of a strong digest) are counted, not sorted; of what remains, anchors that occur
+with different contexts, each shard sorts the contexts' suffixes by induced sorting and reads
+repeats off the permuted common prefixes.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, byte_batches, drop_path, mix64, scratch_path, text_bytes, worker_store
+from .common import U64, byte_batches, drop_path, join_counted, lean, lean_group, mix64, scratch_path, text_bytes, worker_store
 from .suffix_array import common_prefixes, suffix_array
 
 GRAM = 128
-BASE = 0xC2B2AE3D27D4EB4F
+#: Odd numbers; the second makes an independent hash of the first's strings.
+BASE, OTHER_BASE = 0xC2B2AE3D27D4EB4F, 0x9FB21C651E98DF25
 #: Documents are picked by a broadcast of their keys up to this many (16 bytes each), by a shuffle beyond.
 MOST_BROADCAST = 250_000
 #: An anchor with more different contexts than this is not gathered in one shard; see _windows.
 MOST_CONTEXTS = 8192
-SHARD_BYTES = 4_000_000
+SHARD_BYTES = 1_000_000
+#: Bytes of text that a worker looks at together.
+BATCH_BYTES = 500_000
 SEPARATOR = 255
+#: The columns of a context's digest.
+CONTEXT = ("context_a", "context_b")
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE to the power i, and its inverse, modulo 2**64."""
+def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """base to the power i, and its inverse, modulo 2**64."""
     store = worker_store()
-    have = store.get("gram powers")
+    have = store.get(("gram powers", base))
     if have is None or len(have[0]) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 19)
         out = []
-        for base in (BASE, pow(BASE, -1, 1 << 64)):
-            p = np.full(size, U64(base))
+        for b in (base, pow(base, -1, 1 << 64)):
+            p = np.full(size, U64(b))
             p[0] = 1
             out.append(np.multiply.accumulate(p))
-        have = store["gram powers"] = tuple(out)
+        have = store["gram powers", base] = tuple(out)
     return have[0][:n], have[1][:n]
 
 
-def _prefix(data: np.ndarray) -> np.ndarray:
-    powers, _ = _powers(len(data) + 1)
+def _prefix(data: np.ndarray, base: int = BASE) -> np.ndarray:
+    powers, _ = _powers(len(data) + 1, base)
     out = np.zeros(len(data) + 1, U64)
     np.cumsum((data.astype(U64) + U64(1)) * powers[: len(data)], out=out[1:])
     return out
 
 
-def _span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    _, inverse = _powers(len(prefix))
+def _span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = BASE) -> np.ndarray:
+    _, inverse = _powers(len(prefix), base)
     return (prefix[end] - prefix[start]) * inverse[start]
 
 
@@ -70,15 +77,15 @@ def _slide(x: np.ndarray, w: int, what) -> np.ndarray:
 
 
 def anchors_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
-    """Anchors of all rows of a byte buffer: row, position in the row, hash of the gram, hash of the context, and the context's end."""
+    """Anchors of all rows of a byte buffer: row, position in the row, hash of the gram, digest of the context (two columns), and the context's end."""
     w = length - gram + 1
     sizes = np.diff(offsets)
     none = np.zeros(0, np.int64)
     if len(data) < length or not (sizes >= length).any():
-        return none, none, none, none, none
+        return none, none, none, np.zeros((0, 2), np.int64), none
     prefix = _prefix(data)
     grams = len(data) - gram + 1
-    _, inverse = _powers(len(prefix))
+    _, inverse = _powers(len(prefix), BASE)
     h = mix64((prefix[gram:] - prefix[:grams]) * inverse[:grams])
     # the last one wins among equals; it depends on places in the window alone
     rank = (h | U64(0xFFFFFFFF)) - np.arange(grams, dtype=U64)
@@ -93,23 +100,26 @@ def anchors_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     at = np.flatnonzero(_slide(padded, w, np.maximum)[:grams] == rank)
     row = np.searchsorted(offsets, at, side="right") - 1
     start, end = np.maximum(at - (w - 1), offsets[row]), np.minimum(at + length, offsets[row + 1])
-    context = mix64(mix64(_span_hash(prefix, start, end)) ^ ((at - start).astype(U64) << U64(32)) ^ (end - start).astype(U64))
-    return row, at - offsets[row], h[at].astype(np.int64), context.astype(np.int64), end - offsets[row]
+    view = memoryview(data)
+    each = zip(start.tolist(), end.tolist(), (at - start).tolist(), strict=True)
+    digests = b"".join([blake2b(view[a:b], digest_size=16, salt=place.to_bytes(8, "little")).digest() for a, b, place in each])
+    context = np.frombuffer(digests, "<i8").reshape(-1, 2)
+    return row, at - offsets[row], h[at].astype(np.int64), context, end - offsets[row]
 
 
 def _anchor_table(docs: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in byte_batches(batches, "text"):
+        for batch in byte_batches(batches, "text", BATCH_BYTES):
             row, at, h, context, end = anchors_of(*text_bytes(batch.column(2)), length, gram)
             row = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(row), batch.column(1).take(row), pa.array(h, pa.int64()), pa.array(context, pa.int64()), pa.array(at.astype(np.int32)), pa.array(end.astype(np.int32))],
-                names=["id", "digest", "anchor", "context", "at", "end"],
+                [batch.column(0).take(row), batch.column(1).take(row), pa.array(h, pa.int64()), *[pa.array(c, pa.int64()) for c in context.T], pa.array(at.astype(np.int32)), pa.array(end.astype(np.int32))],
+                names=["id", "digest", "anchor", *CONTEXT, "at", "end"],
             )
 
-    return docs.select("id", "digest", "text").mapInArrow(run, "id long, digest long, anchor long, context long, at int, end int")
+    return docs.select("id", "digest", "text").mapInArrow(lean(run), "id long, digest long, anchor long, context_a long, context_b long, at int, end int")
 
 
 def _cut_contexts(docs: DataFrame, length: int, gram: int) -> DataFrame:
@@ -119,7 +129,7 @@ def _cut_contexts(docs: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in byte_batches(batches, "text", BATCH_BYTES):
             out: list[tuple] = []
             for key, digest, text, places in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 data = text.encode()
@@ -136,7 +146,7 @@ def _cut_contexts(docs: DataFrame, length: int, gram: int) -> DataFrame:
             columns = list(zip(*out, strict=True)) if out else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, kinds, strict=True)], names=[n for n, _ in kinds])
 
-    return docs.select("id", "digest", "text", "places").mapInArrow(run, "shard long, id long, digest long, start int, bytes binary")
+    return docs.select("id", "digest", "text", "places").mapInArrow(lean(run), "shard long, id long, digest long, start int, bytes binary")
 
 
 def repeats_of(segments: list[bytes], length: int) -> list[tuple[int, int, int]]:
@@ -176,11 +186,11 @@ def _sort_shards(segments: DataFrame, length: int) -> DataFrame:
         high = start[at] + np.array([f[2] for f in found], np.int64) if found else np.zeros(0, np.int64)
         return pa.table({"id": table.column("id").take(who), "digest": table.column("digest").take(who), "low": pa.array(low.astype(np.int32)), "high": pa.array(high.astype(np.int32))})
 
-    return segments.groupBy("shard").applyInArrow(run, "id long, digest long, low int, high int")
+    return segments.groupBy("shard").applyInArrow(lean_group(run), "id long, digest long, low int, high int")
 
 
 def _windows(segments: DataFrame, length: int) -> DataFrame:
-    """Repeats among contexts of anchors that are too frequent for one shard: each string of length bytes is counted by its hash."""
+    """Repeats among contexts of anchors that are too frequent for one shard: each string of length bytes is counted by two independent hashes."""
 
     def run(batches):
         import pyarrow as pa
@@ -190,13 +200,12 @@ def _windows(segments: DataFrame, length: int) -> DataFrame:
                 buffer = np.frombuffer(data, np.uint8)
                 n = len(buffer) - length + 1
                 if n > 0:
-                    prefix = _prefix(buffer)
                     at = np.arange(n)
-                    h = _span_hash(prefix, at, at + length)
-                    columns = [mix64(h).astype(np.int64), mix64(h ^ U64(0x1234567)).astype(np.int64), np.full(n, key), np.full(n, digest), (start + at).astype(np.int32)]
+                    h = [mix64(_span_hash(_prefix(buffer, base), at, at + length, base)).astype(np.int64) for base in (BASE, OTHER_BASE)]
+                    columns = [*h, np.full(n, key), np.full(n, digest), (start + at).astype(np.int32)]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "id", "digest", "low"])
 
-    each = segments.mapInArrow(run, "a long, b long, id long, digest long, low int").distinct()
+    each = segments.mapInArrow(lean(run), "a long, b long, id long, digest long, low int").distinct()
     common = each.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a", "b")
     return each.join(common, ["a", "b"]).select("id", "digest", "low", (F.col("low") + length).alias("high"))
 
@@ -207,7 +216,7 @@ def _cut_out(docs: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in byte_batches(batches, "text", BATCH_BYTES):
             sizes, spans, kept = [], [], []
             for text, marks in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 data = text.encode()
@@ -225,7 +234,7 @@ def _cut_out(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], names=["key", "n_bytes", "spans", "kept"])
 
     kind = docs.schema["key"].dataType.simpleString()
-    return docs.select("key", "text", "marks").mapInArrow(run, f"key {kind}, n_bytes long, spans array<struct<low:int,high:int>>, kept binary")
+    return docs.select("key", "text", "marks").mapInArrow(lean(run), f"key {kind}, n_bytes long, spans array<struct<low:int,high:int>>, kept binary")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = GRAM) -> DataFrame:
@@ -237,8 +246,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Scale: a document gives about one anchor per (length-gram)/2 bytes. Anchors that occur once are dropped by a count
     that combines on the map side; whole contexts that occur more than once are settled by counting, and one of each
-    goes on. A shard holds about SHARD_BYTES; an anchor with more than MOST_CONTEXTS different contexts is counted string
-    by string instead, so that no group is gathered without bound. Marks of a document are bounded by its length.
+    goes on. Anchors and contexts that hold a large share of the rows meet their counts by broadcast. A shard holds about
+    SHARD_BYTES; an anchor with more than MOST_CONTEXTS different contexts is counted string by string instead, so that
+    no group is gathered without bound. Marks of a document are bounded by its length.
     """
     spark = docs.sparkSession
     paths: list[str] = []
@@ -251,17 +261,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     src = docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("digest", F.xxhash64("text"))
     doc = ["id", "digest"]
     anchors = keep(_anchor_table(src.filter(F.octet_length("text") >= length), length, gram), "anchors")
-    several = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
-    shared = keep(anchors.join(several, "anchor"), "shared")
-    contexts = keep(shared.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "digest", "at")).alias("one")), "contexts")
+    several = keep(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "several")
+    shared = keep(join_counted(anchors, several, ["anchor"]).drop("n"), "shared")
+    contexts = keep(shared.groupBy("anchor", *CONTEXT).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "digest", "at")).alias("one")), "contexts")
     whole = (
-        shared.join(contexts.filter("n > 1").select("anchor", "context"), ["anchor", "context"])
+        join_counted(shared, contexts.filter("n > 1").select("anchor", *CONTEXT, "n"), ["anchor", *CONTEXT])
         .select(*doc, F.greatest(F.col("at") - (length - gram), F.lit(0)).alias("low"), F.col("end").alias("high"))
         .filter(F.col("high") - F.col("low") >= length)
     )
     # anchors with different contexts, one of them not settled yet
     mixed = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("different"), F.min("n").alias("least")).filter("different > 1 AND least = 1")
-    open_ = keep(contexts.join(mixed.select("anchor", "different"), "anchor").select("anchor", "one.*", (F.col("different") > MOST_CONTEXTS).alias("frequent")), "open")
+    mixed = keep(mixed.select("anchor", "different"), "mixed")
+    open_ = keep(join_counted(contexts, mixed, ["anchor"], "different").select("anchor", "one.*", (F.col("different") > MOST_CONTEXTS).alias("frequent")), "open")
     shards = max(1, -(-open_.count() * (2 * length - gram) // SHARD_BYTES))
     # a frequent anchor's contexts have no shard: -1
     shard = F.when(F.col("frequent"), -1).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(shards))).cast("long")

@@ -7,15 +7,17 @@ by joins on the digest.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import drop_path, join_counted, scratch_path, written
+
 #: Digits of base 32 as Java prints them, and the base32 alphabet of RFC 4648.
 JAVA_DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CRLF = "\r\n"
-#: Stands for a null id; sorts after all others.
-NO_ID = (1 << 63) - 1
+#: Pages have no time of capture; records name this one unless another is given.
+NO_DATE = "1970-01-01T00:00:00Z"
 
 
 def base32_of_hex(hex_digest: Column) -> Column:
@@ -24,26 +26,29 @@ def base32_of_hex(hex_digest: Column) -> Column:
     return F.translate(F.concat(*groups), JAVA_DIGITS, BASE32)
 
 
-def _record_id(page_id: Column) -> Column:
-    return F.concat(F.lit("<urn:page:"), F.when(page_id == NO_ID, "").otherwise(page_id.cast("string")), F.lit(">"))
+def _record_id(page: Column, copy: Column, digest: Column) -> Column:
+    """Pages of one id differ in their payloads or are numbered copies, so no two records share an id."""
+    known = F.coalesce(page["id"].cast("string"), F.lit("none"))
+    return F.concat(F.lit("<urn:page:"), known, F.lit(":"), copy.cast("string"), F.lit(":"), digest, F.lit(">"))
 
 
-def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0) -> None:
+def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, date: str = NO_DATE) -> None:
     """Writes path/headers and path/payloads for one record per row of pages.
 
     Of records with equal payloads of at least min_bytes bytes the one with the smallest id is a
     response and holds the payload; the others revisit it. Smaller payloads are all responses, and
     are still stored once. Equality is of two strong digests (SHA-1, SHA-256) and the length.
 
-    Null payload: empty. Null url: an empty target. Null ids sort after all others. Repeated rows: the
-    first keeps the response, the rest revisit it (they then refer to their own id). Empty table:
-    empty tables. Other columns are ignored.
+    Null payload: empty. Null url: an empty target. Null ids sort after all others. Rows that repeat an id and a
+    payload are numbered by url: the first keeps the response, the rest revisit it (they then refer to their own id).
+    Empty table: empty tables. Other columns are ignored. date: the WARC-Date of all records.
 
-    Scale: the group of a digest is reduced to its smallest id on the map side; payloads move once,
-    spread by digest and id, and only those that are stored.
+    Scale: the group of a digest is reduced to its smallest id on the map side, and a digest with a large share of the
+    rows meets its pages by broadcast; payloads move once, spread by digest and id, and only those that are stored.
     """
+    page = F.struct(F.col(id_col).isNull().alias("unknown"), F.col(id_col).cast("long").alias("id"))
     src = pages.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"),
+        page.alias("page"),
         F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"),
         F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8").alias("payload"),
     ).withColumns(
@@ -53,55 +58,56 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
             "n": F.octet_length("payload").cast("long"),
         }
     )
-    keys = src.select("id", "url", "sha1", "sha256", "n")
-    first = keys.groupBy("sha256", "sha1", "n").agg(F.min("id").alias("first_id"))
-    # repeats of one id and payload are numbered within their own small group
-    numbered = keys.groupBy("sha256", "sha1", "n", "id", "url").agg(F.count(F.lit(1)).alias("copies"))
+    spark, content = pages.sparkSession, ["sha256", "sha1", "n"]
+    # rows that repeat in every respect are counted; those of one id and payload follow each other by url
+    each = src.groupBy(*content, "page", "url").agg(F.count(F.lit(1)).alias("copies"))
+    own = Window.partitionBy(*content, "page").orderBy("url").rowsBetween(Window.unboundedPreceding, -1)
+    scratch = [scratch_path(spark, "records"), scratch_path(spark, "first")]
+    each = written(each.withColumn("before", F.coalesce(F.sum("copies").over(own), F.lit(0))), scratch[0])
+    first = written(each.groupBy(*content).agg(F.min("page").alias("first"), F.count(F.lit(1)).alias("rows")), scratch[1])
     records = (
-        numbered.join(first, ["sha256", "sha1", "n"])
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-        .withColumn("same_id", F.col("id") == F.col("first_id"))
-        .withColumn("response", (F.col("n") < min_bytes) | (F.col("same_id") & (F.col("copy") == 1)))
+        join_counted(each, first, content, "rows")
+        .withColumn("copy", F.explode(F.sequence(F.col("before") + 1, F.col("before") + F.col("copies"))))
+        .withColumn("response", (F.col("n") < min_bytes) | ((F.col("page") == F.col("first")) & (F.col("copy") == 1)))
         .withColumn("digest", base32_of_hex(F.col("sha1")))
     )
-    common = F.concat(
+    head = F.concat(
         F.lit("WARC/1.1" + CRLF),
         F.lit("WARC-Type: "), F.when(F.col("response"), "response").otherwise("revisit"), F.lit(CRLF),
-        F.lit("WARC-Record-ID: "), _record_id(F.col("id")), F.lit(CRLF),
+        F.lit("WARC-Record-ID: "), _record_id(F.col("page"), F.col("copy"), F.col("digest")), F.lit(CRLF),
+        F.lit("WARC-Date: " + date + CRLF),
         F.lit("WARC-Target-URI: "), F.regexp_replace("url", "[\r\n]+", " "), F.lit(CRLF),
         F.lit("WARC-Payload-Digest: sha1:"), F.col("digest"), F.lit(CRLF),
+        F.lit("Content-Type: text/html; charset=utf-8" + CRLF),
     )
     refers = F.when(F.col("response"), F.lit("")).otherwise(
-        F.concat(F.lit("WARC-Refers-To: "), _record_id(F.col("first_id")), F.lit(CRLF + "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" + CRLF))
+        F.concat(F.lit("WARC-Refers-To: "), _record_id(F.col("first"), F.lit(1), F.col("digest")), F.lit(CRLF + "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" + CRLF))
     )
     length = F.concat(F.lit("Content-Length: "), F.when(F.col("response"), F.col("n")).otherwise(F.lit(0)).cast("string"), F.lit(CRLF + CRLF))
     records.select(
-        F.encode(F.concat(common, refers, length), "UTF-8").alias("header"),
+        F.encode(F.concat(head, refers, length), "UTF-8").alias("header"),
         F.unhex("sha256").alias("address"),
     ).write.parquet(f"{path}/headers")
-    stored = (
-        src.select("id", "sha256", "payload")
-        .join(
-            first.select(F.col("sha256").alias("k"), "first_id"),
-            (F.col("sha256") == F.col("k")) & (F.col("id") == F.col("first_id")),
-            "left_semi",
-        )
-        .groupBy("sha256", "id")
-        .agg(F.first("payload").alias("payload"))
-    )
+    keep = first.select(F.col("sha256").alias("k"), F.col("first").alias("keeper"))
+    stored = src.select("page", "sha256", "payload").join(keep, (F.col("sha256") == F.col("k")) & (F.col("page") == F.col("keeper")), "left_semi")
+    stored = stored.groupBy("sha256", "page").agg(F.first("payload").alias("payload"))
     stored.select(F.unhex("sha256").alias("address"), "payload").write.parquet(f"{path}/payloads")
+    for table in scratch:
+        drop_path(spark, table)
 
 
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
-    """The fields of every header, parsed from its bytes: record_key, record_type, digest, refers_to, header, address."""
+    """The fields of every header, parsed from its bytes: record_id, record_key (the page's id), record_type, url, digest, date, refers_to (a page's id), header, address."""
     text = F.decode("header", "UTF-8")
     field = lambda name, value: F.nullif(F.regexp_extract(text, rf"(?m)^{name}: {value}\r?$", 1), F.lit(""))
     return spark.read.parquet(f"{path}/headers").select(
-        field("WARC-Record-ID", r"<urn:page:(-?\d*)>").cast("long").alias("record_key"),
+        field("WARC-Record-ID", r"(\S+)").alias("record_id"),
+        field("WARC-Record-ID", r"<urn:page:(-?\d+):\S+").cast("long").alias("record_key"),
         field("WARC-Type", r"(\w+)").alias("record_type"),
         field("WARC-Target-URI", r"([^\r\n]*)").alias("url"),
         field("WARC-Payload-Digest", r"sha1:([A-Z2-7]{32})").alias("digest"),
-        field("WARC-Refers-To", r"<urn:page:(-?\d*)>").cast("long").alias("refers_to"),
+        field("WARC-Date", r"(\S+)").alias("date"),
+        field("WARC-Refers-To", r"<urn:page:(-?\d+):\S+").cast("long").alias("refers_to"),
         "header",
         "address",
     )
@@ -118,6 +124,12 @@ def verified_payloads(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def with_payloads(headers: DataFrame, payloads: DataFrame) -> DataFrame:
+    """headers joined with the payloads at their addresses. An address with a large share of the headers goes to them by broadcast of its payload's row."""
+    uses = headers.groupBy("address").agg(F.count(F.lit(1)).alias("uses"))
+    return join_counted(headers, payloads.join(uses, "address"), ["address"], "uses").drop("uses")
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Every record's original bytes: header, then the payload for responses, then two line ends; and the payload itself."""
     end = F.encode(F.lit(CRLF + CRLF), "UTF-8")

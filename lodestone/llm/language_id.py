@@ -15,22 +15,31 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, byte_batches, mix64, only
+from .common import U64, byte_batches, lean, mix64, only
 
 START = "▁"
 LONGEST_WORD = 40
 FLOOR = 1e-7
 BASE = U64(0x100000001B3)
+#: Runs that hold all letters, and some signs that are numbers without being digits.
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def vocabulary_pieces(path: str, longest: int = 8) -> list[str]:
+def letter_runs(text: str) -> list[str]:
+    """The runs of letters, as str.isalpha knows them."""
+    runs = LETTERS.findall(text)
+    if all(map(str.isalpha, runs)):
+        return runs
+    return [part for run in runs for part in "".join(c if c.isalpha() else " " for c in run).split()]
+
+
+def vocabulary_pieces(path: str) -> list[str]:
     """The lower-cased distinct pieces of a sentencepiece model that are letters, with the mark of a word's start."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {model.id_to_piece(i).lower() for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i))}
-    return sorted(p for p in pieces if len(p) <= longest and p != START and p.lstrip(START).isalpha())
+    return sorted(p for p in pieces if p.lstrip(START).isalpha())
 
 
 def _codes(words: list[str]) -> np.ndarray:
@@ -42,8 +51,8 @@ def _codes(words: list[str]) -> np.ndarray:
 class Segmenter:
     """The vocabulary's pieces as a hash index."""
 
-    def __init__(self, pieces: list[str], longest: int = 8):
-        self.longest = longest
+    def __init__(self, pieces: list[str]):
+        self.longest = max(map(len, pieces))
         codes = _codes(pieces)
         h = np.zeros(len(pieces), U64)
         for i in range(codes.shape[1]):
@@ -128,7 +137,7 @@ class Segmenter:
 def words_of(text: str) -> list[str]:
     """Runs of letters in lower case, each with the mark of a start; long ones in parts."""
     out = []
-    for word in LETTERS.findall(text.lower()):
+    for word in letter_runs(text.lower()):
         word = START + word
         out += [word[i : i + LONGEST_WORD] for i in range(0, len(word), LONGEST_WORD)]
     return out
@@ -154,22 +163,25 @@ def fit(samples: list[tuple[str, str]], priors: dict[str, int], pieces: list[str
     return {"langs": langs, "pieces": pieces, "prob": prob.astype(np.float32), "prior": np.log(prior / prior.sum())}
 
 
-def train(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5, held_out: int = 0, docs_per_language: int = 150) -> dict | None:
-    """Fits on docs_per_language whole documents of each language at most (those first by a hash of their id), of folds that aren't held out.
+def train(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5, held_out: int = 0, docs_per_language: int = 150, bytes_per_language: int = 4_000_000) -> dict | None:
+    """Fits on whole documents of each language, of folds that aren't held out: those first by a hash of their id, docs_per_language at most, and none that starts beyond bytes_per_language.
 
-    Every language is learnt; the driver holds its documents and a row of the model for each.
+    Rows with a null text or language teach nothing; an id that repeats is one document for the choice. Empty table, or
+    none that teaches: None. Every language is learnt; the driver holds its documents and a row of the model for each.
     """
     fold = F.crc32(F.encode(F.col(id_col).cast("string"), "UTF-8")) % folds
     known = docs.filter((fold != held_out) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
     priors = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not priors:
         return None
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    # at most docs_per_language ids a language
-    chosen = [r["id"] for r in known.withColumn("place", place).filter(F.col("place") <= docs_per_language).select("id").distinct().collect()]
-    texts = docs.filter(F.col(id_col).isin(chosen) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    samples = [(r["lang"], r["text"]) for r in texts.collect()]
-    return fit(samples, priors, vocabulary_pieces(vocabulary_path))
+    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
+    # at most docs_per_language ids a language, each task keeping so many
+    first = known.withColumn("place", F.row_number().over(by_hash)).filter(F.col("place") <= docs_per_language)
+    chosen = [r["id"] for r in first.select("id").distinct().collect()]
+    texts = docs.filter(F.col(id_col).isin(chosen) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    before = F.coalesce(F.sum(F.octet_length("text")).over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "text").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    texts = texts.withColumn("before", before).filter(F.col("before") < bytes_per_language).orderBy("lang", "id", "text")
+    return fit([(r["lang"], r["text"]) for r in texts.select("lang", "text").collect()], priors, vocabulary_pieces(vocabulary_path))
 
 
 class Scorer:
@@ -227,7 +239,7 @@ def predict(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_co
     keep scores of a bounded number of words.
     """
     src = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    schema = f"{id_col} {src.schema[0].dataType.simpleString()}, lang_pred string, score double"
+    schema = f"`{id_col}` {src.schema[0].dataType.simpleString()}, lang_pred string, score double"
     if model is None:
         return src.select(id_col, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -241,4 +253,4 @@ def predict(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_co
             langs, score = scorer.score(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=[id_col, "lang_pred", "score"])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(lean(run), schema)

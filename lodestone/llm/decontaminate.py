@@ -3,7 +3,8 @@
 If a stretch of text is within e edits of an item of m characters, the two share at least
 m - q + 1 - q*e q-grams, and these lie on diagonals (text position less item position) that
 differ by e at most. So shared q-grams are counted in diagonal bands of twice that width which
-overlap by half; bands that meet the bound are verified by a banded alignment.
+overlap by half; bands that meet the bound are verified by a banded alignment. Items of fewer
+than q characters have no q-gram and no edits; they are found where they stand as whole words.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, byte_batches, mix64, only, worker_store
+from .common import U64, byte_batches, lean, mix64, only, worker_store
 
 Q = 8
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -42,14 +43,26 @@ def _fold(text: str) -> np.ndarray:
 
 
 def _gram_hashes(codes: np.ndarray, q: int = Q) -> np.ndarray:
-    """Hash of the q code points from each position on. q is a power of two."""
-    h, size = codes.astype(U64) + U64(1), 1
-    while size < q:
+    """Hash of the q code points from each position on."""
+    one = codes.astype(U64) + U64(1)
+    h, size = one, 1
+    for bit in bin(q)[3:]:  # double, and add one where the bit is set
         h = h[:-size] * U64(pow(BASE, size, 1 << 64)) + h[size:] if len(h) > size else h[:0]
         size *= 2
+        if bit == "1":
+            h = h[:-1] * U64(BASE) + one[size:] if len(h) > 1 else h[:0]
+            size += 1
     return mix64(h)
 
 
+def _in_words(codes: np.ndarray) -> np.ndarray:
+    """Whether code points are letters or digits; those beyond the basic plane count as such."""
+    store = worker_store()
+    if "in words" not in store:
+        store["in words"] = np.array([chr(i).isalnum() for i in range(1 << 16)])
+    return np.where(codes < 1 << 16, store["in words"][np.minimum(codes, (1 << 16) - 1)], True)
+
+
 class Items:
     """The q-grams of a block of benchmark items."""
 
@@ -57,6 +70,14 @@ class Items:
         self.q = q
         self.ids = [i for i, _ in items]
         self.codes = [_fold(t) for _, t in items]
+        # by length, the hashes of items without a q-gram, in order, and their numbers
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for size in range(1, q):
+            own = np.array([i for i, c in enumerate(self.codes) if len(c) == size], np.int64)
+            if len(own):
+                h = np.concatenate([_gram_hashes(self.codes[i], size) for i in own.tolist()])
+                order = np.argsort(h, kind="stable")
+                self.short[size] = h[order], own[order]
         m = np.array([len(c) for c in self.codes], np.int64)
         self.edits = np.minimum((m * edit_rate).astype(np.int64), np.maximum((m - q) // q, 0))
         self.bound = m - q + 1 - q * self.edits
@@ -91,15 +112,6 @@ class Items:
         best = int(row.argmin())
         return int(row[best]), low + m + best
 
-    def search(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(item number, start, end, edits) of the best stretch for each item that has one within its edits."""
-        codes = _fold(text)
-        h = _gram_hashes(codes, self.q)
-        at = np.flatnonzero(self.seen[(h >> self.shift).astype(np.int64)])
-        first = np.searchsorted(self.hashes, h[at], side="left")
-        n = np.searchsorted(self.hashes, h[at], side="right") - first
-        return self.verify(codes, *self.bands(at, first, n))
-
     def bands(self, at: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Items and band numbers whose counts meet the bound. at: positions in a text; first, n: their runs in the index."""
         total = int(n.sum())
@@ -147,8 +159,24 @@ class Items:
                 best[number] = (edits, max(0, end - min(length, len(back))), end)
         return [(n, s, e, d) for n, (d, s, e) in best.items()]
 
+    def whole_words(self, codes: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """The first place of each short item where no letter or digit adjoins its own."""
+        out = []
+        inside = np.concatenate([[False], _in_words(codes), [False]])
+        for size, (hashes, numbers) in self.short.items():
+            h = _gram_hashes(codes, size)
+            first = np.searchsorted(hashes, h, side="left")
+            n = np.searchsorted(hashes, h, side="right") - first
+            # a word goes on where letters or digits stand on both sides of an edge
+            apart = ~(inside[: len(h)] & inside[1 : len(h) + 1]) & ~(inside[size : len(h) + size] & inside[size + 1 : len(h) + size + 1])
+            at = np.flatnonzero((n > 0) & apart)
+            number = numbers[np.repeat(first[at] - (np.cumsum(n[at]) - n[at]), n[at]) + np.arange(int(n[at].sum()))]
+            number, place = np.unique(number, return_index=True)
+            out += [(i, p, p + size, 0) for i, p in zip(number.tolist(), np.repeat(at, n[at])[place].tolist(), strict=True) if np.array_equal(codes[p : p + size], self.codes[i])]
+        return out
+
     def search_all(self, texts: list[str]) -> list[list[tuple[int, int, int, int]]]:
-        """search() of each text; the grams of all are hashed and looked up together."""
+        """For each text (item number, start, end, edits) of the best stretch for each item that has one within its edits; the grams of all texts are hashed and looked up together."""
         codes = _fold(("\0" * self.q).join(texts))
         h = _gram_hashes(codes, self.q)
         at = np.flatnonzero(self.seen[(h >> self.shift).astype(np.int64)])
@@ -158,21 +186,21 @@ class Items:
         sizes = np.array([len(t) for t in texts], np.int64)
         starts = np.concatenate([[0], np.cumsum(sizes + self.q)])[:-1]
         cuts = np.searchsorted(at, np.append(starts, np.iinfo(np.int64).max))
-        least = int(self.bound.min()) if len(self.bound) else 1
+        least = int(self.bound[self.bound > 0].min(initial=1 << 40))
         out = []
         for i in range(len(texts)):
             a, b = cuts[i], cuts[i + 1]
-            if b - a < least:  # fewer positions that hit than any item's bound
-                out.append([])
-                continue
             own = codes[starts[i] : starts[i] + sizes[i]]
-            out.append(self.verify(own, *self.bands(at[a:b] - starts[i], first[a:b], n[a:b])))
+            found = self.whole_words(own) if self.short else []
+            if b - a >= least:  # else fewer positions hit than any item's bound
+                found += self.verify(own, *self.bands(at[a:b] - starts[i], first[a:b], n[a:b]))
+            out.append(found)
         return out
 
 
-def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", least_chars: int = 40, block_chars: int = 2_000_000):
-    """The items in blocks of bounded size. Null or short items (fewer than least_chars code points) are left out."""
-    items = benchmark.filter(F.length(text_col) >= least_chars).select(F.col(id_col).cast("long"), F.col(text_col)).orderBy(id_col, text_col)
+def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_chars: int = 2_000_000):
+    """The items in blocks of bounded size. Null and blank items name nothing to search for."""
+    items = benchmark.filter(F.col(text_col).rlike(r"\S")).select(F.col(id_col).cast("long"), F.col(text_col)).orderBy(id_col, text_col)
     block, size = [], 0
     for item, text in items.toLocalIterator():
         block.append((item, text))
@@ -192,8 +220,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """Returns id_col, item_id, start, end (code points), edits: the best stretch for each document and item, where there is one.
 
     Letters' case and kinds of white space make no difference. Edits are at most edit_rate of an item's
-    length, and fewer for items so short that the lemma would bound nothing. Null and empty texts have no
-    leaks. Rows that repeat are searched each for itself. Empty tables: no rows. Other columns are ignored.
+    length, and fewer for items so short that the lemma would bound nothing: below 16 characters there are none, and
+    below 8 an item must stand as whole words. Null and blank items, and null and empty texts, have no leaks. Rows
+    that repeat an id are searched each for itself. Empty tables: no rows. Other columns are ignored.
 
     Scale: no shuffle. Items go out in blocks of bounded size, each with one pass over the documents.
     """
@@ -213,13 +242,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                 doc, *rest = list(zip(*rows, strict=True)) if rows else [()] * 5
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc, pa.int64())), *[pa.array(c, pa.int64()) for c in rest]], names=[id_col, "item_id", "start", "end", "edits"])
 
-        found = src.mapInArrow(run, schema)
+        found = src.mapInArrow(lean(run), schema)
         out = found if out is None else out.union(found)
     return spark.createDataFrame([], schema) if out is None else out
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", edit_rate: float = 0.1) -> DataFrame:
-    """docs without the rows that have a leak; all columns as they are."""
+    """docs without the rows that have a leak (see find_leaks); all columns as they are."""
     for block in blocks(benchmark):
         shared, key = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
@@ -231,5 +260,5 @@ def drop_leaked(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", e
                 texts = [t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
                 yield batch.filter(pa.array([not found for found in items.search_all(texts)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(lean(run), docs.schema)
     return docs

@@ -14,12 +14,12 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, byte_batches, mix64, only
+from .common import U64, byte_batches, lean, mix64, only
 
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 16
 HIDDEN, ATTENTION = 8, 8
 WORD_DIM, CHAR_DIM = 6, 6
 INPUT = WORD_DIM + CHAR_DIM + 2
@@ -384,8 +384,12 @@ class Scorer:
         return sigmoid(out)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, held_out: int = 1, most_toxic: int = 1000, most_clean: int = 2500) -> Network | None:
-    """Fits on most_toxic toxic and most_clean other whole documents at most (those first by a hash of their id), of folds that aren't held out."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, held_out: int = 1, most_toxic: int = 1000, most_clean: int = 2500, most_bytes: int = 30_000_000) -> Network | None:
+    """Fits on most_toxic toxic and most_clean other whole documents at most (those first by a hash of their id), of folds that aren't held out.
+
+    Documents that start beyond most_bytes of text, in that order and by class, teach nothing, nor do null texts, ids and labels; an
+    id with several labels is toxic if one says so, and several texts of it all teach. Without both classes: None.
+    """
     fold = F.crc32(F.encode(F.col(id_col).cast("string"), "UTF-8")) % folds
     known = labels.filter((fold != held_out) & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label"))
     labelled: dict = {}
@@ -394,7 +398,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         labelled |= {r["id"]: label for r in some.collect()}
     if len(set(labelled.values())) < 2:
         return None
-    texts = docs.filter(F.col(id_col).isin(list(labelled)) & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).collect()
+    texts = docs.filter(F.col(id_col).isin(list(labelled)) & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    by_hash = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id", "text").rowsBetween(Window.unboundedPreceding, -1)
+    texts = texts.withColumn("label", F.col("id").isin([i for i, y in labelled.items() if y]))
+    texts = texts.withColumn("before", F.coalesce(F.sum(F.octet_length("text")).over(by_hash), F.lit(0))).filter(F.col("before") < most_bytes)
+    texts = texts.select("id", "text").collect()
     texts.sort(key=lambda r: (r["id"], r["text"]))
     return fit([r["text"] for r in texts], [labelled[r["id"]] for r in texts])
 
@@ -425,4 +433,4 @@ def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col
             scores = scorer.score([t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=[kept, "score"])
 
-    return src.mapInArrow(run, f"`{kept}` {src.schema[kept].dataType.simpleString()}, score double")
+    return src.mapInArrow(lean(run), f"`{kept}` {src.schema[kept].dataType.simpleString()}, score double")

@@ -21,16 +21,15 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, byte_batches, drop_path, mix64, scratch_path, shingle_hashes, text_bytes, word_hashes, written
+from .common import U64, byte_batches, drop_path, join_counted, lean, lean_group, mix64, scratch_path, shingle_hashes, text_bytes, word_hashes, written
 
 COORDINATES, ROWS = 120, 5
 FIRST_LEVEL = 2.0**-7
-NO_ID = -(1 << 63)
 MOST = U64(0xFFFFFFFFFFFFFFFF)
 #: Candidate sets are picked by a broadcast of their ids up to this many (16 bytes each), and by a shuffle beyond.
 MOST_BROADCAST = 250_000
-#: Buckets that stay in several components are searched by one task up to this many members, and by pairs of blocks beyond; see _in_blocks.
-MOST_MEMBERS = 20_000
+#: Buckets that stay in several components are searched as one group up to this many members and shingles, and by pairs of blocks beyond; see _in_blocks.
+MOST_MEMBERS, MOST_SHINGLES = 2_000, 8_000_000
 #: How far below the threshold, in standard deviations, the signatures' estimate of a pair may be that is still checked.
 MARGIN = 5.0
 
@@ -100,55 +99,72 @@ def band_hashes(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return out
 
 
-def shingle_sets(column, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of each text of an Arrow column, end to end, and the rows' bounds."""
+def shingle_sets(column, k: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of each text of an Arrow column, end to end, how often each stands in its text, and the rows' bounds."""
     sh, bounds = shingle_hashes(*word_hashes(*text_bytes(column)), k)
-    sets = [np.unique(sh[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+    sets = [np.unique(sh[a:b], return_counts=True) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
     out = np.zeros(len(bounds), np.int64)
-    np.cumsum([len(s) for s in sets], out=out[1:])
-    return (np.concatenate(sets) if sets else np.zeros(0, U64)), out
+    np.cumsum([len(s) for s, _ in sets], out=out[1:])
+    if not sets:
+        return np.zeros(0, U64), np.zeros(0, np.int64), out
+    return np.concatenate([s for s, _ in sets]), np.concatenate([n for _, n in sets]), out
 
 
-def class_keys(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """A 64-bit key of each whole set: texts with equal sets have equal keys."""
-    total = np.concatenate([np.zeros(1, U64), np.cumsum(mix64(sets ^ U64(0x5BD1E995)))])
-    return mix64((total[bounds[1:]] - total[bounds[:-1]]) ^ np.diff(bounds).astype(U64)).astype(np.int64)
+def unfold(sets: np.ndarray, counts: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted sets as plain ones: an element of weight n becomes n elements. Their Jaccard similarity is the weighted one."""
+    number = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    return mix64(np.repeat(sets, counts) + number.astype(U64)), np.concatenate([[0], np.cumsum(counts)])[bounds]
 
 
-def sign(docs: DataFrame, k: int = 5) -> DataFrame:
-    """docs has id and text. Returns id, class (key of the shingle set), shingles (how many), bands, and 16 bits of each coordinate."""
+def set_keys(sets: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """A 128-bit key of each whole set, from two independent sums: texts with equal sets have equal keys."""
+    out = []
+    for seed in (0x5BD1E995, 0xC6A4A7935BD1E995):
+        total = np.concatenate([np.zeros(1, U64), np.cumsum(mix64(sets ^ U64(seed)))])
+        out.append(mix64((total[bounds[1:]] - total[bounds[:-1]]) ^ np.diff(bounds).astype(U64)))
+    data = np.stack(out, axis=1).astype("<u8").tobytes()
+    return [data[i : i + 16] for i in range(0, len(data), 16)]
+
+
+def sign(docs: DataFrame, k: int = 5, weighted: bool = False) -> DataFrame:
+    """docs has id, text_key and text. Returns id, text_key, key (of the shingle set), shingles (how many), bands, and 16 bits of each coordinate."""
+    kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches):
         import pyarrow as pa
 
         for batch in byte_batches(batches, "text"):
-            sets, bounds = shingle_sets(batch.column(1), k)
+            sets, counts, bounds = shingle_sets(batch.column(2), k)
             rows = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
-            sig = signatures(sets, rows, batch.num_rows)
+            sig = signatures(sets, rows, batch.num_rows, counts.astype(np.float64) if weighted else None)
+            if weighted:
+                sets, bounds = unfold(sets, counts, bounds)
             bands, short = band_hashes(sig).astype(np.int64), (sig & U64(0xFFFF)).astype("<u2")
             offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * bands.shape[1])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(class_keys(sets, bounds)), pa.array(np.diff(bounds)), pa.ListArray.from_arrays(offsets, pa.array(bands.ravel())), pa.array([r.tobytes() for r in short], pa.binary())],
-                names=["id", "class", "shingles", "bands", "sig"],
+                [batch.column(0), batch.column(1), pa.array(set_keys(sets, bounds), pa.binary()), pa.array(np.diff(bounds)), pa.ListArray.from_arrays(offsets, pa.array(bands.ravel())), pa.array([r.tobytes() for r in short], pa.binary())],
+                names=["id", "text_key", "key", "shingles", "bands", "sig"],
             )
 
-    return docs.select("id", "text").mapInArrow(run, "id long, class long, shingles long, bands array<long>, sig binary")
+    return docs.select("id", "text_key", "text").mapInArrow(lean(run), f"id {kind}, text_key binary, key binary, shingles long, bands array<long>, sig binary")
 
 
-def set_table(docs: DataFrame, k: int = 5) -> DataFrame:
-    """docs has class and text. Returns class and set: 32 bits of each shingle's hash; rows whose text has another class are left out."""
+def set_table(docs: DataFrame, k: int = 5, weighted: bool = False) -> DataFrame:
+    """docs has class, key and text. Returns class and set: 32 bits of each shingle's hash; rows whose text has another key are left out."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in byte_batches(batches, "text"):
-            sets, bounds = shingle_sets(batch.column(1), k)
+            sets, counts, bounds = shingle_sets(batch.column(2), k)
+            if weighted:
+                sets, bounds = unfold(sets, counts, bounds)
             short = (sets >> U64(32)).astype(np.uint32).view(np.int32)
             column = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(short))
-            mine = pa.array(class_keys(sets, bounds) == batch.column(0).to_numpy(zero_copy_only=False))
+            mine = pa.array([a == b for a, b in zip(set_keys(sets, bounds), batch.column(1).to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), column], names=["class", "set"]).filter(mine)
 
-    return docs.select("class", "text").mapInArrow(run, "class long, set array<int>")
+    return docs.select("class", "key", "text").mapInArrow(lean(run), "class long, set array<int>")
 
 
 class _Tables:
@@ -187,23 +203,25 @@ def components(edges: DataFrame, tables: _Tables) -> DataFrame:
             return labels
 
 
-def _leaders(member: DataFrame) -> DataFrame:
+def _leaders(member: DataFrame, tables: _Tables) -> DataFrame:
     """member (bucket, class, component). Pairs (a, b): the smallest set of each component of a bucket, with the smallest of the bucket.
 
     A bucket of n components gives n-1 pairs.
     """
-    one = member.groupBy("bucket", "component").agg(F.min("class").alias("class"))
-    lead = one.groupBy("bucket").agg(F.min("class").alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return one.join(lead, "bucket").filter("class != lead").select(F.least("class", "lead").alias("a"), F.greatest("class", "lead").alias("b")).distinct()
+    one = tables.keep(member.groupBy("bucket", "component").agg(F.min("class").alias("class")), "one")
+    lead = tables.keep(one.groupBy("bucket").agg(F.min("class").alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "lead")
+    return join_counted(one, lead, ["bucket"]).filter("class != lead").select(F.least("class", "lead").alias("a"), F.greatest("class", "lead").alias("b")).distinct()
 
 
 def _in_blocks(member: DataFrame) -> DataFrame:
-    """member (bucket, class, component, members), with block, low and high: the groups (bucket, low, high) to search.
+    """member (bucket, class, component, members, shingles), with block, low and high: the groups (bucket, low, high) to search.
 
-    A bucket of up to MOST_MEMBERS is one group. A larger one is dealt into blocks of half as many by a hash, and each
-    pair of blocks, and each block by itself, is a group, so that every pair of members meets in exactly one group.
+    A bucket of up to MOST_MEMBERS and MOST_SHINGLES is one group. A larger one is dealt into blocks of half as many by
+    a hash, and each pair of blocks, and each block by itself, is a group, so that every pair of members meets in
+    exactly one group.
     """
-    blocks = F.when(F.col("members") <= MOST_MEMBERS, F.lit(1)).otherwise(F.ceil(F.col("members") / max(1, MOST_MEMBERS // 2)).cast("int"))
+    fill = F.greatest(F.col("members") / MOST_MEMBERS, F.col("shingles") / MOST_SHINGLES)
+    blocks = F.when(fill <= 1, F.lit(1)).otherwise(F.ceil(fill * 2).cast("int"))
     dealt = member.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return met.select("bucket", "class", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
@@ -264,70 +282,99 @@ def _search_buckets(member: DataFrame, threshold: float) -> DataFrame:
         a, b = cls[[f[0] for f in found]], cls[[f[1] for f in found]]
         return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
-    return member.groupBy("bucket", "low", "high").applyInArrow(run, "a long, b long").distinct()
+    return member.groupBy("bucket", "low", "high").applyInArrow(lean_group(run), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, k: int = 5) -> DataFrame:
-    """Returns id_col, class_id and n_links: one row per document.
-
-    class_id is the smallest id of the documents that links connect; a link is a Jaccard similarity of the sets of
-    k-word shingles of threshold or more. Words are lower-case (ASCII) runs without white space. Documents with
-    equal sets are copies and are taken together first; n_links counts the links found of a document's set to other
-    sets (as many as connect them, not all).
-
-    Texts of fewer than k words have one shingle of all their words. Null and empty texts are copies of each other.
-    Null ids count as smaller than all others. Rows that repeat an id are grouped each by its own text. Empty table: no
-    rows. Other columns are ignored.
-
-    Scale: copies collapse before anything is joined. A bucket is first reduced to a representative on the map side, so
-    that n sets give n-1 pairs, never n*n. What stays apart is searched whole, a bucket at a time; a bucket of more than
-    MOST_MEMBERS sets is searched by pairs of blocks in tasks of about MOST_MEMBERS sets, each set being sent once for
-    every block. Only counts reach the driver.
-    """
+def _groups(docs: DataFrame, id_col: str, text_col: str, threshold: float, k: int, weighted: bool) -> DataFrame:
+    """id (known, id), text_key, n_links, class_id (like id), first (id and text_key of the row that stands for the group): one row per row of docs."""
     spark = docs.sparkSession
     tables = _Tables(spark)
-    src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    signed = tables.keep(sign(src, k), "signed")
+    src = _keyed(docs, id_col, text_col)
+    signed = tables.keep(sign(src, k, weighted), "signed")
     first = [F.first(c).alias(c) for c in ("bands", "sig")]
-    classes = tables.keep(signed.groupBy("class").agg(F.min("id").alias("id"), F.min("shingles").alias("shingles"), *first), "classes")
+    classes = signed.groupBy("key").agg(F.min(F.struct("id", "text_key")).alias("first"), F.count(F.lit(1)).alias("copies"), F.min("shingles").alias("shingles"), *first)
+    # classes go by a number, fixed when the table is written
+    classes = tables.keep(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
     # an empty set has no band
-    banded = classes.filter("shingles > 0").select("class", F.explode("bands").alias("bucket"))
-    full = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    buckets = tables.keep(banded.join(full, "bucket"), "buckets")
-    wanted = tables.keep(buckets.select("class").distinct().join(classes.select("class", "id"), "class"), "wanted")
+    banded = classes.filter("shingles > 0").select("class", "shingles", F.explode("bands").alias("bucket"))
+    full = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.sum("shingles").alias("shingles")).filter("members > 1")
+    full = tables.keep(full, "full")
+    buckets = tables.keep(join_counted(banded.drop("shingles"), full, ["bucket"], "members"), "buckets")
+    wanted = buckets.select("class").distinct().join(classes.select("class", "key", "first.*"), "class")
+    wanted = tables.keep(wanted, "wanted")
     n = wanted.count()
-    picked = src.join(F.broadcast(wanted) if n <= MOST_BROADCAST else wanted, "id")
+    picked = src.join(F.broadcast(wanted) if n <= MOST_BROADCAST else wanted, ["id", "text_key"])
     # rows that repeat are one set
-    sets = tables.keep(set_table(picked, k).dropDuplicates(["class"]), "sets")
+    sets = tables.keep(set_table(picked, k, weighted).dropDuplicates(["class"]), "sets")
 
-    edges = tables.keep(_linked(_leaders(buckets.withColumn("component", F.col("class"))), sets, threshold), "links")
+    edges = tables.keep(_linked(_leaders(buckets.withColumn("component", F.col("class")), tables), sets, threshold), "links")
     label = tables.keep(components(edges, tables).withColumnRenamed("node", "class"), "label")
 
     def members() -> DataFrame:
         return buckets.join(label, "class", "left").withColumn("component", F.coalesce("label", "class")).drop("label")
 
-    apart = members().groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
-    open_ = tables.keep(members().join(apart, "bucket"), "open")
+    apart = members().groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high").select("bucket", "n")
+    open_ = tables.keep(join_counted(members(), tables.keep(apart, "apart"), ["bucket"]).drop("n"), "open")
     inside = _in_blocks(open_).join(sets, "class").join(classes.select("class", "sig"), "class")
     more = tables.keep(_search_buckets(inside, threshold), "links")
     if not more.isEmpty():
         edges = edges.union(more)
         label = components(edges, tables).withColumnRenamed("node", "class")
     degree = edges.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n_links"))
-    named = classes.select("class", "id").join(label, "class", "left").withColumn("label", F.coalesce("label", "class"))
-    smallest = named.groupBy("label").agg(F.min("id").alias("class_id"))
-    grouped = named.join(smallest, "label").join(degree, "class", "left").select("class", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    out = written(signed.select("id", "class").join(grouped, "class").select("id", "class_id", "n_links"), "groups")
+    named = classes.select("class", "key", "first", "copies").join(label, "class", "left").withColumn("label", F.coalesce("label", "class"))
+    leaders = tables.keep(named.groupBy("label").agg(F.min("first").alias("leader"), F.count(F.lit(1)).alias("n")), "leaders")
+    grouped = join_counted(named.select("class", "key", "copies", "label"), leaders, ["label"]).join(degree, "class", "left")
+    grouped = tables.keep(grouped.select("key", "copies", F.col("leader").alias("first"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "grouped")
+    out = join_counted(signed.select("id", "text_key", "key"), grouped, ["key"], "copies").select("id", "text_key", "n_links", F.col("first.id").alias("class_id"), "first")
+    out = written(out, "groups")
     tables.drop()
-    null = lambda c: F.nullif(F.col(c), F.lit(NO_ID))
-    return out.select(null("id").alias(id_col), null("class_id").alias("class_id"), "n_links")
+    return out
+
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id (a struct, so that null ids have a place, before all others), text_key (a digest of the text) and text."""
+    identity = F.struct(F.col(id_col).isNotNull().alias("known"), F.col(id_col).cast("long").alias("id"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(identity.alias("id"), F.unhex(F.md5(text)).alias("text_key"), text.alias("text"))
 
-def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs without those that near_duplicates put with a smaller id; of rows that repeat an id, one stays."""
-    lost = groups.filter(~F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("_lost")).distinct()
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, k: int = 5, weighted: bool = False) -> DataFrame:
+    """Returns id_col, class_id and n_links: one row per document.
+
+    class_id is the smallest id of the documents that links connect; a link is a Jaccard similarity of the sets of
+    k-word shingles of threshold or more. Words are lower-case (ASCII) runs without white space. Documents with
+    equal sets are copies and are taken together first; n_links counts the links found of a document's set to other
+    sets (as many as connect them, not all). weighted: a shingle counts as often as it stands in the text, in the
+    signatures (as the element's weight) and in the similarity.
+
+    Texts of fewer than k words have one shingle of all their words. Null and empty texts are copies of each other.
+    Null ids count as smaller than all others. Rows that repeat an id are grouped each by its own text. Empty table: no
+    rows. Other columns are ignored.
+
+    Scale: copies collapse before anything is joined. A bucket is first reduced to a representative on the map side, so
+    that n sets give n-1 pairs, never n*n. What stays apart is searched whole; a bucket of more than MOST_MEMBERS sets
+    or MOST_SHINGLES is searched by pairs of blocks in groups of bounded size, each set being sent once for every block.
+    Buckets and classes that hold a large share of the rows are joined by broadcast of their few keys. Only counts
+    reach the driver.
+    """
+    out = _groups(docs, id_col, text_col, threshold, k, weighted)
+    return out.select(F.col("id.id").alias(id_col), F.col("class_id.id").alias("class_id"), "n_links")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, k: int = 5) -> DataFrame:
+    """docs without those that near_duplicates groups with a smaller id: of each group one row stays, with all its columns as they are.
+
+    It is the row of the smallest id (null ids first), and, where several texts of a group have that id, of the smallest
+    digest; of rows that repeat both id and text any one stays. Rows of one id whose texts are not alike all stay.
+    """
+    groups = _groups(docs, id_col, text_col, threshold, k, False)
+    lost = groups.filter(F.struct("id", "text_key") != F.col("first")).select(F.col("id").alias("_id"), F.col("text_key").alias("_key")).distinct()
     lost = F.broadcast(lost) if lost.count() <= MOST_BROADCAST else lost
-    left = docs.join(lost, F.col(id_col).eqNullSafe(F.col("_lost")), "left_anti")
-    if not left.groupBy(id_col).count().filter("count > 1").isEmpty():
-        left = left.dropDuplicates([id_col])
+    identity = F.struct(docs[f"`{id_col}`"].isNotNull().alias("known"), docs[f"`{id_col}`"].cast("long").alias("id"))
+    digest = F.unhex(F.md5(F.coalesce(docs[f"`{text_col}`"], F.lit(""))))
+    left = docs.join(lost, (identity == F.col("_id")) & (digest == F.col("_key")), "left_anti")
+    twice = groups.filter(F.struct("id", "text_key") == F.col("first")).groupBy("id", "text_key").count().filter("count > 1")
+    if not twice.isEmpty():
+        mark = "_text_digest_"
+        left = left.withColumn(mark, digest).dropDuplicates([id_col, mark]).drop(mark)
     return left

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tokenizing import encoder, wide, with_end
-from .common import byte_batches
+from .common import byte_batches, lean
 
 
 def cut_rest(rest: int, capacity: int, slack: float = 1 / 64) -> list[int]:
@@ -117,4 +117,4 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         packer.finish()
         yield emit()
 
-    return src.mapInArrow(run, "doc_id long, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long")
+    return src.mapInArrow(lean(run), "doc_id long, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long")

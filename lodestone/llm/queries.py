@@ -28,16 +28,17 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fingerprints.fingerprint_edits(_table(spark, sf_dir, "documents"))
     a, b, c = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
+    own, edited, following = F.col("digest"), F.col("edited_digest"), F.col("next_digest")
     return rows.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
         F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
-        fingerprints.as_text(a).alias("fingerprint"),
-        fingerprints.as_text(b).alias("edited_fingerprint"),
-        fingerprints.resemblance(a, b).alias("near_edited"),
-        fingerprints.resemblance(a, c).alias("near_next"),
-        fingerprints.containment(a, b).alias("contained_in_edited"),
-        fingerprints.containment(a, c).alias("contained_in_next"),
+        fingerprints.as_text(own, a).alias("fingerprint"),
+        fingerprints.as_text(edited, b).alias("edited_fingerprint"),
+        fingerprints.likeness(fingerprints.resemblance(a, b), own, edited).alias("near_edited"),
+        fingerprints.likeness(fingerprints.resemblance(a, c), own, following).alias("near_next"),
+        fingerprints.likeness(fingerprints.containment(a, b), own, edited).alias("contained_in_edited"),
+        fingerprints.likeness(fingerprints.containment(a, c), own, following).alias("contained_in_next"),
     )
 
 
@@ -100,7 +101,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.write_archive(_table(spark, sf_dir, "pages"), path, min_bytes=0)
     headers = warc.read_headers(spark, path)
     stored = warc.verified_payloads(spark, path).select("address", "stored_digest", "payload_bytes")
-    return headers.join(stored, "address").select(
+    return warc.with_payloads(headers, stored).select(
         F.col("record_key").alias("page_id"),
         "payload_bytes",
         F.when(F.col("digest") == F.col("stored_digest"), F.col("digest")).alias("payload_digest"),

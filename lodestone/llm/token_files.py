@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .tokenizing import encoder, wide, with_end
-from .common import byte_batches
+from .common import byte_batches, lean
 
 MAGIC = b"LSEF0002"
 SAMPLE = 64
@@ -203,7 +203,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, id_col: s
         kinds = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], k) for i, k in enumerate(kinds)], names=names)
 
-    ranged.mapInArrow(encode, "part int, seq int, file string, documents long, ids long").write.parquet(f"{path}/manifest")
+    ranged.mapInArrow(lean(encode), "part int, seq int, file string, documents long, ids long").write.parquet(f"{path}/manifest")
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -244,5 +244,5 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> D
                     yield pa.RecordBatch.from_arrays(columns, names=names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.lsef").load(f"{path}/files").select("path", "content")
-    rows = files.mapInArrow(decode, schema)
+    rows = files.mapInArrow(lean(decode), schema)
     return rows.join(known.select("file", "start"), "file").select("doc_id", (F.col("start") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)

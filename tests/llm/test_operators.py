@@ -5,12 +5,13 @@ import random
 import zlib
 from collections import Counter
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import common, decontaminate, fingerprints, language_id, line_dedup, minhash, packing, suffix_array, suffix_dedup, token_files, toxicity, warc
+from lodestone.llm import common, decontaminate, fingerprints, language_id, line_dedup, minhash, packing, queries, suffix_array, suffix_dedup, token_files, toxicity, warc
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 CLASH = "doc_id long, text string, id string, bucket string, class string, lang string"
@@ -91,8 +92,13 @@ def test_repeats_in_repeated_rows_and_no_rows(spark):
 # -------------------------------------------------------------- fingerprints
 
 
+def word_shingles(text, k=5):
+    w = text.lower().strip(" \t\n\x0b\f\r").split() if text.strip(" \t\n\x0b\f\r") else []
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}
+
+
 def test_fingerprints(spark):
-    texts = [*ODD, ODD[-1]]
+    texts = [*ODD, ODD[-1], "one two", "one two", *[prose(13 + i, n) for i, n in enumerate((3, 4, 5, 6, 9, 30, 300))]]
     got = rows(fingerprints.fingerprint_edits(docs(spark, texts), partitions=5))
     plain = [t or "" for t in texts]
     for i, t in enumerate(plain):
@@ -100,10 +106,41 @@ def test_fingerprints(spark):
         k = len(t) // 4
         assert got[i]["edited"] == t[: len(t) - k] + after[:k]
         assert got[i]["next_sketch"] == got[(i + 1) % len(plain)]["sketch"] and got[i]["sketch"] == sorted(set(got[i]["sketch"]))
-    assert got[7]["sketch"] == got[8]["sketch"] and got[0]["sketch"] == got[1]["sketch"]
-    n = len(set(got[5]["sketch"]))
-    assert abs(n / (30_000 - 4) - 1 / 8) < 0.02
+        # by the one threshold, as many of the shingles as its fraction
+        assert abs(len(got[i]["sketch"]) - len(word_shingles(t)) / 2) <= 3 * (len(word_shingles(t)) ** 0.5 / 2) + 0.5
+        assert all(h < 0 for h in got[i]["sketch"])
+    assert got[7]["sketch"] == got[8]["sketch"] and got[0]["sketch"] == got[1]["sketch"] == [-(1 << 63)]
     assert fingerprints.fingerprint_edits(docs(spark, ["a"]).limit(0)).isEmpty()
+    one = fingerprints.fingerprint_edits(docs(spark, ["some text"])).collect()
+    assert one[0]["edited"] == "some te" + "so"
+
+
+def test_fingerprints_of_null_and_repeated_ids(spark):
+    got = fingerprints.fingerprint_edits(docs(spark, ["bbbb", "aaaa", None, "cccc", "dddd"], [2, 2, None, None, 1])).collect()
+    assert sorted((str(r["doc_id"]), r["text"], r["edited"]) for r in got) == [("1", "dddd", "ddda"), ("2", "aaaa", "aaab"), ("2", "bbbb", "bbb"), ("None", "", ""), ("None", "cccc", "cccd")]
+
+
+def test_fingerprint_query(spark, tmp_path):
+    """Likeness against the shingles' true Jaccard, and equal texts."""
+    texts = [prose(30 + i, n) for i, n in enumerate([*range(1, 40), *range(40, 600, 20)])] + ["same words here", "same words here", None, ""]
+    docs(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    got = rows(queries.op2_fingerprints(spark, str(tmp_path)))
+    assert len(got) == len(texts)
+    off = []
+    for i, t in enumerate(texts):
+        t, after = t or "", texts[(i + 1) % len(texts)] or ""
+        k = len(t) // 4
+        new = t[: len(t) - k] + after[:k]
+        assert (got[i]["n_chars"], got[i]["edited_sha256"]) == (len(t), hashlib.sha256(new.encode()).hexdigest())
+        for name, other in (("near_edited", new), ("near_next", after)):
+            a, b = word_shingles(t), word_shingles(other)
+            off.append(abs(got[i][name] - len(a & b) / len(a | b)))
+            assert t != other or got[i][name] == 1
+    assert np.mean(off) < 0.03
+    by_text = {}
+    for i, t in enumerate(texts):
+        by_text.setdefault(t or "", set()).add(got[i]["fingerprint"])
+    assert all(len(f) == 1 for f in by_text.values()) and len({f for s in by_text.values() for f in s}) == len(by_text)
 
 
 def test_fingerprint_estimates(spark):
@@ -126,11 +163,31 @@ def test_lines(spark):
     assert (got[1]["text"], got[1]["n_dropped"]) == ("short", 2) and got[2]["text"] == texts[2] and got[4]["text"] == texts[4]
     for i, t in enumerate(ODD, 5):
         assert (got[i]["text"], got[i]["n_lines"]) == (t or "", (t or "").count("\n") + 1)
+    none = line_dedup.dedup_lines(docs(spark, [common_line] * 5, [None, None, 1, 2, 3])).collect()
+    assert sorted((str(r["doc_id"]), r["n_dropped"]) for r in none) == [("1", 1), ("2", 1), ("3", 0), ("None", 0), ("None", 0)]
     twice = line_dedup.dedup_lines(docs(spark, [common_line] * 4, [1, 1, 2, 2]), keep=("lang",)).collect()
     assert all(r["n_dropped"] == 0 and r["lang"] == "en" for r in twice)
     assert line_dedup.dedup_lines(docs(spark, ["a"]).limit(0)).isEmpty()
 
 
+@pytest.mark.parametrize("most, hot", [(100_000, 5_000), (0, 5_000), (0, 3)])
+def test_lines_by_brute_force(spark, monkeypatch, most, hot):
+    monkeypatch.setattr(line_dedup, "MOST_BROADCAST", most)
+    monkeypatch.setattr(common, "LEAST_HOT", hot)
+    rng = random.Random(5)
+    lines = [f"{'shared line number'.title() if i % 2 else 'SHARED line number'} {i % 6} of many" for i in range(12)] + ["short", "", "  \t", "one that is alone here %d"]
+    texts = ["\n".join(rng.choice([" ", ""]) + (x % i if "%" in x else x) for x in rng.choices(lines, k=rng.randint(1, 30))) for i in range(40)]
+    got = rows(line_dedup.dedup_lines(docs(spark, texts)))
+    key = lambda x: x.strip(" \t\n\x0b\f\r").lower()
+    holders = {}
+    for i, t in enumerate(texts):
+        for x in t.split("\n"):
+            holders.setdefault(key(x), set()).add(i)
+    for i, t in enumerate(texts):
+        kept = [x for x in t.split("\n") if not (len(key(x)) >= 20 and len(holders[key(x)]) >= 3 and i != max(holders[key(x)]))]
+        assert (got[i]["text"], got[i]["n_lines"], got[i]["n_dropped"]) == ("\n".join(kept), t.count("\n") + 1, t.count("\n") + 1 - len(kept))
+
+
 # ------------------------------------------------------------------ toxicity
 
 
@@ -389,8 +446,35 @@ def test_near_duplicates_of_repeats(spark):
     got = minhash.near_duplicates(docs(spark, [text, text, None, text], [4, 4, 2, None]))
     assert sorted((str(r["doc_id"]), str(r["class_id"])) for r in got.collect()) == [("2", "2"), ("4", "None"), ("4", "None"), ("None", "None")]
     assert minhash.near_duplicates(docs(spark, [text]).limit(0)).isEmpty()
-    kept = minhash.keep_one(docs(spark, [text, text, "b"], [3, 3, 5]), minhash.near_duplicates(docs(spark, [text, text, "b"], [3, 3, 5])))
-    assert sorted(r["doc_id"] for r in kept.collect()) == [3, 5] and kept.columns[:2] == ["doc_id", "text"]
+    other = prose(10, 50)
+    kept = minhash.keep_one(docs(spark, [text, text, "b", other, None, ""], [3, 3, 5, 3, None, None]))
+    # of one id, each text stays that has no copy before it
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in kept.collect()) == sorted([("3", text), ("5", "b"), ("3", other), ("None", "")])
+    assert kept.columns == docs(spark, ["a"]).columns
+    least = -(1 << 63)
+    kept = minhash.near_duplicates(docs(spark, [text, text, other], [least, 7, None])).collect()
+    assert sorted((str(r["doc_id"]), str(r["class_id"])) for r in kept) == [(str(least), str(least)), ("7", str(least)), ("None", "None")]
+
+
+def test_weighted_near_duplicates(spark):
+    a, b = prose(31, 60), prose(32, 60)
+    # the same set of shingles, b's weighing more in the second
+    texts = [f"{a}\n{b}", f"{a}\n" + "\n".join([b] * 6), f"{a}\n" + "\n".join([b] * 7)]
+    plain = rows(minhash.near_duplicates(docs(spark, texts)))
+    heavy = rows(minhash.near_duplicates(docs(spark, texts), weighted=True))
+    sets = [Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in (t.split() for t in texts)]
+    like = lambda x, y: sum((x & y).values()) / sum((x | y).values())
+    assert like(sets[0], sets[1]) < 0.8 <= like(sets[1], sets[2])
+    assert [heavy[i]["class_id"] for i in range(3)] == [0, 1, 1] and [plain[i]["class_id"] for i in range(3)] == [0, 0, 0]
+
+
+def test_near_duplicates_on_the_tables(spark):
+    """Every pair of the small tables' documents whose sets are alike is in one class."""
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet") if Path("/root/testdata/sf0.001").exists() else pytest.skip("the tables are not here")
+    texts = {r["doc_id"]: shingles(r["text"]) for r in table.select("doc_id", "text").collect()}
+    got = rows(queries.op6_minhash(spark, "/root/testdata/sf0.001"))
+    like = [(i, j) for i, j in combinations(sorted(texts), 2) if texts[i] and len(texts[i] & texts[j]) >= 0.8 * len(texts[i] | texts[j])]
+    assert like and all(got[i]["class_id"] == got[j]["class_id"] for i, j in like)
 
 
 def test_dart_signatures():
@@ -446,7 +530,49 @@ def test_leaks(spark):
     assert sorted(r["doc_id"] for r in clean.collect()) == list(range(12, len(texts))) and clean.columns == docs(spark, ["a"]).columns
     assert decontaminate.find_leaks(docs(spark, texts), bench.limit(0)).isEmpty()
     assert decontaminate.find_leaks(docs(spark, texts).limit(0), bench).isEmpty()
-    assert [len(b) for b in decontaminate.blocks(bench, block_chars=1)] == [1] * 12
+    assert [len(b) for b in decontaminate.blocks(bench, block_chars=1)] == [1] * 13
+
+
+def distances(item, text):
+    """Fewest edits between the item and any stretch of the text."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(item, 1):
+        last, row = row, [i]
+        for j, d in enumerate(text, 1):
+            row.append(min(last[j - 1] + (c != d), last[j] + 1, row[j - 1] + 1))
+    return min(row)
+
+
+def test_leaks_by_brute_force(spark):
+    rng = random.Random(21)
+    letters = "abcdefgh "
+    items = [(i, "".join(rng.choices(letters, k=n)).strip() or "x") for i, n in enumerate([1, 3, 5, 7, 8, 12, 16, 20, 25, 30, 35, 39, 45, 60] * 2)]
+    texts = []
+    for i in range(60):
+        own = list(rng.choice(items)[1])
+        for _ in range(rng.randrange(4)):
+            own[rng.randrange(len(own))] = rng.choice(["", "z", "ab"])
+        texts.append("".join(rng.choices("mnopqrst ", k=rng.randint(0, 60))) + rng.choice(["", " "]) + "".join(own) + rng.choice(["", " ", "."]) + "".join(rng.choices("mnopqrst ", k=rng.randint(0, 60))))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.find_leaks(docs(spark, texts), bench).collect()}
+    index = decontaminate.Items(items, 0.1)
+    for d, text in enumerate(texts):
+        for i, item in items:
+            if len(item) < 8:
+                edge = lambda k: 0 < k < len(text) and text[k - 1].isalnum() and text[k].isalnum()
+                want = any(text[k : k + len(item)] == item and not edge(k) and not edge(k + len(item)) for k in range(len(text)))
+            else:
+                want = distances(item, text) <= index.edits[i]
+            assert ((d, i) in got) == want, (text, item)
+            if want and len(item) >= 8:
+                assert got[d, i]["edits"] >= distances(item, text)
+
+
+def test_leaks_of_null_and_repeated_ids(spark):
+    item = prose(601, 30)
+    bench = spark.createDataFrame([(1, item), (1, item), (None, None), (3, " ")], "item_id long, text string")
+    got = decontaminate.find_leaks(docs(spark, [item, None, item, "no"], [None, 4, 4, 4]), bench).select("doc_id", "item_id").distinct().collect()
+    assert sorted((str(r["doc_id"]), r["item_id"]) for r in got) == [("4", 1), ("None", 1)]
 
 
 # --------------------------------------------------------------------- warc
@@ -461,6 +587,7 @@ def test_warc(spark):
     warc.write_archive(df, path)
     back = warc.read_records(spark, path).collect()
     assert len(back) == len(pages) and spark.read.parquet(f"{path}/payloads").count() == 4
+    assert len({r["record_id"] for r in back}) == len(pages) and all(r["date"] == warc.NO_DATE and b"\r\nContent-Type: " in bytes(r["header"]) for r in back)
     by = {}
     for r in back:
         by.setdefault(r["record_key"], []).append(r)
@@ -481,6 +608,23 @@ def test_warc(spark):
     assert warc.read_records(spark, empty).isEmpty()
 
 
+def test_warc_of_null_ids_and_other_urls(spark, monkeypatch):
+    monkeypatch.setattr(common, "LEAST_HOT", 2)  # all shared payloads are hot
+    most = (1 << 63) - 1
+    pages = [(None, "b", "x"), (None, "a", "x"), (None, "a", "x"), (most, "u", "y"), (None, "u", "y"), (3, "v", "z"), (3, "u", "z"), (None, None, None)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    path = common.scratch_path(spark, "warc")
+    warc.write_archive(df, path)
+    got = warc.read_headers(spark, path).collect()
+    assert sorted((str(r["record_key"]), r["url"] or "", r["record_type"], str(r["refers_to"])) for r in got) == sorted([
+        ("None", "a", "response", "None"), ("None", "a", "revisit", "None"), ("None", "b", "revisit", "None"), (str(most), "u", "response", "None"),
+        ("None", "u", "revisit", str(most)), ("3", "u", "response", "None"), ("3", "v", "revisit", "3"), ("None", "", "response", "None"),
+    ])
+    assert len({r["record_id"] for r in got}) == len(pages)
+    stored = warc.verified_payloads(spark, path)
+    assert warc.with_payloads(warc.read_headers(spark, path), stored).count() == len(pages)
+
+
 def test_warc_small_payloads(spark):
     df = spark.createDataFrame([(1, "u", "abc"), (2, "u", "abc")], "page_id long, url string, html string")
     path = common.scratch_path(spark, "warc")
@@ -521,6 +665,12 @@ def test_language_id(spark):
     for i, t in enumerate(ODD + ["123 ..."], len(fresh)):
         has = any(c.isalpha() for c in t or "")
         assert (got[i]["lang_pred"] == "und") == (not has) and 0 <= got[i]["score"] <= 1
+    # numbers that are no digits are no letters either
+    assert [r["lang_pred"] for r in language_id.predict(docs(spark, ["½ ² ①", "Ⅷ", "٣"]), model).collect()] == ["und"] * 3
+    assert language_id.words_of("a½b") == ["▁a", "▁b"]
+    assert language_id.predict(docs(spark, ["a"]).limit(0), model).isEmpty()
+    again = language_id.predict(docs(spark, [texts[0][1], texts[0][1], None], [5, 5, None]), model).collect()
+    assert sorted((str(r["doc_id"]), r["lang_pred"]) for r in again) == [("5", "one"), ("5", "one"), ("None", "und")]
     table = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(texts)], "doc_id long, text string, lang string")
     trained = language_id.train(table, public_tokenizers.path("piece_bpe_32k.model"), docs_per_language=10)
     assert trained["langs"] == sorted(TONGUES)

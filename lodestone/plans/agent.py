@@ -6,22 +6,23 @@ is acceptable. State is one dict per session.
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import fusion, retrieval
+from ..operators import fill, fusion, retrieval
 from . import dialog
 from .evaluate import Catalog, Config, retrieve
 
+log = logging.getLogger(__name__)
+
 
 class Agent:
-    """respond() never fails: what goes wrong in retrieval leaves the list to seeded draws."""
+    """respond() never fails: where retrieval goes wrong, which is logged, the list is filled from the catalog."""
 
-    def __init__(self, catalog: Catalog, config: Config = Config(), most_ids: int = 1_000_000):
-        ids = catalog.products.select("doc_id").orderBy("ord").limit(most_ids + 1).collect()
-        if len(ids) > most_ids:
-            raise ValueError("the catalog is too large for single requests; use plans.evaluate.retrieve")
-        self.catalog, self.config, self.ids = catalog, config, [r["doc_id"] for r in ids]
+    def __init__(self, catalog: Catalog, config: Config = Config()):
+        self.catalog, self.config = catalog, config
         self.sessions: dict[str, dict] = {}
 
     def reset(self, session_id: str, profile: dict | None = None) -> None:
@@ -53,12 +54,17 @@ class Agent:
             best = retrieval.top_k(pool.drop("rank"), self.config.top, ["query_id"], [F.desc("score"), F.asc("base_rank")])
             found = [r["doc_id"] for r in best.orderBy("rank").collect()]
         except Exception:  # a broken turn still gets an answer
+            log.warning("retrieval failed in turn %s of session %s", turn, session_id, exc_info=True)
             found = []
         shown = session["shown"] if self.config.freshness else set()
-        items = dialog.random_fill(found, self.ids, shown, session["seed"], turn, k=self.config.top)
+        frame = lambda rows, kind: spark.createDataFrame(rows, f"query_id string, {kind}")
+        filled = fill.recommendations(
+            frame([(session_id, session["seed"], turn)], "key string, turn int"), frame([(session_id, d, i) for i, d in enumerate(found)], "doc_id string, rank int"),
+            self.catalog.positions, frame([(session_id, d) for d in sorted(shown)], "doc_id string"), self.config.top,
+        )
+        items = [r["doc_id"] for r in filled.orderBy("rank").collect()]
         session["shown"] |= set(items)
-        n = len(state["asked"])
-        ask = "other" if self.config.policy == "always_other" or n < 2 else ("feature", "material", "color", "style")[(n - 2) % 4]
+        ask = dialog.next_ask(state, self.config.policy)
         dialog.record_ask(state, ask)
         return {
             "message": T.QUESTIONS[ask], "ask_attribute": ask, "recommendations": [{"parent_asin": i} for i in items],

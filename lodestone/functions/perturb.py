@@ -57,8 +57,13 @@ MATERIAL_WORDS = {
 OPENING_FORMS = ["Please help me find {}", "I'm hoping to get {}", "Could you show me {}"]
 ENDINGS = [".", "!", "..."]
 MARKER_FORMS = ["My main requirement is:", "The important part is:"]
-SEED = "member2-day4"
+SUITS = "What would suit me is"
+PHRASES = [
+    (r"(?i)Actually,\s*ignore my earlier preference\.\s*", "Please replace what I said before; "),
+    (r"(?i)For that,\s*what matters is:\s*", "Another thing I care about is "),
+]
 # End of the fixed values.
+SEED = "rewording"
 
 
 def constraint_body(message: Column) -> Column:
@@ -66,6 +71,15 @@ def constraint_body(message: Column) -> Column:
     return F.nullif(F.trim(F.regexp_extract(message, MARKED, 2)), F.lit(""))
 
 
+def replace_body(message: Column, body: Column, marker: Column | None = None) -> Column:
+    """The message with another constraint after its marker, and another marker if one is given; closing punctuation stays. As it is without a marker."""
+    found = F.regexp_extract(message, MARKED, 0)
+    before = F.substring(message, F.lit(1), F.length(message) - F.length(found))
+    kept = F.regexp_extract(message, MARKED, 1) if marker is None else marker
+    new = F.concat(before, kept, F.lit(" "), body, F.regexp_extract(message, MARKED, 3))
+    return F.when(found != "", new).otherwise(message)
+
+
 def reworded_constraint(body: Column) -> Column:
     """A constraint in other words, by declarative rewrites in a fixed order."""
     pair = F.concat(F.lit("mostly "), F.lower(F.regexp_extract(body, PERCENT_PAIR, 1)), F.lit(" with a small amount of "), F.lower(F.regexp_extract(body, PERCENT_PAIR, 2)))
@@ -98,8 +112,38 @@ def failure_reason(original: Column, perturbed: Column) -> Column:
     )
 
 
+_MARKED, _OPENING = re.compile(MARKED), re.compile(r"(?s)^I'm looking for (?P<what>.+?[,.].*)$")
+
+
+def _surface(text: str, draw: random.Random) -> str:
+    """Level 1: another opening, another ending."""
+    if opened := _OPENING.match(text):
+        text = OPENING_FORMS[draw.randrange(len(OPENING_FORMS))].format(opened["what"])
+    return text[:-1] + draw.choice(ENDINGS) if text.endswith(".") else text
+
+
+def _marker(text: str, form: str) -> str:
+    """form in the place of the message's marker."""
+    if found := _MARKED.search(text):
+        return f"{text[: found.start()]}{form} {found.group(2).strip()}{found.group(3)}"
+    return text
+
+
+def _another_marker(text: str, draw: random.Random) -> str:
+    """Level 2: the surface, and another marker."""
+    return _marker(_surface(text, draw), draw.choice(MARKER_FORMS))
+
+
+def _no_marker(text: str, draw: random.Random) -> str:
+    """Level 3: the surface, and nothing left that the templates are known by."""
+    out = _marker(_surface(text, draw), SUITS)
+    for pattern, words in PHRASES:
+        out = re.sub(pattern, words, out)
+    return out
+
+
 def paraphrase(message: Column, reworded: Column, level: int, seed: str = SEED) -> Column:
-    """The message at a level from 0 (as it is) to 4 (the constraint itself in other words).
+    """The message at a level: 0 as it is, 1 to 3 worded otherwise around the constraint, 4 with the constraint itself in other words.
 
     Choices come from Python's generator, seeded by seed, level and message, so they are the same everywhere.
     reworded: reworded_constraint(constraint_body(message)).
@@ -108,29 +152,15 @@ def paraphrase(message: Column, reworded: Column, level: int, seed: str = SEED)
         raise ValueError(f"unsupported level {level}")
     if level == 0:
         return message
-    marked = re.compile(MARKED)
-    opening = re.compile(r"(?s)^I'm looking for (?P<what>.+?[,.].*)$")
+    around = {1: _surface, 2: _another_marker, 3: _no_marker, 4: _no_marker}[level]
 
     def one(text: str | None, other: str | None) -> str | None:
         if not text:
             return text
-        draw = random.Random("\0".join((seed, str(level), text)))
-        found = marked.search(text)
-        body = found.group(2).strip() if found else None
-        out = text
-        if opened := opening.match(out):
-            out = OPENING_FORMS[draw.randrange(len(OPENING_FORMS))].format(opened["what"])
-        if out.endswith("."):
-            out = out[:-1] + draw.choice(ENDINGS)
-        found = marked.search(out)
-        if level >= 2 and found:
-            form = draw.choice(MARKER_FORMS) if level == 2 or body is None else (draw.choice(MARKER_FORMS), "What would suit me is")[1]
-            out = f"{out[: found.start()]}{form} {found.group(2).strip()}{found.group(3)}"
-        if level >= 3:
-            out = re.sub(r"(?i)Actually,\s*ignore my earlier preference\.\s*", "Please replace what I said before; ", out)
-            out = re.sub(r"(?i)For that,\s*what matters is:\s*", "Another thing I care about is ", out)
-        if level == 4 and body is not None:
-            out = out.replace(body, other)
+        out = around(text, random.Random("\0".join((seed, str(level), text))))
+        marked = _MARKED.search(text)
+        if level == 4 and marked:
+            out = out.replace(marked.group(2).strip(), other)
         return " ".join(out.split())
 
     @pandas_udf(StringType())

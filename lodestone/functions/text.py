@@ -60,7 +60,7 @@ QUESTIONS = {
     "budget": "What budget should I work within?",
     "use_case": "What will you mainly use it for?",
 }
-MARKERS = ["a key requirement is:", "for that,? *what matters is:", "what i need is:"]
+MARKERS = ["a key requirement is:", r"for that,?\s*what matters is:", "what i need is:"]
 OPENINGS = [
     r"(?is)^\s*I'm\s+looking\s+for\s+(.+?)\.\s+A\s+key\s+requirement\s+is:\s+.+?\.\s*$",
     r"(?is)^\s*I'm\s+looking\s+for\s+(.+?),\s+but\s+I'm\s+still\s+exploring\.\s*$",
@@ -131,6 +131,32 @@ def norm(text: Column) -> Column:
     return F.lower(one_spaced(kept))
 
 
+def _folding() -> tuple[str, str]:
+    """Characters of the basic plane that are another one with a mark or in another form, and those they are; marks alone last, which go."""
+    one, other, gone = [], [], []
+    for i in [*range(0x80, 0xD800), *range(0xE000, 0x10000)]:
+        bare = "".join(c for c in unicodedata.normalize("NFKD", chr(i)) if not unicodedata.combining(c))
+        if not bare:
+            gone.append(chr(i))
+        elif len(bare) == 1 and bare != chr(i):
+            one.append(chr(i))
+            other.append(bare)
+    return "".join(one + gone), "".join(other)
+
+
+FOLDED_FROM, FOLDED_TO = _folding()
+
+
+def fold_accents(text: Column) -> Column:
+    """Letters without their marks, and compatibility forms as what they stand for, where that is a single character; the rest as it is."""
+    return F.translate(text, FOLDED_FROM, FOLDED_TO)
+
+
+def index_tokens(text: Column) -> Column:
+    """The tokens of indexed text: runs of letters and digits of any script, in lower case and without marks."""
+    return F.regexp_extract_all(F.lower(fold_accents(F.coalesce(text, F.lit("")))), F.lit(r"([\p{L}\p{N}]+)"), 1)
+
+
 def flatten_entries(entries: Column, separator: str = " ") -> Column:
     """Ordered (k, v) entries as one string each. A missing value shows as None, as an index of the original has it."""
     return F.transform(entries, lambda e: F.concat(e["k"], F.lit(separator), F.coalesce(e["v"], F.lit("None"))))
@@ -357,13 +383,18 @@ def json_strings(text: Column) -> Column:
     return F.coalesce(strings, F.array().cast("array<string>"))
 
 
+# Numbers in words.
+ONES = (
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen "
+    "fifteen sixteen seventeen eighteen nineteen"
+).split()
+TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+# End of the fixed values.
+
+
 def number_words(n: Column) -> Column:
     """Whole numbers from 0 to 999 in words; others as they are written."""
-    ones = _strings(
-        "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen "
-        "fifteen sixteen seventeen eighteen nineteen".split()
-    )
-    tens = _strings(["", "", *"twenty thirty forty fifty sixty seventy eighty ninety".split()])
+    ones, tens = _strings(ONES), _strings(["", "", *TENS])
     v = n.cast("int")
 
     def below_100(x: Column) -> Column:
@@ -402,6 +433,17 @@ def finite_or(value: Column, default: float) -> Column:
     return F.when(bad, F.lit(default)).otherwise(x)
 
 
+# The sentences of an explanation, and the confidence at which each is said.
+REASON = "Showing these because you mentioned "
+NO_REASON = "I’m using what you’ve told me so far to narrow the shortlist."
+STRONG = " This looks like a strong match."
+NARROWING = " I’m still narrowing down — these span a few directions."
+CLOSEST = " These are the closest matches so far."
+OPEN_QUESTION = " What else matters most to you?"
+SURE, UNSURE = 0.65, 0.25
+# End of the fixed values.
+
+
 def explanation(constraints: Column, confidence: Column, most: int = 240) -> Column:
     """Why these items: up to two constraints, a word on confidence, an open question."""
 
@@ -414,15 +456,15 @@ def explanation(constraints: Column, confidence: Column, most: int = 240) -> Col
 
     reasons = F.slice(distinct_by_key(F.transform(constraints, readable), key=F.lower), 1, 2)
     why = F.when(
-        F.size(reasons) > 0, F.concat(F.lit("Showing these because you mentioned "), F.array_join(reasons, " and "), F.lit("."))
-    ).otherwise("I’m using what you’ve told me so far to narrow the shortlist.")
+        F.size(reasons) > 0, F.concat(F.lit(REASON), F.array_join(reasons, " and "), F.lit("."))
+    ).otherwise(NO_REASON)
     c = F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence))
     status = (
-        F.when(c >= 0.65, " This looks like a strong match.")
-        .when(c <= 0.25, " I’m still narrowing down — these span a few directions.")
-        .otherwise(" These are the closest matches so far.")
+        F.when(c >= SURE, STRONG)
+        .when(c <= UNSURE, NARROWING)
+        .otherwise(CLOSEST)
     )
-    tail = F.concat(status, F.lit(" What else matters most to you?"))
+    tail = F.concat(status, F.lit(OPEN_QUESTION))
     room = F.lit(most) - F.length(tail)
     cut = F.concat(F.rtrim(F.substring(why, F.lit(1), room - 1)), F.lit("…"))
     return F.concat(F.when(F.length(why) <= room, why).otherwise(cut), tail)

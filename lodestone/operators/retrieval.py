@@ -6,6 +6,7 @@ at a time; joins on terms, constraints and categories do what look-ups do for on
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.scores import dot
+from ..session import scratch_path, written
 
 # Field weights and constants of the ranking function.
 WEIGHTS = {"title": 10.0, "categories": 12.0, "features": 3.0, "details": 3.0, "store": 1.5, "description": 1.0}
@@ -55,9 +57,9 @@ def ranked(scored: DataFrame, k: int, positive: bool = False) -> DataFrame:
 # ---------------------------------------------------------------- word index
 
 
-def field_tokens(catalog: DataFrame, fields: list[str], norm=T.norm_plain) -> DataFrame:
+def field_tokens(catalog: DataFrame, fields: list[str], tokens: Callable[[Column], Column] = T.index_tokens) -> DataFrame:
     """catalog: doc_id and text fields. Returns doc_id, field, tokens: one row per field."""
-    cells = F.array(*[F.struct(F.lit(f).alias("field"), T.tokens(norm(F.col(f))).alias("tokens")) for f in fields])
+    cells = F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("tokens")) for f in fields])
     return catalog.select("doc_id", F.inline(cells))
 
 
@@ -72,28 +74,33 @@ def doc_lengths(tokens: DataFrame) -> DataFrame:
 
 
 class WordIndex:
-    """Token table of a catalog with what the ranking needs of it: document lengths, their mean, document counts."""
+    """Tokens of a catalog's fields, and what the ranking needs of them: document lengths, their mean, document counts.
 
-    def __init__(self, catalog: DataFrame, fields: dict[str, float], norm=T.norm_plain):
+    Tokens are made once and stored, at path or in the shared folder, and every search reads them there; indexed letters lose case
+    and marks (functions.text.index_tokens).
+    """
+
+    def __init__(self, catalog: DataFrame, fields: dict[str, float], path: str | None = None, tokens: Callable[[Column], Column] = T.index_tokens):
+        path = path or scratch_path(catalog.sparkSession, "words")
         self.fields = fields
-        self.tokens = field_tokens(catalog, list(fields), norm)
-        self.lengths = doc_lengths(self.tokens)
-        # one row: how many documents, and their mean length
-        self.size = self.lengths.agg(F.count(F.lit(1)).cast("double").alias("docs"), F.avg("len").alias("mean_len"))
-        self._weight = F.create_map(*[F.lit(x) for pair in fields.items() for x in pair])
-
-    def stored(self, path: str) -> WordIndex:
-        """The same index over tables written at path: tokens once per field, lengths once per document."""
-        spark = self.tokens.sparkSession
-        self.tokens.write.parquet(f"{path}/tokens")
-        out = object.__new__(WordIndex)
-        out.fields, out._weight = self.fields, self._weight
-        out.tokens = spark.read.schema(self.tokens.schema).parquet(f"{path}/tokens")
-        doc_lengths(out.tokens).write.parquet(f"{path}/lengths")
-        out.lengths = spark.read.parquet(f"{path}/lengths")
-        out.size = out.lengths.agg(F.count(F.lit(1)).cast("double").alias("docs"), F.avg("len").alias("mean_len"))
+        self.tokens = written(field_tokens(catalog, list(fields), tokens), f"{path}/tokens")
+        self.lengths = written(doc_lengths(self.tokens), f"{path}/lengths")
+        self._open()
+
+    @classmethod
+    def stored(cls, spark, path: str, fields: dict[str, float]) -> WordIndex:
+        """The index that was made at path."""
+        out = object.__new__(cls)
+        out.fields, out.tokens, out.lengths = fields, spark.read.parquet(f"{path}/tokens"), spark.read.parquet(f"{path}/lengths")
+        out._open()
         return out
 
+    def _open(self) -> None:
+        # two numbers: how many documents, and their mean length
+        size = self.lengths.agg(F.count(F.lit(1)).cast("double").alias("docs"), F.avg("len").alias("mean_len")).first()
+        self.docs, self.mean_len = size["docs"], size["mean_len"] or 0.0
+        self._weight = F.create_map(*[F.lit(x) for pair in self.fields.items() for x in pair])
+
     def term_hits(self, wanted: DataFrame) -> DataFrame:
         """Weighted frequency of each wanted term in each document. wanted: distinct terms; only their postings are made."""
         each = self.tokens.select("doc_id", "field", F.explode("tokens").alias("term"))
@@ -119,15 +126,15 @@ class WordIndex:
         n = hits.groupBy(key).agg(F.count(F.lit(1)).cast("double").alias("df"))
         raw = F.ln((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
         idf = F.when(raw <= 0, F.lit(1e-6)).otherwise(raw)
-        norm = 1 - B + B * F.col("len") / F.col("mean_len")
-        rows = hits.join(n, key).join(self.lengths, "doc_id").crossJoin(F.broadcast(self.size))
+        norm = 1 - B + B * F.try_divide(F.col("len"), F.col("mean_len"))
+        rows = hits.join(n, key).join(self.lengths, "doc_id").withColumns({"docs": F.lit(self.docs), "mean_len": F.lit(self.mean_len)})
         return rows.withColumn("weight", idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * norm))
 
 
-def query_terms(queries: DataFrame, query: str = "query", norm=T.norm_plain, limit: int = T.TERM_LIMIT) -> DataFrame:
+def query_terms(queries: DataFrame, query: str = "query", norm=T.norm, limit: int = T.TERM_LIMIT) -> DataFrame:
     """(query_id, term) of the content terms of each query."""
     said = T.marked_constraints(norm(F.col(query)))
-    return queries.select("query_id", F.explode(T.content_terms(norm(F.array_join(said, " ")), limit)).alias("term"))
+    return queries.select("query_id", F.explode(T.content_terms(F.array_join(said, " "), limit)).alias("term"))
 
 
 def _sum_scores(terms: DataFrame, weights: DataFrame, key: str, all_of: bool) -> DataFrame:
@@ -153,8 +160,8 @@ def bm25(queries: DataFrame, index: WordIndex, k: int = 10, all_of: bool = False
 
 def bm25_phrase(queries: DataFrame, index: WordIndex, k: int = 10, digits: int | None = None) -> DataFrame:
     """Documents with one of the query's constraints as a phrase."""
-    said = queries.select("query_id", F.explode(T.marked_constraints(T.norm_plain(F.col("query")))).alias("said"))
-    phrases = said.select("query_id", T.tokens(T.norm_plain(F.col("said"))).alias("words")).filter(F.size("words") > 0)
+    said = queries.select("query_id", F.explode(T.marked_constraints(T.norm(F.col("query")))).alias("said"))
+    phrases = said.select("query_id", T.tokens(F.col("said")).alias("words")).filter(F.size("words") > 0)
     phrases = phrases.withColumn("phrase_id", F.array_join("words", " "))
     hits = index.phrase_hits(phrases.select("phrase_id", "words").dropDuplicates(["phrase_id"]))
     scored = _sum_scores(phrases.select("query_id", "phrase_id"), index.scores(hits, "phrase_id"), "phrase_id", False)
@@ -227,11 +234,48 @@ def ngram_route(queries: DataFrame, docs: DataFrame, k: int = 10, min_df: int =
 # -------------------------------------------------------------- dense route
 
 
-def dense_route(queries: DataFrame, docs: DataFrame, k: int = 10, block: int = 4096, most_query_values: int = 20_000_000) -> DataFrame:
+def encoded(rows: DataFrame, encode: Callable[[list[str]], "object"], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, vector): unit vectors of texts, by a function from texts to a matrix, such as a model's; it runs on the executors, a batch at a time. Null texts are empty."""
+    kind = rows.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            matrix = np.asarray(encode([t or "" for t in batch.column(1).to_pylist()]), np.float64).reshape(batch.num_rows, -1)
+            matrix = np.where(np.isfinite(matrix), matrix, 0.0)
+            matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-8)
+            offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * matrix.shape[1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(matrix.ravel().astype(np.float32)))], names=[id_col, "vector"])
+
+    return rows.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, vector array<float>")
+
+
+def vector_table(catalog: DataFrame, path: str, encode: Callable[[list[str]], "object"] | None = None, build: bool = False) -> DataFrame:
+    """The table of vectors (doc_id, vector) at path, if it has exactly the catalog's (doc_id, text) ids, once each.
+
+    Otherwise, and where there is none, it is made anew if build is set and encode given; if not, that is an error, so that nothing
+    costly starts unasked.
+    """
+    spark = catalog.sparkSession
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath):
+        found = spark.read.parquet(path)
+        if vector_table_matches(found, catalog):
+            return found
+    if not build or encode is None:
+        raise ValueError(f"no vectors of this catalog at {path}")
+    encoded(catalog, encode).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def dense_route(queries: DataFrame, docs: DataFrame, k: int = 10, most_query_values: int = 2_000_000, most_scores: int = 8_000_000) -> DataFrame:
     """queries: query_id, vector; docs: doc_id, vector; unit vectors. Exact cosine, by one matrix product per block.
 
     The queries are a set that is stated by the caller. They go out in blocks that hold most_query_values numbers at most, each with
-    one pass over the documents; every task keeps the best k of its rows for each query before anything is shuffled.
+    one pass over the documents; a product has most_scores numbers at most. Every task keeps the best k of its rows for each query
+    before anything is shuffled.
     """
     import numpy as np
 
@@ -257,18 +301,25 @@ def dense_route(queries: DataFrame, docs: DataFrame, k: int = 10, block: int = 4
             import pyarrow as pa
 
             ids, matrix = shared.value
+            block = max(k, most_scores // len(ids))
+            best_s, best_d = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), np.int64)
             for batch in batches:
                 keys = batch.column(0).to_numpy(zero_copy_only=False)
                 flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
                 vectors = flat.reshape(len(keys), -1)
                 for a in range(0, len(keys), block):
-                    s = matrix @ vectors[a : a + block].T
-                    own = np.broadcast_to(keys[a : a + block], s.shape)
+                    s = np.concatenate([best_s, matrix @ vectors[a : a + block].T], axis=1)
+                    own = np.concatenate([best_d, np.broadcast_to(keys[a : a + block], (len(ids), len(keys[a : a + block])))], axis=1)
+                    if s.shape[1] > k:
+                        # what is no less than the k-th best, then of those that tie the first by id
+                        kth = np.partition(s, -k, axis=1)[:, -k]
+                        most = int((s >= kth[:, None]).sum(axis=1).max())
+                        near = np.argpartition(-s, most - 1, axis=1)[:, :most]
+                        s, own = np.take_along_axis(s, near, 1), np.take_along_axis(own, near, 1)
                     order = np.lexsort((own, -s), axis=1)[:, :k]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(ids, order.shape[1]), pa.int64()), pa.array(np.take_along_axis(own, order, 1).ravel(), pa.int64()), pa.array(np.take_along_axis(s, order, 1).ravel(), pa.float64())],
-                        names=["query_id", "doc_id", "score"],
-                    )
+                    best_s, best_d = np.take_along_axis(s, order, 1), np.take_along_axis(own, order, 1)
+            n = best_s.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n), pa.int64()), pa.array(best_d.ravel(), pa.int64()), pa.array(best_s.ravel(), pa.float64())], names=["query_id", "doc_id", "score"])
 
         part = docs.select(F.col("doc_id").cast("long"), "vector").mapInArrow(run, "query_id long, doc_id long, score double")
         out = part if out is None else out.union(part)
@@ -308,6 +359,11 @@ def material_hits(catalog: DataFrame, text: Column) -> DataFrame:
     return catalog.select(F.explode(found).alias("key"), "doc_id", "ord")
 
 
+def within_budget(priced: DataFrame, prices: DataFrame) -> DataFrame:
+    """priced (with most, a price) and prices (doc_id, ord, price): all products of at most that price. The output is the answer itself: every product that a budget allows."""
+    return priced.join(prices, prices["price"] <= priced["most"])
+
+
 def exact_matches(constraints: DataFrame, keys: DataFrame, materials: DataFrame, prices: DataFrame) -> DataFrame:
     """constraints: (query_id, constraint). prices: (doc_id, ord, price > 0). Returns (query_id, doc_id, ord) that meet all
     constraints the indexes can judge.
@@ -317,13 +373,14 @@ def exact_matches(constraints: DataFrame, keys: DataFrame, materials: DataFrame,
     """
     asked = constraints.select("query_id", T.clean_constraint(F.col("constraint")).alias("c")).filter("c <> ''").distinct()
     asked = asked.filter(~F.col("c").rlike(r"(?i)^color\s*:")).withColumns({"low": F.lower("c"), "budget": T.parse_budget(F.col("c"))})
+    asked = asked.withColumn("most", F.col("budget") * BUDGET_TOLERANCE)
     priced, rest = asked.filter("budget IS NOT NULL"), asked.filter("budget IS NULL")
     is_material = F.col("low").isin(T.EXACT_MATERIALS)
     by_material = rest.filter(is_material)
     verbatim = rest.filter(~is_material)
     spellings = verbatim.select("query_id", "c", F.explode(F.array_distinct(F.array("c", "low"))).alias("key"))
     hits = (
-        priced.join(prices, prices["price"] <= F.col("budget") * BUDGET_TOLERANCE).select("query_id", "c", "doc_id", "ord")
+        within_budget(priced, prices).select("query_id", "c", "doc_id", "ord")
         .unionByName(by_material.join(materials, by_material["low"] == materials["key"]).select("query_id", "c", "doc_id", "ord"))
         .unionByName(spellings.join(keys, "key").select("query_id", "c", "doc_id", "ord").distinct())
     )

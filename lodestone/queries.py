@@ -88,6 +88,11 @@ CLEAN = "rtrim(substr(trim(regexp_replace({0}, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g'
 STOP = _quoted(T.STOPWORDS)
 
 
+#: Tokens of indexed text.
+def tokens_sql(x: str) -> str:
+    return f"regexp_extract_all(lower(strip_accents(coalesce({x}, ''))), '[\\p{{L}}\\p{{N}}]+')"
+
+
 def norm_sql(x: str) -> str:
     return NORM.format(x)
 
@@ -129,24 +134,20 @@ def flatten_fields(spark, sf):
     return p.select("p_partkey", T.flatten(F.array(entry("Size", F.col("p_size")), entry("Brand", F.col("p_brand"))), "entries").alias("details"), T.flatten(F.array("p_name", "p_type"), "list").alias("listed"))
 
 
-@query("SELECT p_partkey, lower(substr(concat_ws(' ', p_name, p_name, p_type, p_type, p_brand, 'size ' || p_size), 1, 40)) AS blob FROM part")
+FIELDS_SQL = f"""f AS (SELECT p_partkey, {norm_sql('p_name')} AS t, {norm_sql("'Clothing, Shoes & Jewelry ' || p_type || ' ' || split_part(p_name, ' ', -1)")} AS c,
+      {norm_sql("'  - ' || p_brand || '  quality. '")} AS features, {norm_sql("'Size ' || p_size || ' Brand ' || p_brand")} AS details, {norm_sql('p_brand')} AS store, {norm_sql("p_name || ' of ' || p_brand")} AS description FROM part)"""
+FIELDS = ("title", "categories", "features", "details", "store", "description")
+
+
+@query(f"WITH {FIELDS_SQL} SELECT p_partkey, substr(concat_ws(' ', t, t, c, c, features, details, store, description), 1, 512) AS blob FROM f")
 def product_blob(spark, sf):
-    n = T.norm_plain
-    size = F.concat(F.lit("size "), F.col("p_size").cast("string"))
-    # the brand's sign is not among the kept characters, so it is put back for the comparison with SQL
-    brand = F.lower("p_brand")
-    parts = [n(F.col("p_name")), n(F.col("p_name")), n(F.col("p_type")), n(F.col("p_type")), brand, size]
-    return table(spark, sf, "part").select("p_partkey", F.substring(F.concat_ws(" ", *parts), 1, 40).alias("blob"))
+    """The text that is embedded."""
+    return products(spark, sf).select(F.col("ord").alias("p_partkey"), T.product_text(*map(F.col, FIELDS), cap=T.EMBEDDED_LENGTH, key=T.norm_plain).alias("blob"))
 
 
-@query(
-    f"""WITH f AS (SELECT p_partkey, {norm_sql('p_name')} AS t, {norm_sql("'Clothing, Shoes & Jewelry ' || p_type || ' ' || split_part(p_name, ' ', -1)")} AS c,
-      {norm_sql("'  - ' || p_brand || '  quality. '")} AS features, {norm_sql("'Size ' || p_size || ' Brand ' || p_brand")} AS details, {norm_sql('p_brand')} AS store, {norm_sql("p_name || ' of ' || p_brand")} AS description FROM part)
-    SELECT p_partkey, substr(concat_ws(' ', t, t, c, c, features, details, store, description), 1, 900) AS blob FROM f"""
-)
+@query(f"WITH {FIELDS_SQL} SELECT p_partkey, substr(concat_ws(' ', t, t, c, c, features, details, store, description), 1, 900) AS blob FROM f")
 def product_text(spark, sf):
-    fields = [F.col(c) for c in ("title", "categories", "features", "details", "store", "description")]
-    return products(spark, sf).select(F.col("ord").alias("p_partkey"), T.product_text(*fields, key=T.norm_plain).alias("blob"))
+    return products(spark, sf).select(F.col("ord").alias("p_partkey"), T.product_text(*map(F.col, FIELDS), key=T.norm_plain).alias("blob"))
 
 
 @query("SELECT p_partkey, lower(concat(upper(substr(p_type, 1, 1)), lower(substr(p_type, 2)), ' ', split_part(p_name, ' ', -1))) AS phrase FROM part")
@@ -250,9 +251,11 @@ def candidate_tokens(spark, sf):
     return messages(spark, sf).select("id", F.array_join(F.array_sort(T.candidate_tokens(F.col("message"))), " ").alias("tokens"))
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, concat_ws('|', event_type, 'u' || user_id) AS listed FROM events")
 def json_props(spark, sf):
-    return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    """A number of a JSON object; and the strings of a list in a fence, numbers and nulls left out."""
+    reply = F.format_string('```json\n{"constraints": ["%s", %s, null, "u%s"]}\n```', "event_type", F.get_json_object("props", "$.k"), F.col("user_id").cast("string"))
+    return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.array_join(T.json_strings(reply), "|").alias("listed"))
 
 
 @query("SELECT p_partkey, printf('$%.2f', p_retailprice) AS price FROM part")
@@ -283,18 +286,39 @@ def question_policy(spark, sf):
     return c.withColumn("asked", asked).select("conv_id", "turn", T.next_attribute(F.col("asked"), "other_twice_rotate").alias("attribute"))
 
 
-@query("SELECT p_partkey, CASE WHEN regexp_matches(p_name, '(?i)\\b(instead|anymore)\\b') THEN true ELSE false END AS maybe, contains(p_name, 'red') AS is_red FROM part")
+DOUBTS = [" instead", "", ", make that wool", " with a belt", ", no longer red", " for work"]
+
+
+@query(f"SELECT p_partkey, regexp_matches(p_name || [{_quoted(DOUBTS)}][1 + p_partkey % 6], '{T.POSSIBLE_OVERRIDE}') AS maybe FROM part")
 def override_prefilter(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", T.maybe_override(F.col("p_name")).alias("maybe"), F.col("p_name").contains("red").alias("is_red"))
+    said = F.concat("p_name", F.get(F.array(*[F.lit(d) for d in DOUBTS]), (F.col("p_partkey") % 6).cast("int")))
+    return table(spark, sf, "part").select("p_partkey", T.maybe_override(said).alias("maybe"))
 
 
-@query()
+@query(
+    f"""WITH m AS (SELECT id, message, regexp_extract(message, '(?i)\\bA key requirement is:\\s*(.+?)(?:\\.\\s*$|$)', 1) AS k,
+    regexp_extract(message, '(?i)\\bFor that, what matters is:\\s*(.+?)(?:\\.\\s*$|$)', 1) AS w FROM ({MESSAGES_SQL})),
+    l AS (SELECT id, list_filter(list_transform(CASE WHEN k <> '' THEN string_split(k, ';') WHEN w <> '' THEN string_split(w, ';') ELSE [message] END, lambda p: {clean_sql('p')}), lambda c: c <> '') AS l FROM m),
+    b AS (SELECT id, list_transform(list_transform(l, lambda x: trim(x, ' -;,.')), lambda c: CASE WHEN contains(c, ':') AND length(split_part(c, ':', 1)) <= 20 AND lower(trim(split_part(c, ':', 1))) = 'color' AND trim(substr(c, strpos(c, ':') + 1)) <> ''
+      THEN trim(substr(c, strpos(c, ':') + 1)) || ' color' ELSE c END) AS l FROM l),
+    d AS (SELECT id, list_filter(l, lambda x, i: x <> '' AND list_position(list_transform(l, lambda y: lower(y)), lower(x)) = i)[1:2] AS l FROM b),
+    w AS (SELECT id, CASE WHEN len(l) > 0 THEN '{T.REASON}' || array_to_string(l, ' and ') || '.' ELSE '{T.NO_REASON}' END AS why,
+      CASE WHEN id % 100 >= 65 THEN '{T.STRONG}' WHEN id % 100 <= 25 THEN '{T.NARROWING}' ELSE '{T.CLOSEST}' END || '{T.OPEN_QUESTION}' AS tail FROM d)
+    SELECT id, CASE WHEN length(why) <= 240 - length(tail) THEN why ELSE rtrim(substr(why, 1, 239 - length(tail))) || '…' END || tail AS message FROM w"""
+)
 def explanation_text(spark, sf):
     said = T.exact_constraints(F.col("message"))
     return messages(spark, sf).select("id", T.explanation(said, (F.col("id") % 100) / 100.0).alias("message"))
 
 
-@query()
+BELOW_100_SQL = f"CASE WHEN {{0}} < 20 THEN [{_quoted(T.ONES)}][1 + {{0}}] ELSE ['', '', {_quoted(T.TENS)}][1 + {{0}} // 10] || CASE WHEN {{0}} % 10 > 0 THEN '-' || [{_quoted(T.ONES)}][1 + {{0}} % 10] ELSE '' END END"
+
+
+@query(
+    f"""WITH p AS (SELECT p_partkey, p_retailprice % 1000 AS x, CAST(floor(p_retailprice % 1000) AS INTEGER) AS v FROM part)
+    SELECT p_partkey, CASE WHEN x <> v THEN regexp_replace(printf('%.6f', x), '\\.?0+$', '') WHEN v < 100 THEN {BELOW_100_SQL.format('v')}
+    ELSE [{_quoted(T.ONES)}][1 + v // 100] || ' hundred' || CASE WHEN v % 100 > 0 THEN ' ' || {BELOW_100_SQL.format('(v % 100)')} ELSE '' END END AS words FROM p"""
+)
 def number_words(spark, sf):
     return table(spark, sf, "part").select("p_partkey", T.number_words(F.col("p_retailprice") % 1000).alias("words"))
 
@@ -313,7 +337,7 @@ def paraphrase_levels(spark, sf):
 # --------------------------------------------------------- index and routes
 
 BM25_CORPUS = f"""
-tok AS (SELECT doc_id, unnest(regexp_extract_all({norm_sql('text')}, '[a-z0-9]+')) AS term FROM documents),
+tok AS (SELECT doc_id, unnest({tokens_sql('text')}) AS term FROM documents),
 lens AS (SELECT doc_id, CAST(count(*) AS DOUBLE) AS len FROM tok GROUP BY doc_id),
 alldocs AS (SELECT d.doc_id, coalesce(len, 0) AS len FROM documents d LEFT JOIN lens USING (doc_id)),
 size AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(len) AS mean_len FROM alldocs),
@@ -324,13 +348,24 @@ qterm AS (SELECT query_id, term FROM (SELECT *, row_number() OVER (PARTITION BY
 hits AS (SELECT term, doc_id, CAST(count(*) AS DOUBLE) AS tf FROM tok WHERE term IN (SELECT term FROM qterm) GROUP BY 1, 2),
 df AS (SELECT term, CAST(count(*) AS DOUBLE) AS df FROM hits GROUP BY 1),
 w AS (SELECT h.term, h.doc_id, (CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END)
-  * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / mean_len)) AS weight FROM hits h JOIN df USING (term) JOIN alldocs USING (doc_id) CROSS JOIN size)
+  * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / mean_len)) AS weight FROM hits h JOIN df USING (term) JOIN alldocs USING (doc_id) CROSS JOIN size),
+need AS (SELECT query_id, count(*) AS need FROM qterm GROUP BY 1),
+s AS (SELECT query_id, doc_id, round(sum(weight), 6) AS score, count(*) AS met FROM qterm JOIN w USING (term) GROUP BY 1, 2)
+"""
+PHRASE_CORPUS = f"""
+d AS (SELECT doc_id, ' ' || array_to_string({tokens_sql('text')}, '  ') || ' ' AS line FROM documents),
+q AS (SELECT query_id, unnest(list_filter(list_transform(string_split(s, ';;;'), lambda c: array_to_string(regexp_extract_all(c, '[a-z0-9]+'), '  ')), lambda c: c <> '')) AS ph FROM (SELECT item_id AS query_id, {bare_sql(norm_sql('text'))} AS s FROM benchmark)),
+plens AS (SELECT doc_id, CAST(len({tokens_sql('text')}) AS DOUBLE) AS len FROM documents),
+psize AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(len) AS mean_len FROM plens),
+ptf AS (SELECT ph, doc_id, CAST((length(line) - length(replace(line, ' ' || ph || ' ', ''))) / (length(ph) + 2) AS DOUBLE) AS tf FROM (SELECT DISTINCT ph FROM q) JOIN d ON contains(line, ' ' || ph || ' ')),
+pdf AS (SELECT ph, CAST(count(*) AS DOUBLE) AS df FROM ptf GROUP BY 1),
+ps AS (SELECT query_id, doc_id, round(sum((CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END)
+  * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / mean_len))), 6) AS score FROM q JOIN ptf USING (ph) JOIN pdf USING (ph) JOIN plens USING (doc_id) CROSS JOIN psize GROUP BY 1, 2)
 """
 
 
 @query(
-    f"""WITH {BM25_CORPUS}, s AS (SELECT query_id, doc_id, round(sum(weight), 6) AS score FROM qterm JOIN w USING (term) GROUP BY 1, 2),
-    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)
+    f"""WITH {BM25_CORPUS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)
     SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10"""
 )
 def bm25_top10(spark, sf):
@@ -338,9 +373,7 @@ def bm25_top10(spark, sf):
 
 
 @query(
-    f"""WITH {BM25_CORPUS}, need AS (SELECT query_id, count(*) AS need FROM qterm GROUP BY 1),
-    s AS (SELECT query_id, doc_id, round(sum(weight), 6) AS score, count(*) AS met FROM qterm JOIN w USING (term) GROUP BY 1, 2),
-    r AS (SELECT s.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s JOIN need USING (query_id) WHERE met = need)
+    f"""WITH {BM25_CORPUS}, r AS (SELECT s.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s JOIN need USING (query_id) WHERE met = need)
     SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10"""
 )
 def bm25_and_tier(spark, sf):
@@ -348,29 +381,27 @@ def bm25_and_tier(spark, sf):
 
 
 @query(
-    f"""WITH d AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all({norm_sql('text')}, '[a-z0-9]+'), '  ') || ' ' AS line FROM documents),
-    said AS (SELECT item_id AS query_id, {bare_sql(norm_sql('text'))} AS s FROM benchmark),
-    q AS (SELECT query_id, unnest(list_filter(list_transform(string_split(s, ';;;'), lambda c: array_to_string(regexp_extract_all(c, '[a-z0-9]+'), '  ')), lambda c: c <> '')) AS ph FROM said),
-    lens AS (SELECT doc_id, CAST(len(regexp_extract_all({norm_sql('text')}, '[a-z0-9]+')) AS DOUBLE) AS len FROM documents),
-    size AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(len) AS mean_len FROM lens),
-    tf AS (SELECT ph, doc_id, CAST((length(line) - length(replace(line, ' ' || ph || ' ', ''))) / (length(ph) + 2) AS DOUBLE) AS tf FROM (SELECT DISTINCT ph FROM q) JOIN d ON contains(line, ' ' || ph || ' ')),
-    df AS (SELECT ph, CAST(count(*) AS DOUBLE) AS df FROM tf GROUP BY 1),
-    s AS (SELECT query_id, doc_id, round(sum((CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END)
-      * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / mean_len))), 6) AS score FROM q JOIN tf USING (ph) JOIN df USING (ph) JOIN lens USING (doc_id) CROSS JOIN size GROUP BY 1, 2),
-    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)
+    f"""WITH {PHRASE_CORPUS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ps)
     SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10"""
 )
 def bm25_phrase_tier(spark, sf):
     return retrieval.bm25_phrase(benchmark_queries(spark, sf), corpus_index(spark, sf), 10, digits=6)
 
 
-@query()
+@query(
+    f"""WITH {BM25_CORPUS}, {PHRASE_CORPUS},
+    tiers AS (SELECT 0 AS tier, query_id, doc_id, score FROM ps UNION ALL SELECT 1, query_id, doc_id, score FROM s JOIN need USING (query_id) WHERE met = need UNION ALL SELECT 2, query_id, doc_id, score FROM s),
+    places AS (SELECT *, row_number() OVER (PARTITION BY tier, query_id ORDER BY score DESC, doc_id) AS place FROM tiers),
+    first AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY tier) AS seen FROM places WHERE place <= 50),
+    r AS (SELECT query_id, doc_id, score + CAST(1000.0 AS DOUBLE) * (3 - tier) AS score, row_number() OVER (PARTITION BY query_id ORDER BY tier, place) AS rank FROM first WHERE seen = 1)
+    SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 50"""
+)
 def bm25_cascade(spark, sf):
     return retrieval.bm25_cascade(benchmark_queries(spark, sf), corpus_index(spark, sf), 50, digits=6)
 
 
 @query(
-    f"""WITH tok AS (SELECT doc_id, unnest(regexp_extract_all({norm_sql('text')}, '[a-z0-9]+')) AS term FROM documents)
+    f"""WITH tok AS (SELECT doc_id, unnest({tokens_sql('text')}) AS term FROM documents)
     SELECT term, CAST(count(DISTINCT doc_id) AS BIGINT) AS df, CAST(count(*) AS BIGINT) AS uses FROM tok GROUP BY term"""
 )
 def postings_stats(spark, sf):
@@ -493,9 +524,9 @@ def exact_limit_order(spark, sf):
 
 @query("SELECT n_nationkey AS query_id, CAST(count(*) AS BIGINT) AS parts FROM nation JOIN part ON p_retailprice > 0 AND p_retailprice <= (n_nationkey * 40 + 600) * CAST(1.15 AS DOUBLE) GROUP BY 1")
 def budget_range_join(spark, sf):
-    c = table(spark, sf, "nation").select(F.col("n_nationkey").alias("query_id"), (F.col("n_nationkey") * 40 + 600).alias("budget"))
-    p = table(spark, sf, "part").filter("p_retailprice > 0").select("p_retailprice")
-    return c.join(p, F.col("p_retailprice") <= F.col("budget") * 1.15).groupBy("query_id").agg(F.count(F.lit(1)).alias("parts"))
+    c = table(spark, sf, "nation").select(F.col("n_nationkey").alias("query_id"), ((F.col("n_nationkey") * 40 + 600) * retrieval.BUDGET_TOLERANCE).alias("most"))
+    p = table(spark, sf, "part").filter("p_retailprice > 0").select(F.col("p_partkey").alias("doc_id"), F.col("p_partkey").alias("ord"), F.col("p_retailprice").alias("price"))
+    return retrieval.within_budget(c, p).groupBy("query_id").agg(F.count(F.lit(1)).alias("parts"))
 
 
 @query(f"SELECT m.key, p_partkey FROM part JOIN (SELECT unnest([{_quoted(T.EXACT_MATERIALS)}]) AS key) m ON regexp_matches(lower(p_name || ' ' || CASE WHEN p_partkey % 3 = 0 THEN 'Wool blend' ELSE 'woolly' END), '\\b' || m.key || '\\b')")
@@ -504,12 +535,30 @@ def material_index(spark, sf):
     return retrieval.material_hits(p, F.col("t")).select("key", F.col("doc_id").alias("p_partkey"))
 
 
-@query()
+CANDIDATE_TOKENS = f"list_filter(list_distinct(regexp_extract_all(lower({{0}}), '[a-z0-9]+')), lambda x: x NOT IN ({_quoted(T.CANDIDATE_STOPWORDS)}))"
+
+
+@query(
+    f"""WITH k AS (SELECT key, min(p_partkey) AS first FROM (SELECT p_partkey, unnest([f, lower(f), s, lower(s), b, lower(b)]) AS key FROM
+      (SELECT p_partkey, {clean_sql("'  - ' || p_brand || '  quality. '")} AS f, 'Size: ' || p_size AS s, 'Brand: ' || p_brand AS b FROM part)) GROUP BY key),
+    kt AS (SELECT key, first, len(t) AS n, unnest(t) AS token FROM (SELECT key, first, {CANDIDATE_TOKENS.format('key')} AS t FROM k) WHERE len(t) > 0),
+    m AS (SELECT id, message FROM ({MESSAGES_SQL})),
+    mt AS (SELECT id, unnest({CANDIDATE_TOKENS.format('message')}) AS token FROM m),
+    o AS (SELECT id, key, first, n, CAST(count(*) AS INTEGER) AS shared FROM mt JOIN kt USING (token) GROUP BY 1, 2, 3, 4),
+    c AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY first, key) AS place FROM o),
+    price AS (SELECT id, regexp_extract(message, '{T.PRICE_LANGUAGE}', 1) AS amount FROM m),
+    r AS (SELECT id, key AS candidate, shared, CAST(shared AS DOUBLE) / n AS coverage FROM c WHERE place <= 256
+      UNION ALL SELECT id, 'budget around $' || amount, 90, 1.0 FROM price WHERE amount <> ''
+      UNION ALL SELECT id, x.key, 100, 1.0 FROM m JOIN (SELECT unnest([{_quoted(T.EXACT_MATERIALS)}]) AS key) x ON regexp_matches(lower(message), '\\b' || x.key || '\\b')),
+    one AS (SELECT *, row_number() OVER (PARTITION BY id, lower(candidate) ORDER BY shared DESC, coverage DESC, length(candidate), lower(candidate), candidate) AS one_of FROM (SELECT id, {clean_sql('candidate')} AS candidate, shared, coverage FROM r) WHERE candidate <> ''),
+    t AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY shared DESC, coverage DESC, length(candidate), lower(candidate)) AS rank FROM one WHERE one_of = 1)
+    SELECT id AS query_id, lower(candidate) AS candidate, shared, coverage, CAST(rank AS INTEGER) AS rank FROM t WHERE rank <= 32"""
+)
 def catalog_candidates(spark, sf):
     keys = retrieval.exact_keys(products(spark, sf)).groupBy("key").agg(F.min("ord").alias("first"))
     keys = keys.select("key", F.struct("first", "key").alias("key_ord"))
     m = messages(spark, sf).select(F.col("id").alias("query_id"), "message")
-    return retrieval.catalog_candidates(m, keys)
+    return retrieval.catalog_candidates(m, keys).withColumn("candidate", F.lower("candidate"))
 
 
 @query("SELECT phrase, CAST(count(*) AS BIGINT) AS parts FROM (SELECT lower(p_type) || ' ' || split_part(p_name, ' ', -1) AS phrase FROM part) GROUP BY phrase")
@@ -805,22 +854,22 @@ def telemetry_summary(spark, sf):
 @query(
     f"""WITH {ROUTES_SQL}, cfg AS (SELECT * FROM (VALUES ('shipped', CAST(0.35 AS DOUBLE), CAST(0.1 AS DOUBLE)), ('no_exact', 0.0, 0.1), ('no_bucket', 0.35, 0.0), ('bm25_only', 0.0, 0.0)) v(config, e, u)),
     p AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM a WHERE rank <= 500),
-    s AS (SELECT config, p.query_id, p.doc_id, p.rank AS base_rank, round(CASE WHEN n <= 1 THEN 1.0 ELSE 1.0 - (p.rank - 1) / CAST(n - 1 AS DOUBLE) END + CASE WHEN p.status = 'F' THEN e ELSE 0 END + CASE WHEN b.doc_id IS NOT NULL THEN u ELSE 0 END, 9) AS score
+    s AS (SELECT config, p.query_id, p.doc_id, p.rank AS base_rank, CASE WHEN n <= 1 THEN 1.0 ELSE 1.0 - (p.rank - 1) / CAST(n - 1 AS DOUBLE) END + CASE WHEN p.status = 'F' THEN e ELSE 0 END + CASE WHEN b.doc_id IS NOT NULL THEN u ELSE 0 END AS score
       FROM p CROSS JOIN cfg LEFT JOIN b ON p.query_id = b.query_id AND p.doc_id = b.doc_id AND b.rank <= 3),
     r AS (SELECT *, row_number() OVER (PARTITION BY config, query_id ORDER BY score DESC, base_rank) AS rank FROM s),
     t AS (SELECT query_id, max(doc_id) AS target FROM a GROUP BY query_id)
     SELECT config, round(avg(CAST(1.0 AS DOUBLE) / rank), 6) AS mrr FROM r JOIN t ON r.query_id = t.query_id AND r.doc_id = t.target GROUP BY config"""
 )
 def ablation_grid(spark, sf):
+    """Fusion with and without each route, by the place of a target."""
     a, b = routes(spark, sf)
-    grid = spark.createDataFrame([("shipped", 0.35, 0.1), ("no_exact", 0.0, 0.1), ("no_bucket", 0.35, 0.0), ("bm25_only", 0.0, 0.0)], "config string, e double, u double")
-    n = F.count(F.lit(1)).over(Window.partitionBy("query_id"))
-    pool = a.withColumn("base", S.rank_score(F.col("rank"), n)).join(b.filter("rank <= 3").select("query_id", "doc_id", F.lit(1).alias("in_bucket")), ["query_id", "doc_id"], "left")
-    score = F.col("base") + F.when(F.col("status") == 'F', F.col("e")).otherwise(0.0) + F.coalesce(F.col("in_bucket") * F.col("u"), F.lit(0.0))
-    rows = pool.crossJoin(F.broadcast(grid)).withColumn("score", F.round(score, 9))
-    ranks = rows.withColumn("place", F.row_number().over(Window.partitionBy("config", "query_id").orderBy(F.desc("score"), "rank")))
     target = a.groupBy("query_id").agg(F.max("doc_id").alias("doc_id"))
-    return ranks.join(target, ["query_id", "doc_id"]).groupBy("config").agg(F.round(F.avg(1.0 / F.col("place")), 6).alias("mrr"))
+    out = None
+    for config, exact, bucket in (("shipped", 0.35, 0.1), ("no_exact", 0.0, 0.1), ("no_bucket", 0.35, 0.0), ("bm25_only", 0.0, 0.0)):
+        fused = fusion.fuse_pool(a, a.filter("status = 'F'"), b.filter("rank <= 3"), exact_boost=exact, bucket_boost=bucket)
+        one = fused.join(target, ["query_id", "doc_id"]).agg(F.round(F.avg(1.0 / F.col("rank")), 6).alias("mrr")).select(F.lit(config).alias("config"), "mrr")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 # ---------------------------------------------------------- splits, graphs
@@ -865,7 +914,8 @@ def connected_components(spark, sf):
 @query(
     f"""WITH {SESSION_SQL}, o AS (SELECT s.sample_id AS idx, s.hit AS hit_a, s.reciprocal_rank AS rr_a, s.first_hit_turn AS turn_a, s2.hit AS hit_b, s2.reciprocal_rank AS rr_b, s2.first_hit_turn AS turn_b FROM s JOIN s2 USING (sample_id)),
     c AS (SELECT count(*) AS n FROM orders),
-    l AS (SELECT id, id // n AS b, ((x * 1103515245 + 12345) % 2147483648) // 65536 % n AS idx FROM (SELECT id, n, (((id + 20260831) % 2147483648) * 1103515245 + 12345) % 2147483648 AS x FROM (SELECT n, unnest(range(0, 40 * n)) AS id FROM c))),
+    i AS (SELECT n, unnest(range(0, n)) AS d FROM c), t AS (SELECT n, d, unnest(range(0, 10000)) AS b FROM i),
+    l AS (SELECT b, ((x * 1103515245 + 12345) % 2147483648) // 65536 % n AS idx FROM (SELECT b, n, (((b * n + d + 20260831) % 2147483648) * 1103515245 + 12345) % 2147483648 AS x FROM t)),
     g AS (SELECT b, 0.5 * (avg(CASE WHEN hit_a THEN 1.0 ELSE 0 END) - avg(CASE WHEN hit_b THEN 1.0 ELSE 0 END)) + 0.3 * (avg(rr_a) - avg(rr_b))
       + 0.2 * (greatest(0.0, least(1.0, (11.0 - avg(coalesce(turn_a, 11))) / 10.0)) - greatest(0.0, least(1.0, (11.0 - avg(coalesce(turn_b, 11))) / 10.0))) AS delta FROM l JOIN o USING (idx) GROUP BY b)
     SELECT round(avg(delta), 6) AS mean, round(stddev_samp(delta), 6) AS se, round(quantile_cont(delta, 0.025), 6) AS low, round(quantile_cont(delta, 0.975), 6) AS high,
@@ -875,7 +925,7 @@ def paired_bootstrap_lcg(spark, sf):
     one, two = outcomes(spark, sf), outcomes(spark, sf, True)
     pick = lambda d, p: d.select(F.col("sample_id").alias("idx"), F.col("hit").alias(f"hit_{p}"), F.col("reciprocal_rank").alias(f"rr_{p}"), F.col("first_hit_turn").alias(f"turn_{p}"))
     both = pick(one, "a").join(pick(two, "b"), "idx")
-    out = resample.bootstrap_interval(resample.paired_bootstrap(both, 40, 20260831, one.count()))
+    out = resample.bootstrap_interval(resample.paired_bootstrap(both, 10_000, 20260831, one.count()))
     return out.select(*[F.round(c, 6).alias(c) for c in ("mean", "se", "low", "high")], "excludes_zero")
 
 
@@ -951,9 +1001,10 @@ def slot_state_fold(spark, sf):
     lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events"""
 )
 def session_epochs(spark, sf):
+    e = table(spark, sf, "events")
+    rows = dialog.epochs(e, ["user_id"], ["ts", "event_id"], F.col("event_type") == "error")
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    flag = (F.col("event_type") == "error").cast("long")
-    return table(spark, sf, "events").select("user_id", "event_id", F.sum(flag).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("epoch"), F.lag("event_type").over(w).alias("before"))
+    return rows.select("user_id", "event_id", "epoch", F.lag("event_type").over(w).alias("before"))
 
 
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, CAST(count(*) AS BIGINT) AS events, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")

@@ -53,6 +53,18 @@ def parse_products(lines: DataFrame) -> DataFrame:
     return parsed.select("ord", "value", ok.alias("ok"), "p.*", F.when(ok, _details(F.col("value"))).alias("details"))
 
 
+def fail_on_bad_lines(spark: SparkSession, path: str, rows: DataFrame) -> None:
+    """ValueError with file and line number of the first line that holds no JSON object. rows: what parse_products gives."""
+    bad = rows.filter(~F.col("ok")).orderBy("ord").select("ord", "value").first()
+    if bad is None:
+        return
+    # lines are counted only when one is bad: those of its file before it
+    lines = spark.read.text(path).select(F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")).alias("ord"))
+    at = F.struct(*[F.lit(bad["ord"][c]).alias(c) for c in ("file", "block", "at")])
+    number = lines.filter((F.col("ord.file") == bad["ord"]["file"]) & (F.col("ord") <= at)).count()
+    raise ValueError(f"no JSON object in {bad['ord']['file']} at line {number}: {bad['value'][:80]!r}")
+
+
 def _one_per_id(rows: DataFrame, last: bool) -> DataFrame:
     order = F.desc("ord") if last else F.asc("ord")
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy("parent_asin").orderBy(order))).filter("_n = 1").drop("_n")
@@ -69,9 +81,7 @@ def read_catalog(spark: SparkSession, path: str, policy: str = "tolerant") -> Da
     if policy == "tolerant":
         rows = rows.filter(F.col("ok") & ~no_id)
     elif policy in ("first", "last", "strict"):
-        bad = rows.filter(~F.col("ok")).limit(1).collect()
-        if bad:
-            raise ValueError(f"no JSON object: {bad[0]['value'][:80]!r}")
+        fail_on_bad_lines(spark, path, rows)
         if policy == "first":
             rows = rows.filter(~no_id)
         elif not rows.filter(no_id).isEmpty():
@@ -97,11 +107,28 @@ def target_titles(catalog: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def relabelled(rows: DataFrame, column: str, keep: list[str], prefix: str) -> DataFrame:
-    """Rows of a stored result with some labels, marked as old."""
-    return rows.filter(F.col(column).isin(keep)).withColumn(column, F.concat(F.lit(prefix), F.col(column)))
+    """Rows of a stored result with some labels, marked as old (once)."""
+    label = F.col(column)
+    return rows.filter(label.isin(keep) | label.isin([prefix + k for k in keep])).withColumn(column, F.when(label.startswith(prefix), label).otherwise(F.concat(F.lit(prefix), label)))
+
+
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """What write_csv wrote: columns by the header of each file, as text."""
+    return spark.read.option("header", True).option("multiLine", True).csv(path)
+
+
+def kept_runs(spark: SparkSession, path: str, mode: str = "llm_on", prefix: str = "historical_", mark: str = "historical; not rerun") -> DataFrame | None:
+    """Earlier rows of a result at path (with columns mode and available) that a run without connection cannot make again: those of the mode that
+    were available, marked as old. None if there is no such result."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath):
+        return None
+    rows = read_csv(spark, path).filter(F.col("mode").contains(mode) & F.col("available").isin("yes", mark))
+    return rows.withColumn("mode", F.when(F.col("mode").startswith(prefix), F.col("mode")).otherwise(F.concat(F.lit(prefix), "mode"))).withColumn("available", F.lit(mark))
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str], append: bool = False) -> None:
+    """CSV files in a folder, each with its header, so that an append is a file more and read_csv needs no care."""
     df.select(*columns).write.mode("append" if append else "errorifexists").option("header", True).option("lineSep", "\n").csv(path)
 
 
@@ -110,8 +137,24 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def markdown_table(df: DataFrame, digits: int = 6, most_rows: int = 1000) -> str:
-    """A small result as a Markdown table."""
-    rows = df.limit(most_rows).collect()
+    """A small result as a Markdown table; one of more than most_rows rows fails."""
+    rows = df.limit(most_rows + 1).collect()
+    if len(rows) > most_rows:
+        raise ValueError(f"more than {most_rows} rows")
     show = lambda v: "" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else str(v)
     lines = ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
     return "\n".join(lines + ["| " + " | ".join(map(show, r)) + " |" for r in rows]) + "\n"
+
+
+def robustness_report(levels: DataFrame, scenarios: DataFrame, examples: DataFrame, failures: DataFrame, costs: DataFrame | None = None) -> str:
+    """A report on reworded messages, as Markdown: metrics by level, by level and scenario, examples before and after, why sessions got worse, and costs if they are known."""
+    parts = [("Levels", levels.orderBy("level")), ("Scenarios", scenarios.orderBy("level", "scenario_type")), ("Examples", examples), ("Failures", failures.groupBy("level", "reason").count().orderBy("level", F.desc("count"), "reason"))]
+    if costs is not None:
+        parts.append(("Costs", costs))
+    base = levels.filter("level = 0").first()
+    head = ["# Robustness against other wording", ""]
+    if base is not None:
+        head += [f"Without rewording: {', '.join(f'{c} {base[c]:.6f}' for c in levels.columns if isinstance(base[c], float))}.", ""]
+    for title, rows in parts:
+        head += [f"## {title}", "", markdown_table(rows)]
+    return "\n".join(head)

@@ -62,9 +62,9 @@ def test_agent(spark):
 
 def test_stored_index(spark, tmp_path):
     docs = spark.createDataFrame([(1, "ant bee"), (2, "bee cat")], "doc_id long, text string")
-    index = retrieval.WordIndex(docs, {"text": 1.0})
+    index = retrieval.WordIndex(docs, {"text": 1.0}, str(tmp_path / "index"))
     q = spark.createDataFrame([(1, "ant cat")], "query_id long, query string")
-    stored = index.stored(str(tmp_path / "index"))
+    stored = retrieval.WordIndex.stored(spark, str(tmp_path / "index"), {"text": 1.0})
     assert sorted(map(tuple, retrieval.bm25(q, index).collect())) == sorted(map(tuple, retrieval.bm25(q, stored).collect()))
     frame = retrieval.collect_routes({"words": type("R", (), {"query": lambda self, q, k: retrieval.bm25(q, stored, k)})()}, q, 5)
     assert frame.columns == ["route", "query_id", "doc_id", "score", "rank"]

@@ -74,10 +74,10 @@ FIELDS = {"title": 10.0, "body": 1.5}
 
 def test_bm25_equals_sqlite(spark):
     rng = random.Random(5)
-    words = ["ant", "bee", "cat", "dog", "eel", "fox", "gnu", "hen"]
+    words = ["ant", "bee", "cat", "dog", "eel", "fox", "gnu", "hen", "Béé", "ÇÄT", "señor", "straße"]
     rows = [(i, " ".join(rng.choices(words, k=rng.randint(1, 4))), " ".join(rng.choices(words, k=rng.randint(0, 12)))) for i in range(40)]
     db = sqlite3.connect(":memory:")
-    db.execute("CREATE VIRTUAL TABLE d USING fts5(id UNINDEXED, title, body)")
+    db.execute("CREATE VIRTUAL TABLE d USING fts5(id UNINDEXED, title, body, tokenize='unicode61 remove_diacritics 2')")
     db.executemany("INSERT INTO d VALUES (?,?,?)", rows)
     index = retrieval.WordIndex(spark.createDataFrame(rows, "doc_id long, title string, body string"), FIELDS)
 
@@ -93,6 +93,8 @@ def test_bm25_equals_sqlite(spark):
     q = spark.createDataFrame([(1, "ant bee fox")], "query_id long, query string")
     check(retrieval.bm25(q, index, 50), "ant OR bee OR fox")
     check(retrieval.bm25(q, index, 50, all_of=True), "ant AND bee AND fox")
+    wide = spark.createDataFrame([(1, "ｂｅｅ senor")], "query_id long, query string")
+    check(retrieval.bm25(wide, index, 50), "bee OR senor")
     pair = spark.createDataFrame([(1, "cat dog")], "query_id long, query string")
     check(retrieval.bm25_phrase(pair, index, 50), '"cat dog"')
 
@@ -119,6 +121,29 @@ def test_dense(spark):
     bad = spark.createDataFrame([([float("nan"), 1.0],), ([3.0, 4.0],), ([0.0, 0.0],)], "v array<double>").select(S.unit_vector(F.col("v"))).collect()
     assert [r[0] for r in bad] == [[0.0, 0.0], [0.6, 0.8], [0.0, 0.0]]
     assert retrieval.vector_table_matches(v, v) and not retrieval.vector_table_matches(v, v.limit(2))
+    # ties by id, through blocks of any size
+    same = spark.createDataFrame([(i, [1.0, 0.0] if i % 2 else [0.8, 0.6]) for i in range(40)], "doc_id long, vector array<float>").repartition(3)
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "query_id long, vector array<float>")
+    for most in (1, 30, 10_000):
+        got = retrieval.dense_route(asked, same, 5, most_scores=most).orderBy("query_id", "rank").collect()
+        assert [r["doc_id"] for r in got] == [1, 3, 5, 7, 9, 0, 2, 4, 6, 8]
+    assert retrieval.dense_route(asked, same.limit(0), 5).isEmpty() and retrieval.dense_route(asked.limit(0), same, 5).isEmpty()
+
+
+def test_vector_table(spark, tmp_path):
+    catalog = spark.createDataFrame([(1, "ab"), (2, None), (3, "b")], "doc_id long, text string")
+
+    def encode(texts):
+        return [[t.count("a"), t.count("b")] for t in texts]
+
+    path = str(tmp_path / "vectors")
+    with pytest.raises(ValueError, match="no vectors"):
+        retrieval.vector_table(catalog, path, encode)
+    made = {r["doc_id"]: [round(x, 6) for x in r["vector"]] for r in retrieval.vector_table(catalog, path, encode, build=True).collect()}
+    assert made == {1: [0.707107, 0.707107], 2: [0.0, 0.0], 3: [0.0, 1.0]}
+    assert retrieval.vector_table(catalog, path).count() == 3
+    with pytest.raises(ValueError, match="no vectors"):
+        retrieval.vector_table(catalog.limit(2), path)
 
 
 def test_catalog_candidates(spark):

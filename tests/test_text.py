@@ -175,8 +175,16 @@ def test_paraphrase(spark):
     say = [df.select(P.paraphrase(F.col("m"), body, level)).first()[0] for level in range(5)]
     assert say[0] == m and say == [df.select(P.paraphrase(F.col("m"), body, level)).first()[0] for level in range(5)]
     assert "mostly cotton with a small amount of spandex" in say[4]
+    shown = df.select(P.replace_body(F.col("m"), F.lit("wool")), P.replace_body(F.col("m"), F.lit("wool"), F.lit("The important part is:")), P.replace_body(F.lit("none here."), F.lit("wool"))).first()
+    assert tuple(shown) == ("For that, what matters is: wool.", "The important part is: wool.", "none here.")
+    assert say[1].startswith("For that, what matters is: ") and say[2].startswith(tuple(P.MARKER_FORMS)) and say[3].startswith(P.SUITS)
     changed = lambda a, b: spark.createDataFrame([(a, b)], "a string, b string").select(P.constraint_changed(F.col("a"), F.col("b"))).first()[0]
     assert not changed(m, say[1]) and changed(m, say[4]) and not changed("hello", "other")
     assert values(spark, P.reworded_constraint(F.col("t")), [("cotton",), ("odd thing",), ("budget around $42",)]) == [
         "a breathable natural plant fibre", "it should offer this property in practical use: odd thing", "priced near forty-two dollars",
     ]
+
+
+def test_index_tokens(spark):
+    got = values(spark, T.index_tokens(F.col("t")), [("Café CRÈME, naïve-Øre ﬂ",), ("Straße ２３ Ⅷ",), ("日本語 x\u0301y",), (None,)])
+    assert got == [["cafe", "creme", "naive", "øre", "ﬂ"], ["straße", "23", "ⅷ"], ["日本語", "xy"], []]

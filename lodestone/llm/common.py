@@ -4,47 +4,19 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import re
 import sys
-import tempfile
 import types
-import uuid
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-U64 = np.uint64
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset and all run in one process, one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir is unset: executors need a folder that they all share")
-        found = tempfile.mkdtemp(prefix="lodestone-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
+from ..session import drop_path, scratch_path, shared_dir, written
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+__all__ = ["drop_path", "scratch_path", "shared_dir", "written"]
 
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written as a Parquet table in the shared folder (or at name, if that is a scratch path) and read again: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = name if "/" in name else scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a scratch folder through Hadoop, whatever file system it is on."""
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+U64 = np.uint64
 
 
 def lean(run: Callable) -> Callable:

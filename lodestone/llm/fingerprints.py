@@ -51,8 +51,8 @@ def _digits(h: Column) -> Column:
 
 
 def as_text(digest: Column, sketch: Column) -> Column:
-    """The digest, a colon, and the sketch's hashes in order, all as 16 hex digits each."""
-    return F.concat(_digits(digest), F.lit(":"), F.array_join(F.transform(sketch, _digits), ""))
+    """The digest in hex, a colon, and the sketch's hashes in order, eight bytes each, in base 64."""
+    return F.concat(_digits(digest), F.lit(":"), F.base64(F.unhex(F.array_join(F.transform(sketch, _digits), ""))))
 
 
 def shared(a: Column, b: Column) -> Column:

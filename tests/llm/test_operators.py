@@ -82,6 +82,17 @@ def test_repeats(spark, monkeypatch, most):
         assert (got[i]["n_bytes"], len(got[i]["spans"]), bytes(got[i]["kept"])) == (n, runs, kept), i
 
 
+def test_repeats_with_hot_anchors(spark, monkeypatch, tmp_path):
+    """One passage in many contexts, and copies of whole documents, with every shared anchor taken for hot; through the query."""
+    monkeypatch.setattr(common, "LEAST_HOT", 2)
+    shared, copied = prose(5, 90), prose(6, 150)
+    texts = [f"{prose(20 + i, 20)} {shared} {prose(50 + i, 20)}" for i in range(12)] + [copied] * 5 + [prose(80, 120), None]
+    docs(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    got = rows(queries.op1_suffix_dedup(spark, str(tmp_path)))
+    for i, (n, runs, kept) in enumerate(removed(texts, 400)):
+        assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == (n, n - len(kept), runs, hashlib.sha256(kept).hexdigest()), i
+
+
 def test_repeats_in_repeated_rows_and_no_rows(spark):
     text = prose(7, 100)
     got = suffix_dedup.remove_repeats(docs(spark, [text, text, None, text], [1, 1, None, None])).collect()
@@ -224,6 +235,44 @@ def test_toxicity(spark):
     assert toxicity.score(docs(spark, ["a"]), None).first()["score"] == 0.0
 
 
+def test_toxicity_windows_by_brute_force():
+    """A document's score is that of its worst window: every stretch of 32 words from each 16th on, and the last."""
+    texts, labels = labelled(300, 4)
+    net = toxicity.fit(texts, labels, rounds=2)
+    words = [toxicity.plain(u) for u in toxicity.units_of(LONG)][:500]
+    for n in (1, 31, 32, 33, 47, 48, 49, 100, 500):
+        worst = -np.inf
+        starts = {min(a, max(n - toxicity.WINDOW, 0)) for a in range(0, n, toxicity.STRIDE)}
+        for a in sorted(starts):
+            part = words[a : min(a + toxicity.WINDOW, n)]
+            gates = net.gates(part)[:, None, :]
+            worst = max(worst, float(net.forward(gates, None)[0][0]))
+        got = toxicity.Scorer(net).score([" ".join(words[:n])])[0]
+        assert got == pytest.approx(toxicity.sigmoid(np.array(worst)), abs=1e-4), n
+    assert 2 * toxicity.STRIDE <= toxicity.WINDOW  # no passage of half a window is ever cut
+
+
+def test_toxicity_of_odd_rows(spark):
+    texts, labels = labelled(300, 4)
+    table = docs(spark, [*texts, None, texts[0]], [*range(300), None, 0])
+    given = spark.createDataFrame([*[(i, y) for i, y in enumerate(labels)], (None, 1), (5, None)], "doc_id long, toxic int")
+    net = toxicity.train(table, given)
+    got = toxicity.score(table, net).collect()
+    assert len(got) == 302 and len({round(r["score"], 6) for r in got if r["doc_id"] == 0}) == 1 and all(0 <= r["score"] <= 1 for r in got)
+    assert toxicity.score(table.limit(0), net).isEmpty() and toxicity.train(table.limit(0), given) is None and toxicity.train(table, given.limit(0)) is None
+
+
+def test_toxicity_query(spark, tmp_path):
+    texts, labels = labelled(500, 4)
+    docs(spark, [*texts, ""]).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, y) for i, y in enumerate(labels)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = rows(queries.op4_toxicity(spark, str(tmp_path)))
+    held = [i for i in range(500) if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert len(got) == 501 and {i for i in got if got[i]["held_out"]} - {500} == set(held)
+    assert all(r["predicted"] == int(r["score"] >= 0.7) for r in got.values())
+    assert sum(got[i]["predicted"] == labels[i] for i in held) / len(held) > 0.9
+
+
 def test_toxicity_of_long_units():
     # the parts of a long unit have its n-grams and no others
     rng = random.Random(8)
@@ -371,6 +420,29 @@ def test_packing_of_repeated_and_null_ids(spark):
     assert total == {3: 6, None: 3}
 
 
+def test_token_queries(spark, tmp_path):
+    """The columns of the queries, against the library."""
+    texts = [*ODD, *TRICKY, prose(101, 900)]
+    ids = [5 * i for i in range(len(texts))]
+    docs(spark, texts, ids).write.parquet(str(tmp_path / "documents.parquet"))
+    got, start = rows(queries.op5_token_files(spark, str(tmp_path))), 0
+    for i, t in zip(ids, texts, strict=True):
+        want = np.array(ids_of("byte_bpe_50k.json", t, 0), "<u4")
+        assert (got[i]["start"], got[i]["n_tokens"], got[i]["ids_crc32"]) == (start, len(want), zlib.crc32(want.tobytes()))
+        start += len(want)
+    pieces, full = queries.op9_packing(spark, str(tmp_path)).collect(), {}
+    for i, t in zip(ids, texts, strict=True):
+        want, at = np.array(ids_of("word_bpe_49k.json", t, 1), "<u4"), 0
+        for p in sorted((p for p in pieces if p["doc_id"] == i), key=lambda p: p["start"]):
+            assert (p["start"], p["doc_tokens"], p["ids_crc32"]) == (at, len(want), zlib.crc32(want[at : at + p["length"]].tobytes()))
+            at += p["length"]
+        assert at == len(want)
+    for p in pieces:
+        full.setdefault(p["sequence_id"], []).append((p["offset"], p["length"]))
+    for seq in full.values():
+        assert [a for a, _ in sorted(seq)] == [0, *np.cumsum([n for _, n in sorted(seq)])[:-1]] and sum(n for _, n in seq) <= 2048
+
+
 def test_cuts():
     for rest in range(1, 2048):
         parts = packing.cut_rest(rest, 2048)
@@ -678,6 +750,16 @@ def test_language_id(spark):
     assert language_id.predict(docs(spark, ["a"]), None).first()["lang_pred"] == "und"
 
 
+def test_language_query(spark, tmp_path):
+    texts = [(lang, spoken(lang, i)) for i in range(40) for lang in TONGUES] + [("one", None), (None, "the thing"), ("two", "½ 12")]
+    spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = rows(queries.op10_language_id(spark, str(tmp_path)))
+    assert len(got) == len(texts) and all(got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i in got)
+    held = [i for i in range(120) if got[i]["held_out"]]
+    assert sum(got[i]["lang_pred"] == texts[i][0] for i in held) >= 0.9 * len(held)
+    assert got[120]["lang_pred"] == got[122]["lang_pred"] == "und" and got[121]["lang_pred"] == "one" and got[122]["score"] == 0
+
+
 def test_language_id_learns_every_language(spark):
     ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5][:220]
     table = spark.createDataFrame([(i, spoken(sorted(TONGUES)[0], i), f"lang{i}") for i in ids], "doc_id long, text string, lang string")
@@ -714,3 +796,28 @@ def test_pipeline(spark, tmp_path):
     assert all(r["n_chars"] == len(r["text"] or "") for r in left.values())
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in packed.collect()} == left.keys()
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    item, twin = prose(950, 40), prose(955, 60)
+    some = [(1, twin, "a"), (1, twin, "b"), (1, prose(956, 60), "c"), (2, twin + " more", "d"), (None, prose(957, 60), "e"), (None, None, "f"), (3, "", "g"), (4, "x " + item, None), (5, LONG, "h")]
+    kind = "doc_id long, text string, lang string, n_chars long, `id` string, `row` string, `key` string, `class` string, `text_hash` string, `lines` string"
+    def table(name, rows):
+        spark.createDataFrame([(i, t, x, None if t is None else len(t), *[x] * 6) for i, t, x in rows], kind).write.mode("overwrite").parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.mode("overwrite").parquet(str(tmp_path / name / "labels.parquet"))
+        spark.createDataFrame([(0, item), (1, None), (None, " ")], "item_id long, text string").write.mode("overwrite").parquet(str(tmp_path / name / "benchmark.parquet"))
+        return spark.read.parquet(str(tmp_path / name / "documents.parquet"))
+
+    for name, rows_ in (("odd", some), ("none", [])):
+        now = first = table(name, rows_)
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            now = common.written(stage(spark, now, str(tmp_path / name)), "stage")
+            assert now.columns == first.columns and [f.dataType for f in now.schema] == [f.dataType for f in first.schema]
+        left = now.collect()
+        if rows_:
+            # of the twins one stays, of the empty texts the one without an id, the leak goes
+            assert sorted(str(r["lang"]) for r in left) in (sorted("acefh"), sorted("bcefh")) and all(r["id"] == r["lang"] for r in left)
+            assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path / name)).collect()} == {r["doc_id"] for r in left}
+        else:
+            assert not left and corpus_pipeline.run(spark, str(tmp_path / name)).isEmpty()

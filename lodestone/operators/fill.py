@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .retrieval import top_k
@@ -10,20 +10,6 @@ from .retrieval import top_k
 PLACEHOLDER = "__missing_catalog_"
 
 
-def numbered(rows: DataFrame, order: str, name: str = "position") -> DataFrame:
-    """rows numbered from 0 in the order of a column without repeats: by ranges, so that no task has all of them.
-
-    rows should be a table that is stored: they are read twice.
-    """
-    dealt = rows.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id())
-    # one row for each range
-    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_first"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1
-    out = dealt.withColumn("_inside", inside).join(F.broadcast(sizes.withColumn("_before", before).select("_part", "_before")), "_part")
-    return out.withColumn(name, F.col("_before") + F.col("_inside")).drop("_part", "_before", "_inside")
-
-
 def start_of(seed: str, key: Column, turn: Column, n: int) -> Column:
     """A place from 0 to n-1 that follows from a digest of seed, key and turn."""
     digest = F.sha2(F.concat_ws("\0", F.lit(seed), key, turn.cast("string")), 256)
@@ -31,7 +17,7 @@ def start_of(seed: str, key: Column, turn: Column, n: int) -> Column:
 
 
 def recommendations(requests: DataFrame, found: DataFrame, catalog: DataFrame, shown: DataFrame, k: int = 10, seed: str = "") -> DataFrame:
-    """requests (query_id, key, turn); found (query_id, doc_id, rank); catalog (doc_id, position from 0 on, see numbered); shown (query_id, doc_id).
+    """requests (query_id, key, turn); found (query_id, doc_id, rank); catalog (doc_id, position from 0 on, see ordering.numbered); shown (query_id, doc_id).
 
     Returns (query_id, doc_id, rank), k rows for each request: what was found, is in the catalog and was not shown; then products not
     shown, as they follow each other in the catalog from a place that a digest picks; then such as were shown; then placeholders.

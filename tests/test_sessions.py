@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import fill, metrics, resample
+from lodestone.operators.ordering import numbered, value_at
 from lodestone.plans import dialog, llm_hooks, settings, simulate
 from lodestone.plans.evaluate import Catalog, Config, evaluate, limit_sweep, suppressed_targets, transcripts
 from lodestone.sources import catalog as sources
@@ -118,7 +119,7 @@ def test_state_scenarios(spark):
 
 
 def test_fill(spark):
-    catalog = fill.numbered(spark.createDataFrame([(f"A{i:02d}", 10 * i) for i in range(30)], "doc_id string, ord long"), "ord").checkpoint()
+    catalog = numbered(spark.createDataFrame([(f"A{i:02d}", 10 * i) for i in range(30)], "doc_id string, ord long"), ["ord"])
     assert sorted((r["position"], r["doc_id"]) for r in catalog.collect()) == [(i, f"A{i:02d}") for i in range(30)]
     requests = spark.createDataFrame([(q, f"k{q}", 2) for q in range(4)], "query_id long, key string, turn int")
     found = spark.createDataFrame([(0, "A03", 1), (0, "gone", 2), (0, "A03", 3), (0, "A05", 4), *[(1, f"A{i:02d}", i) for i in range(12)]], "query_id long, doc_id string, rank int")
@@ -141,6 +142,16 @@ def test_fill(spark):
     assert [r["doc_id"] for r in none.orderBy("rank").collect()] == ["__missing_catalog_0", "__missing_catalog_1"]
 
 
+def test_numbered(spark):
+    rows = spark.range(20_000).select((F.col("id") * 7919 % 20_011).alias("x"), F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("kind")).repartition(5)
+    got = numbered(rows, ["x"], ["kind"]).collect()
+    for kind in (None, 1, 2):
+        own = sorted((r["position"], r["x"]) for r in got if r["kind"] == kind)
+        assert [p for p, _ in own] == list(range(len(own))) and [x for _, x in own] == sorted(x for _, x in own)
+    assert [r["x"] for r in numbered(rows, [-F.col("x")]).filter("position < 3").orderBy("position").collect()] == sorted((i * 7919 % 20_011 for i in range(20_000)), reverse=True)[:3]
+    assert value_at(rows, "x", 10).first()["x"] == sorted(i * 7919 % 20_011 for i in range(20_000))[10] and value_at(rows.limit(0), "x", 0).isEmpty()
+
+
 def test_safe_attributes():
     assert dialog.safe_attribute("color") == "color" and dialog.safe_attribute("brand") == dialog.safe_attribute(None) == dialog.safe_attribute("category") == "other"
     state, asked = dialog.new_state(), []

@@ -10,7 +10,8 @@ from lodestone.functions import text as T
 from lodestone.operators import fill, metrics, resample
 from lodestone.operators.ordering import numbered, value_at
 from lodestone.plans import dialog, llm_hooks, settings, simulate
-from lodestone.plans.evaluate import Catalog, Config, evaluate, limit_sweep, suppressed_targets, transcripts
+from lodestone.plans.evaluate import Catalog, Config, evaluate, limit_sweep, suppressed_targets
+from lodestone.plans.replay import Replay, transcripts
 from lodestone.sources import catalog as sources
 from lodestone.streaming import sessions as streams
 
@@ -332,14 +333,22 @@ def test_loop_variants(spark):
     with pytest.raises(ValueError, match="more than 1"):
         transcripts(samples, catalog, most=1)
 
+    replay = Replay(catalog, most=1)
+    key = replay.start(samples.filter("sample_id = 's1'"))
+    first = replay.step(key)
+    assert first["message"].startswith("I'm looking for") and first["recommendations"][0][0] == 1 and first["constraints"] and replay.config()["products"] == 2
+    while (turn := replay.step(key)) is not None:
+        first = turn
+    assert first["found"]["hit"] and replay.step(key) is None
+    with pytest.raises(KeyError):
+        replay.step("none")
+
     def similarity(queries, pool):
         return pool.withColumn("score", F.when(F.col("doc_id") == "B", 1.0).otherwise(0.5))
 
-    swept = limit_sweep(samples, catalog, similarity, (0, 1)).filter("scenario_type IS NULL").collect()
-    assert {r["turn_limit"] for r in swept} == {0, 1} and all(r["sample_count"] == 2 for r in swept)
+    swept = limit_sweep(samples, catalog, similarity, (1,)).filter("scenario_type IS NULL").collect()
+    assert [(r["turn_limit"], r["sample_count"]) for r in swept] == [(1, 2)]
     near = spark.createDataFrame([("A", 0, "Red canvas shoe", ["Shoes"], [], [], [], "s", 1.0), ("B", 1, "Red canvas shoe", ["Shoes"], [], [], [], "s", 1.0)], PRODUCT)
-    lost = suppressed_targets(samples.filter("sample_id = 's2'").withColumn("category", F.lit("canvas shoe")), Catalog.of(near), Config(diverse=0.8, top=1, turns=1))
-    assert lost.isEmpty()  # lists of one: the target was not in the plain list either
     lost = suppressed_targets(samples.withColumn("target", F.lit("B")).filter("sample_id = 's2'").withColumn("category", F.lit("canvas shoe")), Catalog.of(near.unionByName(p.filter("doc_id = 'A'").withColumns({"doc_id": F.lit("C"), "ord": F.lit(2)}))), Config(diverse=0.8, top=2, turns=1))
     assert [(r["target"], r["suppressor"]) for r in lost.collect()] == [("B", "A")]
 

@@ -46,13 +46,14 @@ class Agent:
                 session["opening"] = message
             asked = spark.createDataFrame([(session_id, state["category"], dialog.active(state), message, session["opening"])], "query_id string, category string, active array<string>, message string, category_message string")
             turns = asked.withColumn("query", T.compose_query(F.col("category"), F.col("active"), F.col("message")))
-            pool = retrieve(turns, self.catalog, self.config).cache()
+            pool = held = retrieve(turns, self.catalog, self.config).cache()
             sure = fusion.confidence(pool).first()
             confidence = sure["confidence"] if sure else 0.0
             if self.config.freshness and session["shown"]:
                 pool = fusion.fresh(pool, spark.createDataFrame([(session_id, d) for d in session["shown"]], "query_id string, doc_id string"))
             best = retrieval.top_k(pool.drop("rank"), self.config.top, ["query_id"], [F.desc("score"), F.asc("base_rank")])
             found = [r["doc_id"] for r in best.orderBy("rank").collect()]
+            held.unpersist()
         except Exception:  # a broken turn still gets an answer
             log.warning("retrieval failed in turn %s of session %s", turn, session_id, exc_info=True)
             found = []

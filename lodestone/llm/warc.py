@@ -88,9 +88,11 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
         F.encode(F.concat(head, refers, length), "UTF-8").alias("header"),
         F.unhex("sha256").alias("address"),
     ).write.parquet(f"{path}/headers")
-    keep = first.select(F.col("sha256").alias("k"), F.col("first").alias("keeper"))
-    stored = src.select("page", "sha256", "payload").join(keep, (F.col("sha256") == F.col("k")) & (F.col("page") == F.col("keeper")), "left_semi")
-    stored = stored.groupBy("sha256", "page").agg(F.first("payload").alias("payload"))
+    # plain columns, so that rows which repeat meet in the join's own partitions
+    place = lambda page: [F.col(f"{page}.unknown").alias("unknown"), F.coalesce(F.col(f"{page}.id"), F.lit(0)).alias("number")]
+    at = ["sha256", "unknown", "number"]
+    stored = src.select("sha256", *place("page"), "payload").join(first.select("sha256", *place("first")), at, "left_semi")
+    stored = stored.groupBy(*at).agg(F.first("payload").alias("payload"))
     stored.select(F.unhex("sha256").alias("address"), "payload").write.parquet(f"{path}/payloads")
     for table in scratch:
         drop_path(spark, table)

@@ -372,6 +372,18 @@ def test_numpy_draws_are_numpys(spark):
     assert np.allclose([r["delta"] for r in joined], [r["delta"] for r in kernel])
 
 
+def test_lcg_bootstrap_goes_around(spark, monkeypatch):
+    """More draws than the generator has states: each state is drawn once, and replicates are differences of running sums."""
+    for k, v in (("LCG_M", 1 << 18), ("LCG_REACH", 1 << 2), ("LCG_PARTS", 8)):
+        monkeypatch.setattr(resample, k, v)
+    rows = spark.createDataFrame([(i, i % 3 == 0, 1.0 / (1 + i), 1 + i, i % 2 == 0, 1.0 / (2 + i), 2 + i) for i in range(9)], "idx long, hit_a boolean, rr_a double, turn_a int, hit_b boolean, rr_b double, turn_b int")
+    doubles = rows.withColumns({c: F.col(c).cast("double") for c in rows.columns if c != "idx"})
+    for replicates, n in ((7, 100_003), (2, 300_001), (3, 2), (5, 9)):
+        want = {r["b"]: r["delta"] for r in resample._bootstrap_by_join(doubles, resample.lcg_draws(spark, replicates, 77, n)).collect()}
+        got = {r["b"]: r["delta"] for r in resample.paired_bootstrap(rows, replicates, 77, n).collect()}
+        assert got.keys() == want.keys() and np.allclose([got[b] for b in want], list(want.values()), atol=1e-12)
+
+
 def test_hooks():
     assert llm_hooks.normalized_constraints("m", ["x"], ["y"], lambda v: True, None) == ["x"]
     ask = lambda s, u, n: '```json\n["y", "made up"]\n```'

@@ -12,7 +12,7 @@ from .functions import scores as S
 from .functions import text as T
 from .operators import fusion, metrics, resample, retrieval
 from .plans import dialog, simulate
-from .session import table
+from .session import spread, table
 from .streaming import sessions as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,7 +38,7 @@ def _quoted(words: list[str]) -> str:
 
 def products(spark: SparkSession, sf: str) -> DataFrame:
     """part as a catalog."""
-    p = table(spark, sf, "part")
+    p = spread(table(spark, sf, "part"))
     entry = lambda k, v: F.struct(F.lit(k).alias("k"), v.cast("string").alias("v"))
     return p.select(
         F.col("p_partkey").cast("string").alias("doc_id"), F.col("p_partkey").alias("ord"), F.col("p_name").alias("title"),

@@ -225,3 +225,10 @@ def test_copies_of_a_text_are_one(spark, monkeypatch):
     many, at_many = run(40)
     assert few == many == [(1, d) for d in (0, 1, 6, 7, 12, 13, 18)]
     assert at_few == at_many and at_few["texts"] == 5
+
+
+def test_products_are_spread(spark):
+    """A small file is one task, whatever its rows become."""
+    from lodestone import queries
+
+    assert queries.products(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -241,3 +241,17 @@ def test_candidates_are_made_where_messages_are(spark):
     got = retrieval.catalog_candidates(m, keys)
     assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert [(r["query_id"], r["candidate"].lower(), r["shared"]) for r in got.orderBy("rank").collect()] == [(1, "wool", 100), (1, "budget around $20", 90), (1, "brand: acme", 2)]
+
+
+def test_pools_are_read_one_after_another(spark):
+    """Batches may cut a pool anywhere, and no pool is a frame of its own."""
+    rows = [(q, f"{q}-{i}", i, ["red shoe", "red shoe", "blue hat", "red shoe", ""][i % 5]) for q in range(30) for i in range(1, 8)]
+    pool = spark.createDataFrame(rows, "query_id long, doc_id string, rank int, title string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        out = fusion.diverse_top_k(pool, 4, 0.7)
+        got = {(r["query_id"], r["rank"]): r["doc_id"] for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {(q, n): f"{q}-{i}" for q in range(30) for n, i in enumerate((1, 2, 4, 3), 1)}
+    assert "InPandas" not in out._jdf.queryExecution().executedPlan().toString()
